@@ -14,6 +14,7 @@ ids do not remove each other's bytes. Equal (id, text) rows give equal results."
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from .windows import runs
 
 LENGTH = 50
 #: Runs that a task gathers before it sends them on; bytes of text in a bucket; slices of a mark beyond which windows are dealt singly.
-CHUNK_RUNS, BUCKET_BYTES, HOT_SLICES = 1 << 20, 12 << 20, 2048
+CHUNK_RUNS, BUCKET_BYTES, HOT_SLICES = 1 << 19, 8 << 20, 2048
 NO_ID = -(1 << 63)
 _KINDS = [np.dtype(x) for x in ("u1", "<u2", "<u4", "<u8", "<i8")]
 
@@ -99,43 +100,36 @@ def _marked(documents: DataFrame, n: int, length: int) -> DataFrame:
     """(bucket, body): packed run entries, of one chunk and bucket each."""
 
     def emit(parts: list[tuple], ids: list, tags: list) -> Iterator[pa.RecordBatch]:
-        doc, ordinal, mark, piece = (np.concatenate(x) for x in zip(*parts))
+        doc, lo, many, mark, piece = (np.concatenate(x) for x in zip(*parts))
         ids, tags = np.concatenate(ids), np.concatenate(tags)
         b, rest, piece = bucket_of(mark, n), mark & REST, piece & np.uint64((1 << 48) - 1)
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((tags, ids))] = np.arange(len(ids))  # documents of the chunk in the order of their ids
-        by = np.lexsort((ordinal, rank[doc], piece, rest, b))
-        doc, ordinal, rest, piece, b = doc[by], ordinal[by], rest[by], piece[by], b[by]
+        by = np.lexsort((rank[doc], piece, rest, b))
+        doc, lo, many, rest, piece, b = doc[by], lo[by], many[by], rest[by], piece[by], b[by]
         lead = _first(b, rest, piece)
-        low = ids[doc[lead]][np.cumsum(lead) - 1]
-        settled = ids[doc] > low
-        once = _first(b, rest, piece, doc)
-        # an equal slice of the smallest id again (equal ids in other rows) stays an entry of its own
-        keep = once & ~settled
+        settled = ids[doc] > ids[doc[lead]][np.cumsum(lead) - 1]
         rows: dict[str, list] = {"bucket": [], "body": []}
         for bucket in np.unique(b):
-            lo, hi = np.searchsorted(b, [bucket, bucket + 1])
-            k, s = keep[lo:hi], (once & settled)[lo:hi]
-            r = rest[lo:hi][k]
-            used, local = np.unique(doc[lo:hi][k | s], return_inverse=True)
-            where = np.empty(hi - lo, np.int64)
-            where[k | s] = local
-            gaps = np.diff(r, prepend=np.uint64(0))
-            p = piece[lo:hi][k]
+            at = slice(*np.searchsorted(b, [bucket, bucket + 1]))
+            s = settled[at]
+            k = ~s
+            used, where = np.unique(doc[at], return_inverse=True)
+            gaps = np.diff(rest[at][k], prepend=np.uint64(0))
+            p = piece[at][k]
             rows["bucket"].append(int(bucket))
-            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(gaps), (p & np.uint64(0xFFFFFFFF)).astype("<u4"), (p >> np.uint64(32)).astype("<u2"), small(where[k]), small(ordinal[lo:hi][k]), small(where[s]), small(ordinal[lo:hi][s])))
+            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(gaps), (p & np.uint64(0xFFFFFFFF)).astype("<u4"), (p >> np.uint64(32)).astype("<u2"), small(where[k]), small(lo[at][k]), small(many[at][k]), small(where[s]), small(lo[at][s]), small(many[at][s])))
         yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, tags, docs, have = [], [], [], 0, 0
         for batch in steps(batches):
             raw, at = utf8(batch.column("text"))
-            text, _, _, mark, piece = runs(raw, at, length)
+            text, lo, many, mark, piece = runs(raw, at, length)
             ids.append(_ids(batch.column("doc_id")))
             tags.append(_tags(raw, at))
             if len(text):
-                first = np.searchsorted(text, np.arange(batch.num_rows))
-                parts.append((text + docs, np.arange(len(text)) - first[text], mark, piece))
+                parts.append((text + docs, lo, many, mark, piece))
             docs += batch.num_rows
             have += len(text)
             if have >= CHUNK_RUNS:
@@ -157,15 +151,13 @@ def _settle(marked: DataFrame, n_docs: int) -> DataFrame:
         rest = np.concatenate([np.cumsum(x[2], dtype=np.uint64) for x in bodies])
         piece = np.concatenate([x[3].astype(np.uint64) | (x[4].astype(np.uint64) << np.uint64(32)) for x in bodies])
         doc = np.concatenate([x[5].astype(np.int64) + s for x, s in zip(bodies, start)])
-        ordinal = np.concatenate([x[6].astype(np.int64) for x in bodies])
-        done_doc = [np.concatenate([x[7].astype(np.int64) + s for x, s in zip(bodies, start)])]
-        done_ordinal = [np.concatenate([x[8].astype(np.int64) for x in bodies])]
+        lo, many = (np.concatenate([x[j].astype(np.int64) for x in bodies]) for j in (6, 7))
+        done = [(np.concatenate([x[8].astype(np.int64) + s for x, s in zip(bodies, start)]), *(np.concatenate([x[j].astype(np.int64) for x in bodies]) for j in (9, 10)))]
         by = np.lexsort((ids[doc], piece, rest))
-        rest, piece, doc, ordinal = rest[by], piece[by], doc[by], ordinal[by]
+        rest, piece, doc, lo, many = rest[by], piece[by], doc[by], lo[by], many[by]
         lead, group = _first(rest, piece), _first(rest)
         repeat = ids[doc] > ids[doc[lead]][np.cumsum(lead) - 1]
-        done_doc.append(doc[repeat])
-        done_ordinal.append(ordinal[repeat])
+        done.append((doc[repeat], lo[repeat], many[repeat]))
         at = np.flatnonzero(group)
         of = np.cumsum(group) - 1
         slices = np.bincount(of[lead], minlength=len(at))
@@ -173,30 +165,40 @@ def _settle(marked: DataFrame, n_docs: int) -> DataFrame:
         highest = np.maximum.reduceat(ids[doc], at) if len(at) else ids[:0]
         open_ = (slices[of] > 1) & (lowest != highest)[of] & ~repeat
         hot = slices[of] > HOT_SLICES
-        doc = np.concatenate(done_doc + [doc[open_]])
-        ordinal = np.concatenate(done_ordinal + [ordinal[open_]])
-        want = np.concatenate([np.zeros(len(doc) - int(open_.sum()), np.uint8), 1 + hot[open_].astype(np.uint8)])
+        asked = int(open_.sum())
+        doc, lo, many = (np.concatenate(x) for x in zip(*done, (doc[open_], lo[open_], many[open_])))
+        want = np.concatenate([np.zeros(len(doc) - asked, np.uint8), 1 + hot[open_].astype(np.uint8)])
+        route = np.array([table.column("bucket")[0].as_py()], "<u4")
         target = doc_bucket(ids, n_docs)[doc]
-        by = np.lexsort((ordinal, doc, target))
+        by = np.lexsort((lo, doc, target))
         rows: dict[str, list] = {"__doc_bucket": [], "body": []}
         for b, pick in _send(target, by, n_docs):
             used, local = np.unique(doc[pick], return_inverse=True)
             rows["__doc_bucket"].append(b)
-            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(local), small(ordinal[pick]), want[pick]))
+            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(local), small(lo[pick]), small(many[pick]), want[pick], route))
         return pa.table({"__doc_bucket": pa.array(rows["__doc_bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
 
     return marked.groupBy("bucket").applyInArrow(run, "__doc_bucket int, body binary")
 
 
-def _by_document(bodies: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """(id, tag) -> ordinals and kinds of its runs."""
+def _by_document(bodies: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
+    """(id, tag) -> its runs as rows of start, windows, kind and bucket."""
     out: dict[tuple[int, int], list] = defaultdict(list)
     for body in bodies:
-        ids, tags, doc, ordinal, want = unpack(body)
-        at = np.searchsorted(doc, np.arange(len(ids) + 1))
+        ids, tags, doc, lo, many, want, route = unpack(body)
+        rows = np.column_stack([lo.astype(np.int64), many, want, np.full(len(lo), route[0])])
+        at = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
         for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
-            out[key].append((ordinal[at[i] : at[i + 1]].astype(np.int64), want[at[i] : at[i + 1]]))
-    return {k: (np.concatenate([x for x, _ in v]), np.concatenate([w for _, w in v])) for k, v in out.items()}
+            out[key].append(rows[at[i] : at[i + 1]])
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _asked(text: bytes, rows: np.ndarray, length: int) -> dict[bytes, list[list[int]]]:
+    """The wanted slices of a text, each with the runs that have it, the first one first."""
+    out: dict[bytes, list] = {}
+    for row in rows[rows[:, 2] > 0].tolist():
+        out.setdefault(text[row[0] : row[0] + row[1] + length - 1], []).append(row)
+    return out
 
 
 def _texts_by_bucket(left: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,30 +212,27 @@ def _slices(texts: DataFrame, settled: DataFrame, n: int, length: int) -> DataFr
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = _by_document(right.column("body").to_pylist())
-        ids_out, tags_out, lo_out, many_out, target_out, bytes_out = [], [], [], [], [], []
+        wanted = {k: v for k, v in wanted.items() if v[:, 2].any()}
+        heads, parts = [], []
         for _, raw, at, ids, tags in _texts_by_bucket(left):
-            keep = [i for i, key in enumerate(zip(ids.tolist(), tags.tolist())) if key in wanted and wanted[key][1].any()]
-            for i in dict.fromkeys(keep):
-                ordinal, want = wanted.pop((int(ids[i]), int(tags[i])), (np.zeros(0, int), np.zeros(0, np.uint8)))
-                text = raw[at[i] : at[i + 1]]
-                _, lo, many, mark, _ = runs(text, np.array([0, len(text)]), length)
-                whole = text.tobytes()
-                for o, w in zip(ordinal[want > 0].tolist(), want[want > 0].tolist()):
-                    spans = [(int(lo[o]), int(many[o]))] if w == 1 else [(int(lo[o]) + j, 1) for j in range(int(many[o]))]
-                    for a, m in spans:
-                        part = whole[a : a + m + length - 1]
-                        ids_out.append(int(ids[i]))
-                        tags_out.append(int(tags[i]))
-                        lo_out.append(a)
-                        many_out.append(m)
-                        bytes_out.append(part)
-                        target_out.append(int(bucket_of(mark[o : o + 1], n)[0]) if w == 1 else int.from_bytes(hashlib.blake2b(part, digest_size=6).digest(), "little") % n)
+            for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
+                if key in wanted:
+                    for part, same in _asked(raw[at[i] : at[i + 1]].tobytes(), wanted.pop(key), length).items():
+                        lo, many, want, route = same[0]
+                        if want == 1:
+                            heads.append((*key, lo, many, route))
+                            parts.append(part)
+                        else:
+                            for j in range(many):
+                                window = part[j : j + length]
+                                heads.append((*key, lo + j, 1, int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little") % n))
+                                parts.append(window)
         rows: dict[str, list] = {"bucket": [], "body": []}
-        if ids_out:
-            ids_, tags_, lo_, many_, target = (np.array(x, np.int64) for x in (ids_out, tags_out, lo_out, many_out, target_out))
+        if heads:
+            ids_, tags_, lo_, many_, target = np.array(heads, np.int64).T
             for b, pick in _send(target, np.argsort(target, kind="stable"), n):
                 rows["bucket"].append(b)
-                rows["body"].append(pack(ids_[pick].astype("<i8"), tags_[pick].astype("<i8"), small(lo_[pick]), small(many_[pick]), np.frombuffer(b"".join(bytes_out[j] for j in pick), "u1")))
+                rows["body"].append(pack(ids_[pick].astype("<i8"), tags_[pick].astype("<i8"), small(lo_[pick]), small(many_[pick]), np.frombuffer(b"".join(parts[j] for j in pick), "u1")))
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
 
     return texts.groupBy("__doc_bucket").cogroup(settled.groupBy("__doc_bucket")).applyInArrow(run, "bucket int, body binary")
@@ -291,25 +290,16 @@ def _masks(left: pa.Table, right: pa.Table, length: int) -> Iterator[tuple[pa.Re
         out = []
         for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
             text = raw[at[i] : at[i + 1]]
-            ordinal, want = whole_runs.get(key, (np.zeros(0, np.int64), np.zeros(0, np.uint8)))
-            ordinal = ordinal[want == 0]
-            found = ranges.get(key, [])
+            rows = whole_runs.get(key)
             mask = None
-            if len(ordinal) or found:
-                _, lo, many, mark, piece = runs(text, np.array([0, len(text)]), length)
-                # a run stands for all runs of the text with its mark and slice
-                pair = mark ^ mix64(piece)
-                hit = np.isin(pair, pair[ordinal])
-                extra = np.array(found, np.int64).reshape(-1, 2)
-                starts, counts = np.concatenate([lo[hit], extra[:, 0]]), np.concatenate([many[hit], extra[:, 1]])
-                if len(found) and len(lo):  # windows found in a run hold for its equals in the text, too
-                    o = np.searchsorted(lo, extra[:, 0], side="right") - 1
-                    by_pair = defaultdict(list)
-                    for run_no, (s, c) in zip(o.tolist(), found):
-                        by_pair[int(pair[run_no])].append((s - int(lo[run_no]), c))
-                    more = [(int(lo[j]) + s, c) for j in np.flatnonzero(np.isin(pair, np.array(list(by_pair), np.uint64))).tolist() for s, c in by_pair[int(pair[j])]]
-                    more = np.array(more, np.int64).reshape(-1, 2)
-                    starts, counts = np.concatenate([starts, more[:, 0]]), np.concatenate([counts, more[:, 1]])
+            if rows is not None and (key in ranges or not rows[:, 2].all()):
+                spans = [rows[rows[:, 2] == 0][:, :2]]
+                if key in ranges:
+                    # windows found in a run hold for the runs with the same slice, too
+                    asked = sorted((same[0][0], same) for same in _asked(text.tobytes(), rows, length).values())
+                    first = [lo for lo, _ in asked]
+                    spans.append(np.array([(lo + start - first[j], count) for start, count in ranges[key] for j in [bisect.bisect_right(first, start) - 1] for lo, *_ in asked[j][1]], np.int64).reshape(-1, 2))
+                starts, counts = np.concatenate(spans).T
                 mask = covered(starts, counts, len(text), length)
             out.append((text.tobytes(), mask))
         yield batch, out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from . import fingerprints, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from .common import fold, read
 
 
@@ -27,6 +27,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=2, similarity=0.8)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from . import fingerprints, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from .common import fold, read
 
 
@@ -35,6 +35,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_media": op7_media,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from . import fingerprints, hmm, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from .common import fold, read
 
 
@@ -23,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=2, similarity=0.8)
 
@@ -54,6 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_hmm": op2_hmm,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,

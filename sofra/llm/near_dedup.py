@@ -173,3 +173,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
     kind = documents.schema["doc_id"].dataType.simpleString()
     named = table.join(of, "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("c"))
     return named.select("doc_id", "n_shingles", F.when(F.col("c") != NO_ID, F.col("c")).cast(kind).alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))
+
+
+def representatives(documents: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, that are the first of their component; of rows with equal ids, the first by text."""
+    names = documents.columns
+    kept = near_duplicates(documents, k, similarity).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key")).distinct()
+    keyed = documents.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    own = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_last())
+    return keyed.join(kept, "__key", "left_semi").withColumn("__row", F.row_number().over(own)).where("__row = 1").select(*names)

@@ -179,17 +179,16 @@ def featurise(documents: DataFrame, mined: list[bytes]) -> DataFrame:
     return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, pattern long, f array<float>")
 
 
-def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, score, predicted, posterior) of every document; labels are read from training rows only."""
-    spark = documents.sparkSession
+def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict]:
+    """The table of featurise(), and what classify() needs: mined words, label model and linear model. Labels are read from training rows only."""
     picked = labelled(labels, folds, held, rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` ids at most
     mined = mine(sample)
     table = materialise(featurise(documents, mined))
-    train = table.join(F.broadcast(picked), "doc_id")
+    known = table.join(F.broadcast(picked), "doc_id")
     # at most 2 ** len(VOTERS) patterns for each of three label states, whatever the number of documents
     everything = table.groupBy("pattern").agg(F.count("*").alias("n")).collect()
-    with_label = train.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
+    with_label = known.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
     tally = {(r["pattern"], -1): r["n"] for r in everything}
     for r in with_label:
         tally[r["pattern"], r["y"]] = r["n"]
@@ -197,19 +196,38 @@ def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
     keys = sorted(tally)
     bits = np.array([[(p >> j) & 1 for j in range(len(VOTERS))] for p, _ in keys], float).reshape(-1, len(VOTERS))
     model = label_model(bits, np.array([k for _, k in keys], float), np.array([tally[k] for k in keys], float))
-    got = train.select("y", "f").toPandas()  # bounded by `rows`
+    got = known.select("f").toPandas()  # bounded by `rows`
     f = np.array(got["f"].tolist(), np.float32).reshape(-1, N_FEATURES)
     target = posterior(model, votes_of(f)) if len(f) else np.zeros(0)
-    linear = logistic.fit(inputs_of(f), target)
-    shared = spark.sparkContext.broadcast((model, linear))
+    return table, {"mined": mined, "label": model, "linear": logistic.fit(inputs_of(f), target)}
+
+
+def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, score, predicted, posterior) of every document; labels are read from training rows only."""
+    table, trained = train(documents, labels, folds, held, rows)
+    shared = documents.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, linear = shared.value
         for batch in batches:
             if batch.num_rows:
                 f = np.array(batch.column("f").to_pylist(), np.float32).reshape(-1, N_FEATURES)
-                s = logistic.predict(linear, inputs_of(f))
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32)), "posterior": pa.array(posterior(label, votes_of(f)))})
+                s = logistic.predict(shared.value["linear"], inputs_of(f))
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32)), "posterior": pa.array(posterior(shared.value["label"], votes_of(f)))})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return map_arrow(table, run, f"doc_id {kind}, score double, predicted int, posterior double")
+
+
+def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, all columns, that score below the threshold; row by row, without a join."""
+    _, trained = train(documents, labels, folds, held, rows)
+    shared = documents.sparkSession.sparkContext.broadcast(trained)
+    seeds = frozenset(w.encode() for w in SEEDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mined = frozenset(shared.value["mined"])
+        for batch in steps(batches):
+            s = logistic.predict(shared.value["linear"], inputs_of(features_of(texts(batch), seeds, mined)))
+            yield batch.filter(pa.array(s < threshold))
+
+    return map_arrow(documents, run, documents._jdf.schema().toDDL())

@@ -32,12 +32,12 @@ SEEDS = (
     "estúpido imbécil basura mierda asqueroso idiota inútil"
 ).split()
 #: Bounds: labelled training rows in the sample, mined words, words whose counts one task holds before it sends them on.
-SAMPLE_ROWS, MINED, FLUSH = 20_000, 256, 200_000
+SAMPLE_ROWS, MINED, FLUSH = 20_000, 512, 200_000
 #: Besides whole words, stems of so many bytes are mined: many languages put one insult into many endings.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 WORD = re.compile(rb"[a-z\x80-\xff]+(?:'[a-z]+)?")
-VOTERS = ("seed", "two seeds", "two seed kinds", "seed density", "mined", "two mined", "two mined kinds", "mined density", "seed in shout", "seed addressed")
-N_FEATURES = 14
+VOTERS = ("seed", "two seeds", "two seed kinds", "seed density", "mined density", "two mined kinds, dense", "mined weight density", "high mined weight density", "seed in shout", "seed addressed")
+N_FEATURES = 9
 
 
 def labelled(labels: DataFrame, folds: int, held: int, rows: int) -> DataFrame:
@@ -51,8 +51,9 @@ def marks(word: bytes) -> list[bytes]:
     return [word] + [word[:k] + b"*" for k in STEMS if len(word) > k]
 
 
-def mine(sample: DataFrame, most: int = MINED, floor: float = 0.02, odds: float = 4.0) -> list[bytes]:
-    """Words and stems that are in at least a share `floor` of the sample's toxic documents and far rarer in clean ones. Copies count once."""
+def mine(sample: DataFrame, most: int = MINED, evidence: float = 25.0, odds: float = 2.0) -> dict[bytes, float]:
+    """Words and stems that tell toxic documents from clean ones, with their log odds: those for which the number of toxic
+    documents times the log odds, close to a likelihood ratio test's statistic, is at least `evidence`. Copies count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -72,42 +73,52 @@ def mine(sample: DataFrame, most: int = MINED, floor: float = 0.02, odds: float
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     by_mark = map_arrow(once, run, "mark binary, y int, n long").groupBy("mark").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    top = by_mark.where(F.col("t") >= max(3.0, floor * toxic)).where(ratio >= odds).orderBy(ratio.desc(), "mark").limit(most)
-    return [bytes(r["mark"]) for r in top.collect()]
+    told = by_mark.where(F.col("t") >= 3).withColumn("odds", ratio).where((F.col("odds") >= odds) & (F.col("t") * F.col("odds") >= evidence))
+    return {bytes(r["mark"]): r["odds"] for r in told.orderBy((F.col("t") * F.col("odds")).desc(), "mark").limit(most).collect()}
 
 
-def features_of(docs: list[bytes], seeds: frozenset, mined: frozenset) -> np.ndarray:
+def features_of(docs: list[bytes], seeds: frozenset, mined: dict[bytes, float]) -> np.ndarray:
+    """For each text: words; seed words, all and distinct; mined words, all and distinct; shouted and addressed seeds;
+    log odds of the distinct mined words, and of all of them."""
     out = np.zeros((len(docs), N_FEATURES), np.float32)
-    whole = seeds | {m for m in mined if not m.endswith(b"*")}
-    stems = [(k, {m[:-1] for m in mined if m.endswith(b"*") and len(m) == k + 1}) for k in STEMS]
-    stems = [(k, s) for k, s in stems if s]
+    lengths = [k for k in STEMS if any(m.endswith(b"*") and len(m) == k + 1 for m in mined)]
+    known: dict[bytes, float] = {}
+
+    def weight(word: bytes) -> float:
+        """The log odds of the word's best mark, 0 if it has none."""
+        w = max([mined.get(word, 0.0), *(mined.get(word[:k] + b"*", 0.0) for k in lengths if len(word) > k)])
+        if len(known) < FLUSH:
+            known[word] = w
+        return w
+
     for i, text in enumerate(docs):
         if not text:
             continue
-        found = WORD.findall(text.lower())
-        hits = [w for w in found if w in whole]
-        for k, s in stems:
-            hits += [w for w in found if w[:k] in s and len(w) > k and w not in whole]
+        low = text.lower()
+        found = WORD.findall(low)
         row = out[i]
         row[0] = len(found)
-        if hits:
-            s, m = [w for w in hits if w in seeds], [w for w in hits if w not in seeds or w in mined]
-            row[1], row[2], row[3], row[4] = len(s), len(set(s)), len(m), len(set(m))
-            row[5] = sum(text.count(w.upper()) for w in set(s))
-            low = text.lower()
-            row[6] = sum(low.count(b"you " + w) + low.count(b"you are " + w) + low.count(b"a " + w) for w in set(s))
+        counts = Counter(found)
+        told = {w: o for w in counts if (o := known[w] if w in known else weight(w))}
+        own = [w for w in counts if w in seeds]
+        row[1], row[2] = sum(counts[w] for w in own), len(own)
+        row[3], row[4] = sum(counts[w] for w in told), len(told)
+        row[5] = sum(text.count(w.upper()) for w in own)
+        row[6] = sum(low.count(b"you " + w) + low.count(b"you are " + w) + low.count(b"a " + w) for w in own)
+        row[7], row[8] = sum(told.values()), sum(o * counts[w] for w, o in told.items())
     return out
 
 
 def votes_of(f: np.ndarray) -> np.ndarray:
     n = np.maximum(f[:, 0], 1)
-    return np.column_stack([f[:, 1] >= 1, f[:, 1] >= 2, f[:, 2] >= 2, f[:, 1] / n >= 0.008, f[:, 3] >= 1, f[:, 3] >= 2, f[:, 4] >= 2, f[:, 3] / n >= 0.008, f[:, 5] >= 1, f[:, 6] >= 1])
+    weight = 1000 * f[:, 7] / n
+    return np.column_stack([f[:, 1] >= 1, f[:, 1] >= 2, f[:, 2] >= 2, f[:, 1] / n >= 0.008, f[:, 3] / n >= 0.008, (f[:, 4] >= 2) & (f[:, 4] / n >= 0.006), weight >= 25, weight >= 60, f[:, 5] >= 1, f[:, 6] >= 1])
 
 
 def inputs_of(f: np.ndarray) -> np.ndarray:
     """The classifier's inputs from the counts."""
     n = np.maximum(f[:, 0], 1)
-    return np.column_stack([np.log1p(f[:, 1]), np.log1p(f[:, 2]), np.log1p(f[:, 3]), np.log1p(f[:, 4]), np.log1p(1000 * f[:, 1] / n), np.log1p(1000 * f[:, 3] / n), f[:, 1] > 0, f[:, 3] > 0, np.log1p(f[:, 0]) * (f[:, 3] == 0), np.log1p(f[:, 5]), np.log1p(f[:, 6])]).astype(float)
+    return np.column_stack([np.log1p(f[:, 1]), np.log1p(f[:, 2]), np.log1p(f[:, 3]), np.log1p(f[:, 4]), np.log1p(1000 * f[:, 1] / n), np.log1p(1000 * f[:, 3] / n), f[:, 1] > 0, f[:, 3] > 0, np.log1p(f[:, 0]) * (f[:, 3] == 0), np.log1p(f[:, 5]), np.log1p(f[:, 6]), np.log1p(f[:, 7]), np.log1p(f[:, 8]), np.log1p(1000 * f[:, 7] / n), np.log1p(1000 * f[:, 8] / n)]).astype(float)
 
 
 def label_model(patterns: np.ndarray, known: np.ndarray, count: np.ndarray, link: float = 0.25, rounds: int = 60) -> dict:
@@ -165,13 +176,13 @@ def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def featurise(documents: DataFrame, mined: list[bytes]) -> DataFrame:
+def featurise(documents: DataFrame, mined: dict[bytes, float]) -> DataFrame:
     """(doc_id, pattern, f): the vote pattern as bits, and the counts."""
-    seeds, extra = frozenset(w.encode() for w in SEEDS), frozenset(mined)
+    seeds = frozenset(w.encode() for w in SEEDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            f = features_of(texts(batch), seeds, extra)
+            f = features_of(texts(batch), seeds, mined)
             bits = votes_of(f).astype(np.int64) @ (1 << np.arange(len(VOTERS)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "pattern": pa.array(bits), "f": pa.array(f.tolist(), pa.list_(pa.float32()))})
 
@@ -225,7 +236,7 @@ def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int
     seeds = frozenset(w.encode() for w in SEEDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mined = frozenset(shared.value["mined"])
+        mined = shared.value["mined"]
         for batch in steps(batches):
             s = logistic.predict(shared.value["linear"], inputs_of(features_of(texts(batch), seeds, mined)))
             yield batch.filter(pa.array(s < threshold))

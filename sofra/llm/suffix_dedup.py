@@ -60,7 +60,7 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(marks: np.ndarray, n: int) -> np.ndarray:
-    return (((marks >> np.uint64(44)) * np.uint64(n)) >> np.uint64(20)).astype(np.int64)
+    return (((marks >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
 
 
 REST = np.uint64((1 << 40) - 1)

@@ -80,4 +80,4 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int = 50, gram: int = GRAM) ->
             live = j < many + length - 16
             inner = np.where(live, (inner + h[np.minimum(lo + j, len(h) - 1)]) * _MULT, inner)
         slices = mix64(mix64(first) * _MULT + last + inner * np.uint64(0x9E3779B97F4A7C15) + many.astype(np.uint64))
-    return text, lo - at[text], many, marks[lo], slices
+    return text, lo - at[text], many, mix64(marks[lo]), slices  # smallest hashes are small numbers; mixed, they spread over buckets

@@ -5,10 +5,12 @@ Documents with equal shingle sets are one node of the join from the start. `tree
 down one path with probability J**depth, so at J = 0.8 all 32 trees of depth 4 miss a pair with probability 5e-8.
 
 Small tree nodes are compared exhaustively. In larger ones, every member is first compared with the node's leader, then
-with a second leader; what is linked then is one component, and a node within one component is done. In the others, all
-members outside the node's largest component are compared with all members. Comparisons start with 128 one-bit minhash
-samples, natively; what passes is confirmed on full sets. No comparison is left out that could join two components,
-and none is made within one, so nothing grows with the square of a group of copies.
+with a second leader; what is linked then is one component, and a node within one component is done. The members of the
+others, such as documents around one common passage, branch once more, by their rarest shingles: two sets of similarity
+J share one of the rarest (1 - J) part of their shingles, and what a pair can still share from there on is known from
+the places of that shingle in both. This step is exact. Comparisons start with 128 one-bit minhash samples, natively;
+what passes is confirmed on full sets. No comparison is left out that could join two components, and none is made
+within one, so nothing grows with the square of a group of copies.
 
 Documents without words have empty sets and no links. Rows with the same id are one document with several texts. A null
 id is a document like others and counts as the smallest; its component_id is null. Equal rows give equal results."""
@@ -108,14 +110,15 @@ def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return map_arrow(texts.join(needed, "id", "left_semi"), run, "id long, s binary")
 
 
+def members(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, "<u2", n, 4 * n)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) pairs whose full sets are as similar as that."""
     num = round(100 * similarity)
 
-    def members(blob: bytes) -> np.ndarray:
-        n = len(blob) // 6
-        return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, "<u2", n, 4 * n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -131,6 +134,34 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
+    """(id, token, place, m) of the rarest (1 - similarity) part of the sets of the ids, and one more; place counts from 1
+    in the order of rarity among these sets, m is the set's size. Tokens of one set only are counted, not returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, size = [], [], 0
+        for batch in batches:
+            for i, blob in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist()):
+                ids.append(i)
+                parts.append(members(blob).view(np.int64))
+                size += len(parts[-1])
+                if size >= 1 << 18:
+                    yield pack(ids, parts)
+                    ids, parts, size = [], [], 0
+        if ids:
+            yield pack(ids, parts)
+
+    def pack(ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        m = np.array([len(x) for x in parts])
+        return pa.record_batch({"id": pa.array(np.repeat(np.array(ids, np.int64), m)), "m": pa.array(np.repeat(m, m)), "token": pa.array(np.concatenate(parts))})
+
+    tokens = materialise(map_arrow(sets.join(ids.select("id").distinct(), "id", "left_semi").select("id", "s"), run, "id long, m long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    per = Window.partitionBy("id")
+    placed = tokens.join(often, "token").withColumn("place", F.col("m") - F.count("*").over(per) + F.row_number().over(per.orderBy("df", "token")))
+    return placed.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * round(100 * similarity) / 100) + 1).select("id", "token", "place", "m")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     table = materialise(sketches(documents, k))
@@ -159,8 +190,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
             break
         minor = mixed.where("comp <> main")
         if last:
-            other = mixed.alias("y")
-            more = minor.alias("x").join(other, (F.col("x.path") == F.col("y.path")) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)).select(*_pair("x.id", "y.id"))
+            who = placed.join(mixed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "lo", "hi", "comp")
+            few_ids = minor.select("id").distinct().withColumn("minor", F.lit(True))
+            near = materialise(rarest(sets, who, similarity).join(who.join(few_ids, "id", "left"), "id"))
+            shared_at_most = 1 + F.least(F.col("x.m") - F.col("x.place"), F.col("y.m") - F.col("y.place"))
+            num = round(100 * similarity)
+            can = (shared_at_most * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
+            more = near.where("minor").alias("x").join(near.alias("y"), (F.col("x.token") == F.col("y.token")) & can).select(*_pair("x.id", "y.id"))
         else:
             lead = minor.select("path", "id", "n", "lo", "hi", F.col("lead").alias("lead_id"), "ln", "llo", "lhi")
             more = lead.select(F.struct("id", "n", "lo", "hi").alias("x"), F.struct(F.col("lead_id").alias("id"), F.col("ln").alias("n"), F.col("llo").alias("lo"), F.col("lhi").alias("hi")).alias("y")).where(_may(similarity)).select(*_pair("x.id", "y.id"))

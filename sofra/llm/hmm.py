@@ -95,6 +95,22 @@ def in_class(sums: dict[int, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndar
     return known, unknown
 
 
+class Places(dict):
+    """word -> its place in `kinds`; the frequent words come first, others get a place when they are met."""
+
+    def __init__(self, frequent: list[tuple[bytes, int]]):
+        super().__init__((w, i) for i, (w, _) in enumerate(frequent))
+        self.kinds = np.zeros(max(1024, 2 * len(frequent)), np.int64)
+        self.kinds[: len(frequent)] = [i + 1 if i < OWN else shape(w) for i, (w, _) in enumerate(frequent)]
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        if place >= len(self.kinds):
+            self.kinds = np.concatenate([self.kinds, np.zeros(len(self.kinds), np.int64)])
+        self.kinds[place] = shape(word)
+        return place
+
+
 def sequences(documents: DataFrame, frequent: list[tuple[bytes, int]], known: np.ndarray, ends: int) -> DataFrame:
     """(doc_id, key, train, n_tokens, n_known, base, inner, seq): classes of each text's tokens, sums over its frequent words."""
     spark = documents.sparkSession
@@ -102,22 +118,22 @@ def sequences(documents: DataFrame, frequent: list[tuple[bytes, int]], known: np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, known = shared.value
-        table = {w: (i + 1 if i < OWN else shape(w), np.log10(c + 0.5)) for i, (w, c) in enumerate(frequent)}
-        kinds = {w: k for w, (k, _) in table.items()}
+        places = Places(frequent)
+        n = len(frequent)
+        base_of, inner_of = np.zeros(n + 1), np.zeros(n + 1)  # the last place is that of all other words
+        base_of[:n] = np.log10(np.array([c for _, c in frequent], float) + 0.5)
+        inner_of[OWN:n] = base_of[OWN:n] + known[places.kinds[OWN:n]]
         for batch in steps(batches):
             rows = []
             for text in texts(batch):
                 found = words(text)
-                for w in set(found):
-                    if w not in kinds:
-                        kinds[w] = shape(w)
-                seq = np.array([*[kinds[w] for w in found], 0], "<u2")
-                here = [table[w] for w in found if w in table]
-                base = sum(x for _, x in here) + np.log10(ends + 0.5)
-                inner = sum(known[k] + x for k, x in here if k > OWN)
-                rows.append((len(found) + 1, len(here) + (ends > 0), float(base), float(inner), seq.tobytes()))
-                if len(kinds) > len(table) + FLUSH:
-                    kinds = {w: k for w, (k, _) in table.items()}
+                at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
+                seq = np.zeros(len(found) + 1, "<u2")
+                seq[:-1] = places.kinds[at]
+                at = np.minimum(at, n)
+                rows.append((len(found) + 1, int((at < n).sum()) + (ends > 0), float(base_of[at].sum() + np.log10(ends + 0.5)), float(inner_of[at].sum()), seq.tobytes()))
+                if len(places) > n + FLUSH:
+                    places = Places(frequent)
             a, b, c, d, e = zip(*rows)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "train": batch.column("train"), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "base": pa.array(c), "inner": pa.array(d), "seq": pa.array(e, pa.binary())})
 

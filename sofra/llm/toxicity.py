@@ -140,7 +140,7 @@ def label_model(patterns: np.ndarray, known: np.ndarray, count: np.ndarray, link
                 odds += np.log(t[1, code] / t[0, code])
             free = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             new = np.where(known >= 0, known, free)
-            done = np.abs(new - post).max() < 1e-7
+            done = np.abs(new - post).max(initial=0.0) < 1e-7
             post = new
             if done:
                 break

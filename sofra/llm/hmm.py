@@ -67,6 +67,19 @@ def count_words(documents: DataFrame) -> DataFrame:
     return map_arrow(documents.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The LOCAL most frequent words, ties by word. Words of too low a count, found from a histogram, are left out before
+    the sort, so that all partitions together send little more than LOCAL rows to the driver."""
+    level = F.floor(F.log2("c") * 16)
+    found, least = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):  # 1,024 rows at most
+        found, least = found + r["n"], r["level"]
+        if found >= LOCAL:
+            break
+    rows = counts.where(level >= least).orderBy(F.col("c").desc(), "word").limit(LOCAL).collect()
+    return [(bytes(r["word"]), r["c"]) for r in rows]
+
+
 def class_sums(counts: DataFrame, own: dict[bytes, int]) -> dict[int, tuple[int, int, int]]:
     """class -> tokens, words, words seen once."""
 
@@ -304,11 +317,13 @@ def score(documents: DataFrame, folds: int = 5, held: int = 1, rounds: int = ROU
     ends = keyed.where("train").count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    frequent = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(LOCAL).collect()]
+    frequent = most_frequent(counts)
     known, unknown = in_class(class_sums(counts, {w: i + 1 for i, (w, _) in enumerate(frequent[:OWN])}))
     table = materialise(sequences(keyed, frequent, known, ends))
     trained = table.where("train")
-    sample = trained.select("key", "seq").orderBy(F.xxhash64("key"), "key").limit(SEED_ROWS).collect()
+    keys = [r["key"] for r in trained.select("key").orderBy(F.xxhash64("key"), "key").limit(SEED_ROWS).collect()]
+    picked = trained.where(F.col("key").isin(keys)).groupBy("key").agg(F.first("seq").alias("seq"))  # every partition sends keys only
+    sample = picked.orderBy(F.xxhash64("key"), "key").collect()
     model = begin([bytes(r["seq"]) for r in sample], states)
     for _ in range(rounds):
         model = improve(model, trained)

@@ -12,8 +12,10 @@ the places of that shingle in both. This step is exact. Comparisons start with 1
 what passes is confirmed on full sets. No comparison is left out that could join two components, and none is made
 within one, so nothing grows with the square of a group of copies.
 
-Documents without words have empty sets and no links. Rows with the same id are one document with several texts. A null
-id is a document like others and counts as the smallest; its component_id is null. Equal rows give equal results."""
+Documents without words have empty sets and no links. A document is a distinct pair of id and text, and its node in the
+join is a hash of both, so rows that share an id, or have none, are linked by their texts only. A component is named after
+its smallest id, where a null counts as the smallest; its first document has that id and, of several such, the smallest
+hash. Equal rows give equal results."""
 
 from __future__ import annotations
 
@@ -31,7 +33,6 @@ from .components import components
 TREES, DEPTH, BITS = 32, 4, 128
 #: Members up to which a tree node is compared exhaustively at once.
 SMALL = 6
-NO_ID = -(1 << 63)
 _MULT = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64))
 
@@ -52,8 +53,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def node() -> Column:
+    """The hash of a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, id, n, digest, paths, lo, hi): the size and digest of each set, its path in every tree, its one-bit samples."""
+    """(doc_id, id, n, digest, paths, lo, hi): each row's node, the size and digest of its set, the set's path in every tree, its one-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -75,11 +81,10 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
             digest = [hashlib.blake2b(whole[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             flat = pa.array(paths.reshape(-1).view(np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), flat)
-            ids = batch.column("doc_id")
-            yield pa.record_batch({"doc_id": ids, "id": ids.cast(pa.int64()).fill_null(NO_ID), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digest, pa.binary()), "paths": listed, "lo": _signed(lo), "hi": _signed(hi)})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": batch.column("id"), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digest, pa.binary()), "paths": listed, "lo": _signed(lo), "hi": _signed(hi)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, id long, n long, digest binary, paths array<long>, lo long, hi long")
+    return map_arrow(documents.select("doc_id", "text", node().alias("id")), run, f"doc_id {kind}, id long, n long, digest binary, paths array<long>, lo long, hi long")
 
 
 def _may(similarity: float) -> Column:
@@ -106,7 +111,7 @@ def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                 blobs.append((s >> np.uint64(16)).astype("<u4").tobytes() + (s & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.record_batch({"id": batch.column("id"), "s": pa.array(blobs, pa.binary())})
 
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    texts = documents.select(node().alias("id"), "text")
     return map_arrow(texts.join(needed, "id", "left_semi"), run, "id long, s binary")
 
 
@@ -162,11 +167,11 @@ def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * round(100 * similarity) / 100) + 1).select("id", "token", "place", "m")
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
+    """(doc_id, id, n_shingles, first) of every row; first: doc_id and node of the first document of its component."""
     table = materialise(sketches(documents, k))
-    # documents with equal sets are one node, under their smallest id
-    rep = materialise(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
+    # documents with equal sets are one node, the smallest of theirs
+    rep = materialise(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct("doc_id", "id")).alias("first")))
     nodes = table.where("n > 0").join(rep, "digest").where("id = rep").dropDuplicates(["id", "digest"])
     member = materialise(nodes.select("id", "n", "lo", "hi", F.explode("paths").alias("path")))
     sizes = member.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
@@ -177,7 +182,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
     star = many.alias("x").join(leaders.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") != F.col("y.id")) & _may(similarity)).select(*_pair("x.id", "y.id"))
     pairs = materialise(near.union(star).distinct())
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("id")).distinct()
-    sets = materialise(shingle_sets(documents, needed, k), "none")
+    sets = shingle_sets(documents, needed, k)
+    if not table.groupBy("id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # repeated rows have one set
+    sets = materialise(sets, "none")
     links = materialise(confirm(pairs, sets, similarity))
     comp = components(links)
     # large tree nodes of several components: a second leader, then all members outside the largest component against all
@@ -205,16 +213,22 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
         pairs = pairs.union(more) if last else materialise(pairs.union(more))
         links = links.union(found)
         comp = components(links)
-    of = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("c"))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    named = table.join(of, "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("c"))
-    return named.select("doc_id", "n_shingles", F.when(F.col("c") != NO_ID, F.col("c")).cast(kind).alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))
+    of = materialise(rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "first", "comp"))
+    heads = of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head"))
+    of = of.join(heads, "comp", "left").select("digest", F.coalesce("head", "first").alias("first"))
+    return table.join(of, "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("doc_id", "id")).alias("first"))
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    rows = placed_rows(documents, k, similarity, small)
+    return rows.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.id") == F.col("id")).alias("kept"))
 
 
 def representatives(documents: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns, that are the first of their component; of rows with equal ids, the first by text."""
+    """The documents, all columns, that are the first of their component; of rows with equal id and text, one."""
     names = documents.columns
-    kept = near_duplicates(documents, k, similarity).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key")).distinct()
-    keyed = documents.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = placed_rows(documents, k, similarity, SMALL).where("first.id = id").select(F.col("id").alias("__key")).distinct()
+    keyed = documents.withColumn("__key", node())
     own = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_last())
     return keyed.join(kept, "__key", "left_semi").withColumn("__row", F.row_number().over(own)).where("__row = 1").select(*names)

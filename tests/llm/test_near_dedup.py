@@ -57,3 +57,23 @@ def test_representatives_keep_columns(spark):
     assert out.columns == docs.columns
     known = brute.components([x for x in rows if x[0] is not None], 5)
     assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == {i for i, (_, c) in known.items() if i == c}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Unlike texts stay, whatever their ids, and do not join what is near them."""
+    far = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    near = lambda t: t + " more"
+    rows = [(None, far[0]), (None, far[1]), (None, far[2]), (5, near(far[0])), (9, near(far[1])), (7, far[3]), (7, far[4]), (8, near(far[4])), (7, far[4]), (10, far[5]), (10, near(far[5]))]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(cases.documents(spark, rows), k=2).collect()}
+    assert got == {(None, None, True), (5, None, False), (9, None, False), (7, 7, True), (8, 7, False), (10, 10, True), (10, 10, False)}
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in near_dedup.representatives(cases.documents(spark, rows), k=2).collect())
+    assert [x for x in kept if x[0] != "10"] == sorted([("None", t) for t in far[:3]] + [("7", t) for t in far[3:5]])
+    assert len(kept) == 6
+
+
+def test_a_repeated_row_beside_a_near_one(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text)] * 40 + [(3, text + " more")] * 40
+    got = near_dedup.near_duplicates(cases.documents(spark, rows), k=2)
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"], r["count"]) for r in got.groupBy("doc_id", "component_id", "kept").count().collect()) == [("3", None, False, 40), ("None", None, True, 40)]
+    assert near_dedup.representatives(cases.documents(spark, rows), k=2).count() == 1

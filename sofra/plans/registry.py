@@ -145,6 +145,13 @@ def q17_gaps(spark, d):
     return calendar.gaps(some, events.select("event_type").distinct(), "date", "event_type", F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
 
 
+@query("""SELECT CAST(s.day AS DATE) AS day, kind FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS s(day) CROSS JOIN (SELECT DISTINCT (user_id % 500) || ':' || event_type AS kind FROM events)
+EXCEPT SELECT CAST(ts AS DATE), (user_id % 500) || ':' || event_type FROM events""")
+def q17b_gaps_by_group(spark, d):
+    events = table(spark, d, "events").select(F.to_date("ts").alias("date"), F.concat_ws(":", (F.col("user_id") % 500).cast("string"), "event_type").alias("kind"))
+    return calendar.gaps(events, events.select("kind").distinct(), "date", "kind", F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+
+
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def q18_latest_per_key(spark, d):
     return calendar.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).drop("ts")
@@ -250,6 +257,13 @@ def q32_comment_forest(spark, d):
     return comments.forest(rows, "id", "parent_id")
 
 
+@query("""WITH RECURSIVE k AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 7 = 4 THEN -1 - turn WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id FROM conversations),
+f AS (SELECT id, id AS root_id, 0 AS depth FROM k WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM k) UNION ALL SELECT k.id, f.root_id, f.depth + 1 FROM k JOIN f ON k.parent_id = f.id) SELECT id, root_id, depth FROM f""")
+def q32b_comment_forest_whole(spark, d):
+    rows = table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn as id", "case when turn % 7 = 4 then -1 - turn when turn > 0 then conv_id * 1000 + turn - 1 end as parent_id")
+    return comments.forest(rows, "id", "parent_id")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '[deleted]' WHEN conv_id % 50 IN (1, 2) THEN '[blocked]' WHEN conv_id % 50 IN (2, 3) THEN '[hidden]' ELSE text END AS text FROM conversations""")
 def q33_mask_comments(spark, d):
     rows = table(spark, d, "conversations").withColumn("author", F.col("conv_id") % 50)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one numpy step works on; bounds a Python worker's memory. One longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -47,6 +48,33 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(documents: DataFrame) -> Column:
+    """All columns as one struct: names that an operator adds beside it can't clash with them."""
+    return F.struct(*[named(c) for c in documents.columns])
+
+
+#: What a null id counts as: the smallest.
+NO_ID = -(1 << 63)
+
+
+def ordered(documents: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns, and `num`: a long for each row's doc_id that orders as the ids do, NO_ID for null. Integral ids are their
+    own numbers; the distinct ids of other types are sorted in ranges and numbered range by range."""
+    kind = documents.schema["doc_id"].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("num"))
+    ids = documents.select(F.col("doc_id").alias("of")).where("of IS NOT NULL").distinct().orderBy("of")
+    ids = materialise(ids.select("of", F.monotonically_increasing_id().alias("num")))
+    some = documents.where("doc_id IS NOT NULL")
+    known = some.select(F.col("doc_id").alias("of"), F.struct(*columns).alias("own")).join(ids, "of").select("own.*", "num")
+    return known.unionByName(documents.where("doc_id IS NULL").select(*columns, F.lit(NO_ID).alias("num")))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -92,7 +120,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 

@@ -1,43 +1,33 @@
-"""Deep-shallow sorting of suffixes up to a length.
+"""Deep-shallow sorting of byte strings that start at given places of a buffer.
 
-The shallow part is a multikey quicksort whose characters are 8-byte words: one level orders all groups that still tie
-by their next word, so that a level is one vectorised sort, not a recursion. What ties beyond the shallow depth goes to
-the deep part: a group's suffixes are put into a blind trie, which looks only at branching bytes on the way down and
-compares with one leaf. The first insertions of all groups, into tries of one leaf, are done at once."""
+Shallow part: multikey quicksort. Its characters are eight-byte words. Every live segment picks the median of three words
+as its pivot and is parted into smaller, equal and greater; only the equal part goes on to the next word. Parting is
+done for all live segments at once with running counts, so a step costs a few passes over what still ties.
+
+Deep part: segments whose strings agree in the first `shallow` bytes go into blind tries. A trie looks only at branching
+bytes on the way down and compares with one leaf. The first insertions of all segments, into tries of one leaf, are done
+at once; segments whose strings are all equal to their leaf need no more."""
 
 from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 40
-
-
-def _word(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one number that orders as they do."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | raw[at + j]
-    return out
+SHALLOW, WORD = 40, 8
 
 
-def _common(raw: np.ndarray, a: np.ndarray, b: np.ndarray, start: int, length: int) -> np.ndarray:
-    """How many of the first `length` bytes agree, if the first `start` do."""
-    same, live = np.full(len(a), start), np.arange(len(a))
-    for j in range(start, length):
-        live = live[raw[a[live] + j] == raw[b[live] + j]]
-        same[live] = j + 1
-        if not len(live):
-            break
-    return same
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there as one number that orders as they do; places near the end see zeros."""
+    padded = np.concatenate([raw, np.zeros(WORD, np.uint8)])
+    return np.ndarray((len(raw) + 1,), ">u8", padded.data, strides=(1,))
 
 
 class BlindTrie:
-    """A trie of one group: inner nodes know the place of the branching byte, leaves the suffixes that are equal."""
+    """A trie of one segment: inner nodes know the place of the branching byte, leaves the strings that are equal."""
 
     __slots__ = ("raw", "length", "root")
 
     def __init__(self, raw: bytes, length: int, first: int):
-        self.raw, self.length, self.root = raw, length, [None, [first], first]  # [children or None, leaf, some suffix below] ; inner: [dict, depth, some suffix]
+        self.raw, self.length, self.root = raw, length, [None, [first], first]  # [children or None, leaf or depth, some string below]
 
     def insert(self, at: int) -> None:
         raw, node = self.raw, self.root
@@ -68,7 +58,7 @@ class BlindTrie:
             parent[0][raw[at + parent[1]]] = inner
 
     def leaves(self) -> list[list[int]]:
-        """Groups of equal suffixes in byte order."""
+        """Groups of equal strings in byte order."""
         out, todo = [], [self.root]
         while todo:
             node = todo.pop()
@@ -79,57 +69,102 @@ class BlindTrie:
         return out
 
 
-def sort(raw: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at places `at` by their first `length` bytes (all there), and for each place in this order
-    whether it begins a new group, that is, differs from the one before."""
+def _median(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def _quicksort(words: np.ndarray, at: np.ndarray, length: np.ndarray, order: np.ndarray, new: np.ndarray, shallow: int) -> np.ndarray:
+    """Multikey quicksort of the segments that `new` begins in `order`; returns the first places of segments that tie beyond
+    `shallow` bytes. Word characters overlap at the end of a string: its last word is the last eight bytes."""
+    n = len(order)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    depth = np.zeros(len(first), np.int64)
+    deep: list[np.ndarray] = []
+    while True:
+        some = size > 1
+        first, size, depth = first[some], size[some], depth[some]
+        if not len(first):
+            return np.concatenate(deep) if deep else np.zeros(0, np.int64)
+        base = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(seg)) + (first - base)[seg]
+        own = order[place]
+        whole = length[order[first]]
+        word = words[at[own] + np.maximum(np.minimum(depth, whole - WORD), 0)[seg]].astype(np.uint64)
+        short = (whole < depth + WORD) & (whole < WORD)
+        if short.any():  # strings of fewer than eight bytes: what follows them does not count
+            cut = np.where(short, (WORD - whole) * 8, 0).astype(np.uint64)[seg]
+            word = (word >> cut) << cut
+        pivot = _median(word[base], word[base + size // 2], word[base + size - 1])[seg]
+        less, equal = word < pivot, word == pivot
+        n_less, n_equal = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(equal, base, dtype=np.int64)
+        part = np.empty(len(seg), np.int64)
+        for flag, start in ((less, base), (equal, base + n_less), (~(less | equal), base + n_less + n_equal)):
+            rank = np.cumsum(flag) - flag
+            to = rank - rank[base][seg] + start[seg]
+            part[to[flag]] = np.flatnonzero(flag)
+        order[place] = own[part]
+        n_more = size - n_less - n_equal
+        firsts = np.column_stack([first, first + n_less, first + n_less + n_equal]).ravel()
+        sizes = np.column_stack([n_less, n_equal, n_more]).ravel()
+        depths = np.column_stack([depth, depth + WORD, depth]).ravel()
+        is_equal = np.tile([False, True, False], len(first))
+        some = sizes > 0
+        firsts, sizes, depths, is_equal = firsts[some], sizes[some], depths[some], is_equal[some]
+        new[firsts] = True
+        ends = is_equal & (depths >= length[order[firsts]])
+        below = is_equal & ~ends & (depths >= shallow) & (sizes > 1)
+        deep.append(firsts[below])
+        live = ~(ends | below)
+        first, size, depth = firsts[live], sizes[live], depths[live]
+
+
+def sort(raw: np.ndarray, at: np.ndarray, length: int | np.ndarray, group: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings raw[at : at + length] within their groups, and for each place in this order whether it begins a
+    new string. All strings must lie in the buffer; strings of a group have one length. Groups come in ascending order."""
     n = len(at)
     order, new = np.arange(n), np.zeros(n, bool)
     if not n:
         return order, new
+    length = np.full(n, length) if np.ndim(length) == 0 else np.asarray(length)
     new[0] = True
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    depth, shallow = 0, min(shallow, length) // 8 * 8
-    live = np.arange(n)  # places in the order whose group still ties
-    while depth < shallow and len(live):
-        group = np.cumsum(new)[live]
-        word = _word(padded, at[order[live]] + depth)
-        by = np.lexsort((word, group))
-        order[live], word, group = order[live][by], word[by], group[by]
-        differs = np.ones(len(live), bool)
-        differs[1:] = (word[1:] != word[:-1]) | (group[1:] != group[:-1])
-        new[live] |= differs
-        alone = new & np.append(new[1:], True)
-        live = live[~alone[live]]
-        depth += 8
-    if shallow >= length or not len(live):
+    if group is not None:
+        order = np.argsort(group, kind="stable")
+        new[1:] = group[order[1:]] != group[order[:-1]]
+    words = words_at(raw)
+    first = _quicksort(words, at, length, order, new, shallow)
+    if not len(first):
         return order, new
-    # deep: every group's first suffix is a trie of one leaf; all others of all groups are compared with theirs at once
-    group = np.cumsum(new)[live]
-    first = np.ones(len(live), bool)
-    first[1:] = group[1:] != group[:-1]
-    lead = live[first][np.cumsum(first) - 1]
-    same = _common(padded, at[order[live]], at[order[lead]], shallow, length) >= length
-    mixed = np.bincount(group - group[0], ~same) > 0
-    todo = live[mixed[group - group[0]]]
-    whole = padded.tobytes()
-    if len(todo):
-        starts = np.flatnonzero(new[todo])
-        for a, b in zip(starts, np.append(starts[1:], len(todo))):
-            places = todo[a:b]
-            members = order[places]
-            where: dict[int, list[int]] = {}
-            for m, p in zip(members.tolist(), at[members].tolist()):
-                where.setdefault(p, []).append(m)
-            keys = iter(where)
-            trie = BlindTrie(whole, length, next(keys))
-            for p in keys:
-                trie.insert(p)
-            sorted_members, begins = [], []
-            for leaf in trie.leaves():
-                begins.append(len(sorted_members))
-                for p in leaf:
-                    sorted_members += where[p]
-            order[places] = sorted_members
-            new[places] = False
-            new[places[begins]] = True
+    # deep: the first string of every segment is a trie of one leaf; all others of all segments are compared with theirs
+    starts = np.flatnonzero(new)
+    stop = np.append(starts, n)[np.searchsorted(starts, first) + 1]
+    size = stop - first
+    seg = np.repeat(np.arange(len(first)), size)
+    place = np.arange(len(seg)) + (first - (np.cumsum(size) - size))[seg]
+    own, leaf, whole = order[place], order[first][seg], length[order[first]][seg]
+    same = np.ones(len(seg), bool)
+    for depth in range(shallow, int(whole.max()), WORD):
+        open_ = np.flatnonzero(same & (whole > depth))
+        d = np.minimum(depth, whole[open_] - WORD)
+        same[open_] = words[at[own[open_]] + d] == words[at[leaf[open_]] + d]
+    mixed = np.flatnonzero(np.bincount(seg, ~same) > 0)
+    buffer = raw.tobytes() if len(mixed) else b""
+    for s in mixed.tolist():
+        places = np.arange(first[s], stop[s])
+        members = order[places]
+        where: dict[int, list[int]] = {}
+        for m, p in zip(members.tolist(), at[members].tolist()):
+            where.setdefault(p, []).append(m)
+        keys = iter(where)
+        trie = BlindTrie(buffer, int(length[members[0]]), next(keys))
+        for p in keys:
+            trie.insert(p)
+        ordered, begins = [], []
+        for equal in trie.leaves():
+            begins.append(len(ordered))
+            for p in equal:
+                ordered += where[p]
+        order[places] = ordered
+        new[places[begins]] = True
     return order, new

@@ -1,38 +1,51 @@
-"""Removal of repeated passages: every byte that lies in a `length`-byte string which also starts in a document with a
-smaller id goes.
+"""Removal of repeated passages by deep-shallow sorting: every byte that lies in a `length`-byte string which also starts in
+a document with a smaller id goes.
 
-1. Each scan task cuts its texts into runs (see windows.py) and sends, per run, its mark and a hash of its slice, packed
-   by mark bucket. Equal slices of a task's chunk send one entry, that of the smallest document; the others are settled.
-2. A bucket finds the smallest document of each slice. Slices that share a mark with another slice may have windows in
-   common; only these ask for their bytes.
-3. The asked slices meet by mark. Their windows are suffix-sorted (deep_shallow.py) and equal windows settled. A mark
-   with very many slices is dealt out by window instead of by mark, so no mark must fit into one task.
-4. The settled windows meet their texts again, in buckets by document, and the bytes they cover are removed.
+Hashes only choose what meets; what is equal is decided by the sort, on bytes.
 
-Null and empty texts, and texts shorter than `length`, lose nothing. A null id counts as the smallest. Rows with equal
-ids do not remove each other's bytes. Equal (id, text) rows give equal results."""
+1. Each scan task cuts its texts into runs of windows with a common mark (see windows.py) and sends the places of its
+   runs, packed by mark bucket. Marks of very many documents, known from a bounded sample, are not gathered.
+2. A bucket finds the marks that documents with different ids have. Only their runs are open: their texts are asked.
+3. In buckets by document, the slices of the open runs are sorted (deep_shallow.py): of equal slices, one with the
+   smallest id goes on, those with a greater id are settled.
+4. In buckets by mark, the slices that are left are sorted once more; equal ones are compared by id, and of marks with
+   several slices all windows are sorted and compared window by window. A mark with very many runs is dealt out by
+   window from step 3 on, so that no mark must fit into one task.
+5. The windows found meet their texts again, in the buckets by document, and the bytes they cover are removed.
+
+All buckets hold about BUCKET_BYTES of text, so their number, and that of shuffle partitions, grows with the input and
+their size does not. A task sends one row to each bucket it has something for, at most one for each run.
+
+Null and empty texts, and texts shorter than `length`, lose nothing and are not shuffled. A null id counts as the
+smallest. Rows with equal ids do not remove each other's bytes. Equal (id, text) rows give equal results and share a
+bucket. Ids of any type that sorts will do. A very long text is one step of its task. An empty table gives no rows.
+Other columns may have any names."""
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import deep_shallow
-from .common import map_arrow, materialise, mix64, steps, utf8
-from .windows import runs
+from .common import NO_ID, map_arrow, mix64, ordered, steps, utf8, whole_row
+from .windows import marks_at, runs
 
 LENGTH = 50
-#: Runs that a task gathers before it sends them on; bytes of text in a bucket; slices of a mark beyond which windows are dealt singly.
-CHUNK_RUNS, BUCKET_BYTES, HOT_SLICES = 1 << 19, 8 << 20, 2048
-NO_ID = -(1 << 63)
+#: Runs that a task gathers before it sends them on; bytes of text in a bucket; runs of a mark beyond which windows are dealt singly.
+CHUNK_RUNS, BUCKET_BYTES, HOT_RUNS = 1 << 19, 8 << 20, 2048
+#: The sample that finds marks of very many documents: one row in SAMPLE_SHARE, SAMPLE_ROWS at most, a mark counts from
+#: SAMPLE_TIMES documents on, and the HOT_MARKS most frequent are kept. It changes the route of these marks, not results.
+SAMPLE_SHARE, SAMPLE_ROWS, SAMPLE_TIMES, HOT_MARKS = 50, 200_000, 10, 65_536
+ONE, DEALT = 1, 2
 _KINDS = [np.dtype(x) for x in ("u1", "<u2", "<u4", "<u8", "<i8")]
+_ROWS = "bucket int, target int, body binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -54,30 +67,49 @@ def unpack(body: bytes) -> list[np.ndarray]:
 
 
 def small(a: np.ndarray) -> np.ndarray:
-    """The same whole numbers in the narrowest type."""
+    """The same whole numbers, none negative, in the narrowest type."""
     top = int(a.max()) if len(a) else 0
     return a.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def bucket_of(marks: np.ndarray, n: int) -> np.ndarray:
-    return (((marks >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
+class Docs:
+    """Keys of documents: the number of the id and, where ids repeat, a hash of the text (else 0)."""
 
+    def __init__(self, num: np.ndarray, tag: np.ndarray):
+        self.num, self.tag = num.astype(np.int64), tag.astype(np.int64)
 
-REST = np.uint64((1 << 40) - 1)
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Docs:
+        return cls(np.asarray(batch.column("num")), np.asarray(batch.column("tag")))
 
+    def bucket(self, n: int) -> np.ndarray:
+        return (mix64(self.num.view(np.uint64) ^ mix64(self.tag.view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A))) % np.uint64(n)).astype(np.int64)
 
-def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) % np.uint64(n)).astype(np.int64)
+    def packed(self, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Arrays for the keys of the rows that `which` names, and each row's place among them."""
+        used, local = np.unique(which, return_inverse=True)
+        by = np.argsort(self.num[used], kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        num, tag = self.num[used[by]], self.tag[used[by]]
+        with np.errstate(over="ignore"):
+            gaps = np.diff(num.view(np.uint64), prepend=num[:1].view(np.uint64))
+        return [num[:1], small(gaps), tag if tag.any() else tag[:0]], small(place[local])
 
+    @staticmethod
+    def unpacked(bodies: list[list[np.ndarray]]) -> tuple[Docs, np.ndarray]:
+        """The keys of all bodies in a row, and where each body's keys begin."""
+        nums, tags = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, gaps, tag in (b[:3] for b in bodies):
+            with np.errstate(over="ignore"):
+                nums.append((np.cumsum(gaps, dtype=np.uint64) + first[:1].view(np.uint64)).view(np.int64))
+            tags.append(tag if len(tag) else np.zeros(len(gaps), np.int64))
+        return Docs(np.concatenate(nums), np.concatenate(tags)), np.cumsum([0] + [len(x) for x in nums[1:]])
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.cast(pa.int64()).fill_null(NO_ID))
 
-
-def _tags(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each text, so that rows with the same id but other text are told apart."""
-    whole = raw.tobytes()
-    return np.array([int.from_bytes(hashlib.blake2b(whole[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
+def _column(bodies: list[list[np.ndarray]], j: int, add: np.ndarray | None = None) -> np.ndarray:
+    parts = [b[j].astype(np.int64) + (0 if add is None else add[i]) for i, b in enumerate(bodies)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _first(*keys: np.ndarray) -> np.ndarray:
@@ -88,280 +120,369 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(bucket: np.ndarray, order: np.ndarray, n: int):
-    """Slices of `order`, which sorts by bucket, for each bucket that has entries."""
-    sizes = np.bincount(bucket, minlength=n)
-    ends = np.cumsum(sizes)
-    for b in np.flatnonzero(sizes):
-        yield int(b), order[ends[b] - sizes[b] : ends[b]]
-
-
-def _marked(documents: DataFrame, n: int, length: int) -> DataFrame:
-    """(bucket, body): packed run entries, of one chunk and bucket each."""
-
-    def emit(parts: list[tuple], ids: list, tags: list) -> Iterator[pa.RecordBatch]:
-        doc, lo, many, mark, piece = (np.concatenate(x) for x in zip(*parts))
-        ids, tags = np.concatenate(ids), np.concatenate(tags)
-        b, rest, piece = bucket_of(mark, n), mark & REST, piece & np.uint64((1 << 48) - 1)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((tags, ids))] = np.arange(len(ids))  # documents of the chunk in the order of their ids
-        by = np.lexsort((rank[doc], piece, rest, b))
-        doc, lo, many, rest, piece, b = doc[by], lo[by], many[by], rest[by], piece[by], b[by]
-        lead = _first(b, rest, piece)
-        settled = ids[doc] > ids[doc[lead]][np.cumsum(lead) - 1]
-        rows: dict[str, list] = {"bucket": [], "body": []}
-        for bucket in np.unique(b):
-            at = slice(*np.searchsorted(b, [bucket, bucket + 1]))
-            s = settled[at]
-            k = ~s
-            used, where = np.unique(doc[at], return_inverse=True)
-            gaps = np.diff(rest[at][k], prepend=np.uint64(0))
-            p = piece[at][k]
-            rows["bucket"].append(int(bucket))
-            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(gaps), (p & np.uint64(0xFFFFFFFF)).astype("<u4"), (p >> np.uint64(32)).astype("<u2"), small(where[k]), small(lo[at][k]), small(many[at][k]), small(where[s]), small(lo[at][s]), small(many[at][s])))
-        yield pa.record_batch({"bucket": pa.array(rows["bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
+def _dealt(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bucket, ascending, the rows that go there, in their order."""
+    order = np.argsort(target, kind="stable")
+    starts = np.flatnonzero(_first(target[order]))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(target[order[a]]), order[a:b]
+
+
+class Rows:
+    """Output of a step: (bucket, target, body). A row with a target is handed on to that document bucket."""
+
+    def __init__(self):
+        self.bucket, self.target, self.body = [], [], []
+
+    def add(self, bucket: int, target: int | None, body: bytes) -> None:
+        self.bucket.append(bucket)
+        self.target.append(target)
+        self.body.append(body)
+
+    def batch(self, kind=pa.RecordBatch):
+        return kind.from_arrays([pa.array(self.bucket, pa.int32()), pa.array(self.target, pa.int32()), pa.array(self.body, pa.binary())], names=["bucket", "target", "body"])
+
+
+def mark_bucket(mark: np.ndarray, n: int) -> np.ndarray:
+    return (((mark >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
+
+
+def _ask(out: Rows, bucket: int | None, docs: Docs, n_docs: int, doc: np.ndarray, lo: np.ndarray, many: np.ndarray, want: np.ndarray, route: np.ndarray) -> None:
+    """Rows that ask the document buckets for the bytes of runs."""
+    for target, pick in _dealt(docs.bucket(n_docs)[doc]):
+        keys, local = docs.packed(doc[pick])
+        row = pack(*keys, local, small(lo[pick]), small(many[pick]), want[pick].astype("u1"), small(route[pick]))
+        out.add(target if bucket is None else bucket, None if bucket is None else target, row)
+
+
+def _marked(texts: DataFrame, n: int, n_docs: int, length: int, hot: np.ndarray) -> DataFrame:
+    """Step 1: packed places of the runs of one chunk in one mark bucket; runs with hot marks ask at once, through any bucket."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)  # HOT_MARKS at most
+
+    def emit(parts: list[tuple], docs: Docs, chunk: int) -> pa.RecordBatch:
+        doc, lo, many, mark = (np.concatenate(x) for x in zip(*parts))
+        out, hot = Rows(), shared.value
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, mark), len(hot) - 1)] == mark
+            h = np.flatnonzero(is_hot)
+            if len(h):
+                _ask(out, (chunk * 7919 + int(docs.num[0] & 0xFFFF)) % n, docs, n_docs, doc[h], lo[h], many[h], np.full(len(h), DEALT), np.zeros(len(h), np.int64))
+            doc, lo, many, mark = doc[~is_hot], lo[~is_hot], many[~is_hot], mark[~is_hot]
+        bucket, rest = mark_bucket(mark, n), mark & np.uint64(0xFFFFFFFF)
+        by = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | rest)
+        doc, lo, many, rest, bucket = doc[by], lo[by], many[by], rest[by], bucket[by]
+        for b, pick in _dealt(bucket):
+            keys, local = docs.packed(doc[pick])
+            out.add(b, None, pack(*keys, local, small(lo[pick]), small(many[pick]), rest[pick].astype("<u4")))
+        return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ids, tags, docs, have = [], [], [], 0, 0
+        parts, nums, tags, docs, have, chunk = [], [], [], 0, 0, 0
         for batch in steps(batches):
-            raw, at = utf8(batch.column("text"))
-            text, lo, many, mark, piece = runs(raw, at, length)
-            ids.append(_ids(batch.column("doc_id")))
-            tags.append(_tags(raw, at))
+            text, lo, many, mark = runs(*utf8(batch.column("text")), length)
+            keys = Docs.of(batch)
+            nums.append(keys.num)
+            tags.append(keys.tag)
             if len(text):
-                parts.append((text + docs, lo, many, mark, piece))
+                parts.append((text + docs, lo, many, mark))
             docs += batch.num_rows
             have += len(text)
             if have >= CHUNK_RUNS:
-                yield from emit(parts, ids, tags)
-                parts, ids, tags, docs, have = [], [], [], 0, 0
+                yield emit(parts, Docs(np.concatenate(nums), np.concatenate(tags)), chunk)
+                parts, nums, tags, docs, have, chunk = [], [], [], 0, 0, chunk + 1
         if have:
-            yield from emit(parts, ids, tags)
+            yield emit(parts, Docs(np.concatenate(nums), np.concatenate(tags)), chunk)
 
-    return map_arrow(documents.select("doc_id", "text"), run, "bucket int, body binary")
+    return map_arrow(texts.select("num", "tag", "text"), run, _ROWS)
 
 
-def _settle(marked: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_bucket, body): runs that are repeats as a whole, and runs whose bytes are wanted."""
+def _split(table: pa.Table) -> tuple[list[list[np.ndarray]], list[tuple[int, bytes]]]:
+    """The bodies for this bucket, and those that are only handed on."""
+    own, on = [], []
+    for target, body in zip(table.column("target").to_pylist(), table.column("body").to_pylist()):
+        own.append(unpack(body)) if target is None else on.append((target, body))
+    return own, on
 
-    def run(table: pa.Table) -> pa.Table:
-        bodies = [unpack(x) for x in table.column("body").to_pylist()]
-        start = np.cumsum([0] + [len(x[0]) for x in bodies])
-        ids, tags = np.concatenate([x[0] for x in bodies]), np.concatenate([x[1] for x in bodies])
-        rest = np.concatenate([np.cumsum(x[2], dtype=np.uint64) for x in bodies])
-        piece = np.concatenate([x[3].astype(np.uint64) | (x[4].astype(np.uint64) << np.uint64(32)) for x in bodies])
-        doc = np.concatenate([x[5].astype(np.int64) + s for x, s in zip(bodies, start)])
-        lo, many = (np.concatenate([x[j].astype(np.int64) for x in bodies]) for j in (6, 7))
-        done = [(np.concatenate([x[8].astype(np.int64) + s for x, s in zip(bodies, start)]), *(np.concatenate([x[j].astype(np.int64) for x in bodies]) for j in (9, 10)))]
-        by = np.lexsort((ids[doc], piece, rest))
-        rest, piece, doc, lo, many = rest[by], piece[by], doc[by], lo[by], many[by]
-        lead, group = _first(rest, piece), _first(rest)
-        repeat = ids[doc] > ids[doc[lead]][np.cumsum(lead) - 1]
-        done.append((doc[repeat], lo[repeat], many[repeat]))
-        at = np.flatnonzero(group)
-        of = np.cumsum(group) - 1
-        slices = np.bincount(of[lead], minlength=len(at))
-        lowest = np.minimum.reduceat(ids[doc], at) if len(at) else ids[:0]
-        highest = np.maximum.reduceat(ids[doc], at) if len(at) else ids[:0]
-        open_ = (slices[of] > 1) & (lowest != highest)[of] & ~repeat
-        hot = slices[of] > HOT_SLICES
-        asked = int(open_.sum())
-        doc, lo, many = (np.concatenate(x) for x in zip(*done, (doc[open_], lo[open_], many[open_])))
-        want = np.concatenate([np.zeros(len(doc) - asked, np.uint8), 1 + hot[open_].astype(np.uint8)])
-        route = np.array([table.column("bucket")[0].as_py()], "<u4")
-        target = doc_bucket(ids, n_docs)[doc]
-        by = np.lexsort((lo, doc, target))
-        rows: dict[str, list] = {"__doc_bucket": [], "body": []}
-        for b, pick in _send(target, by, n_docs):
-            used, local = np.unique(doc[pick], return_inverse=True)
-            rows["__doc_bucket"].append(b)
-            rows["body"].append(pack(ids[used].astype("<i8"), tags[used].astype("<i8"), small(local), small(lo[pick]), small(many[pick]), want[pick], route))
-        return pa.table({"__doc_bucket": pa.array(rows["__doc_bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
-
-    return marked.groupBy("bucket").applyInArrow(run, "__doc_bucket int, body binary")
-
-
-def _by_document(bodies: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
-    """(id, tag) -> its runs as rows of start, windows, kind and bucket."""
-    out: dict[tuple[int, int], list] = defaultdict(list)
-    for body in bodies:
-        ids, tags, doc, lo, many, want, route = unpack(body)
-        rows = np.column_stack([lo.astype(np.int64), many, want, np.full(len(lo), route[0])])
-        at = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
-        for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
-            out[key].append(rows[at[i] : at[i + 1]])
-    return {k: np.concatenate(v) for k, v in out.items()}
-
-
-def _asked(text: bytes, rows: np.ndarray, length: int) -> dict[bytes, list[list[int]]]:
-    """The wanted slices of a text, each with the runs that have it, the first one first."""
-    out: dict[bytes, list] = {}
-    for row in rows[rows[:, 2] > 0].tolist():
-        out.setdefault(text[row[0] : row[0] + row[1] + length - 1], []).append(row)
-    return out
 
+def _opened(marked: DataFrame, n: int, n_docs: int) -> DataFrame:
+    """Step 2: asks for the runs whose mark is shared by documents with different ids."""
 
-def _texts_by_bucket(left: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in steps(left.combine_chunks().to_batches()):
-        raw, at = utf8(batch.column("text"))
-        yield batch, raw, at, _ids(batch.column("doc_id")), _tags(raw, at)
+    def run(table: pa.Table) -> pa.Table:
+        own, on = _split(table)
+        out = Rows()
+        for target, body in on:
+            out.add(target, None, body)
+        if own:
+            docs, start = Docs.unpacked(own)
+            doc, lo, many, rest = _column(own, 3, start), _column(own, 4), _column(own, 5), _column(own, 6)
+            by = np.argsort(rest, kind="stable")
+            lead = _first(rest[by])
+            at, of = np.flatnonzero(lead), np.cumsum(lead) - 1
+            num = docs.num[doc[by]]
+            shared = np.minimum.reduceat(num, at) < np.maximum.reduceat(num, at)
+            often = np.diff(np.append(at, len(by))) > HOT_RUNS
+            pick = np.flatnonzero(shared[of])
+            bucket = table.column("bucket")[0].as_py()
+            _ask(out, None, docs, n_docs, doc[by[pick]], lo[by[pick]], many[by[pick]], np.where(often[of[pick]], DEALT, ONE), np.full(len(pick), bucket))
+        return out.batch(pa.Table)
+
+    return marked.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, _ROWS)
+
+
+class Bucket:
+    """The texts of a document bucket in one buffer. Rows with equal keys, that is, equal rows, are one document."""
+
+    def __init__(self, left: pa.Table):
+        batches = left.combine_chunks().to_batches()
+        row = pa.concat_arrays([b.column("row") for b in batches]) if batches else pa.array([], left.schema.field("row").type)
+        self.fields = dict(zip([f.name for f in row.type], row.flatten()))
+        self.raw, self.at = utf8(self.fields["text"])
+        self.docs = Docs(np.asarray(left.column("num")), np.asarray(left.column("tag")))
+        self.place: dict[tuple[int, int], int] = {}
+        self.one = np.array([self.place.setdefault(k, i) for i, k in enumerate(zip(self.docs.num.tolist(), self.docs.tag.tolist()))], np.int64)
+
+    def find(self, keys: Docs) -> np.ndarray:
+        return np.array([self.place[k] for k in zip(keys.num.tolist(), keys.tag.tolist())], np.int64)
+
+
+def _classes(order: np.ndarray, new: np.ndarray, num: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string its class, and for each class the smallest number, from a sort."""
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return of, np.minimum.reduceat(num[order], np.flatnonzero(new)) if len(order) else num[:0]
+
+
+def _window_hash(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    words, out = deep_shallow.words_at(raw), np.zeros(len(at), np.uint64)
+    for j in range(0, length, 8):
+        out = mix64(out ^ words[at + max(0, min(j, length - 8))].astype(np.uint64))
+    return out
 
 
-def _slices(texts: DataFrame, settled: DataFrame, n: int, length: int) -> DataFrame:
-    """(bucket, body): the bytes of the wanted runs, packed by the bucket of their mark (of their window, for hot marks)."""
+def _slices(texts: DataFrame, asks: DataFrame, n: int, n_docs: int, length: int) -> DataFrame:
+    """Step 3: the slices that are left of each document bucket, with their bytes, for the mark buckets; what is settled here is handed on."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = _by_document(right.column("body").to_pylist())
-        wanted = {k: v for k, v in wanted.items() if v[:, 2].any()}
-        heads, parts = [], []
-        for _, raw, at, ids, tags in _texts_by_bucket(left):
-            for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
-                if key in wanted:
-                    for part, same in _asked(raw[at[i] : at[i + 1]].tobytes(), wanted.pop(key), length).items():
-                        lo, many, want, route = same[0]
-                        if want == 1:
-                            heads.append((*key, lo, many, route))
-                            parts.append(part)
-                        else:
-                            for j in range(many):
-                                window = part[j : j + length]
-                                heads.append((*key, lo + j, 1, int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little") % n))
-                                parts.append(window)
-        rows: dict[str, list] = {"bucket": [], "body": []}
-        if heads:
-            ids_, tags_, lo_, many_, target = np.array(heads, np.int64).T
-            for b, pick in _send(target, np.argsort(target, kind="stable"), n):
-                rows["bucket"].append(b)
-                rows["body"].append(pack(ids_[pick].astype("<i8"), tags_[pick].astype("<i8"), small(lo_[pick]), small(many_[pick]), np.frombuffer(b"".join(parts[j] for j in pick), "u1")))
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
-
-    return texts.groupBy("__doc_bucket").cogroup(settled.groupBy("__doc_bucket")).applyInArrow(run, "bucket int, body binary")
-
-
-def _sorted(slices: DataFrame, n_docs: int, length: int) -> DataFrame:
-    """(doc_bucket, body): window ranges that the suffix sort found in a document with a smaller id."""
+        out = Rows()
+        if not left.num_rows or not right.num_rows:
+            return out.batch(pa.Table)
+        here = Bucket(left)
+        own = [unpack(x) for x in right.column("body").to_pylist()]
+        keys, start = Docs.unpacked(own)
+        doc = here.find(keys)[_column(own, 3, start)]
+        lo, many, want, route = (_column(own, j) for j in (4, 5, 6, 7))
+        place, num = here.at[doc] + lo, here.docs.num[doc]
+        order, new = deep_shallow.sort(here.raw, place, many + length - 1, many)
+        of, least = _classes(order, new, num)
+        gone = num > least[of]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        stay = np.flatnonzero(~gone)
+        stay = stay[np.lexsort((rank[stay], doc[stay], of[stay]))]
+        lead = _first(of[stay], doc[stay])
+        first = stay[lead]
+        again, model = stay[~lead], first[np.cumsum(lead) - 1][~lead]
+        settled = [(doc[gone], lo[gone], many[gone])]
+        same = (doc[again], lo[model], lo[again], many[again])
+        # marks of very many runs: windows of the slices that are left
+        w = first[want[first] == DEALT]
+        first = first[want[first] == ONE]
+        items = [(doc[first], lo[first], many[first], np.full(len(first), ONE), route[first], place[first])]
+        if len(w):
+            of_w, inside = np.repeat(w, many[w]), np.arange(many[w].sum()) - np.repeat(np.cumsum(many[w]) - many[w], many[w])
+            at = place[of_w] + inside
+            order, new = deep_shallow.sort(here.raw, at, length)
+            of, least = _classes(order, new, num[of_w])
+            gone = num[of_w] > least[of]
+            settled.append((doc[of_w[gone]], lo[of_w[gone]] + inside[gone], np.ones(int(gone.sum()), np.int64)))
+            k = order[~gone[order]]
+            lead = _first(of[k], doc[of_w[k]])
+            again, model = k[~lead], k[lead][np.cumsum(lead) - 1][~lead]
+            k = k[lead]
+            place_of = lambda i: lo[of_w[i]] + inside[i]
+            same = tuple(np.concatenate(x) for x in zip(same, (doc[of_w[again]], place_of(model), place_of(again), np.ones(len(again), np.int64))))
+            target = (_window_hash(here.raw, at[k], length) % np.uint64(n)).astype(np.int64)
+            items.append((doc[of_w[k]], place_of(k), np.ones(len(k), np.int64), np.full(len(k), DEALT), target, at[k]))
+        doc, lo, many, want, route, place = (np.concatenate(x) for x in zip(*items))
+        press = zstandard.ZstdCompressor(level=1)
+        for bucket, pick in _dealt(route):
+            keys, local = here.docs.packed(doc[pick])
+            size = many[pick] + length - 1
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            body = here.raw[np.repeat(place[pick], size) + inside]
+            out.add(bucket, None, press.compress(pack(*keys, local, small(lo[pick]), small(many[pick]), want[pick].astype("u1"), body)))
+        d, a, m = (np.concatenate(x) for x in zip(*settled))
+        me = left.column("bucket")[0].as_py()
+        if len(d):
+            keys, local = here.docs.packed(d)
+            out.add(me % n, me, pack(*keys, local, small(a), small(m)))
+        if len(same[0]):
+            keys, local = here.docs.packed(same[0])
+            out.add(me % n, me, pack(*keys, local, *[small(x) for x in same[1:]]))
+        return out.batch(pa.Table)
+
+    asks = asks.repartition(n_docs, "bucket")
+    return texts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(run, _ROWS)
+
+
+def _sorted(slices: DataFrame, n: int, n_docs: int, length: int) -> DataFrame:
+    """Step 4: window ranges that the sort found in a document with a smaller id, for the document buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        bodies = [unpack(x) for x in table.column("body").to_pylist()]
-        ids, tags, lo, many = (np.concatenate([x[j].astype(np.int64) for x in bodies]) for j in range(4))
-        raw = np.concatenate([x[4] for x in bodies])
-        base = np.cumsum(many + length - 1) - (many + length - 1)
-        owner = np.repeat(np.arange(len(ids)), many)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        order, new = deep_shallow.sort(raw, base[owner] + inside, length)
-        lowest = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-        found = np.zeros(len(owner), bool)
-        found[order] = ids[owner[order]] > lowest
-        # neighbouring windows of a slice become one range
-        hit = np.flatnonzero(found)
-        begin = np.ones(len(hit), bool)
-        begin[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
-        s = np.flatnonzero(begin)
-        count = np.diff(np.append(s, len(hit)))
-        o, start = owner[hit[s]], lo[owner[hit[s]]] + inside[hit[s]]
-        target = doc_bucket(ids, n_docs)[o]
-        rows: dict[str, list] = {"__doc_bucket": [], "body": []}
-        for b, pick in _send(target, np.argsort(target, kind="stable"), n_docs):
-            rows["__doc_bucket"].append(b)
-            rows["body"].append(pack(ids[o[pick]].astype("<i8"), tags[o[pick]].astype("<i8"), small(start[pick]), small(count[pick])))
-        return pa.table({"__doc_bucket": pa.array(rows["__doc_bucket"], pa.int32()), "body": pa.array(rows["body"], pa.binary())})
-
-    return slices.groupBy("bucket").applyInArrow(run, "__doc_bucket int, body binary")
-
-
-def covered(starts: np.ndarray, counts: np.ndarray, size: int, length: int) -> np.ndarray:
-    """Which bytes lie in a window of the ranges."""
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + counts + length - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _masks(left: pa.Table, right: pa.Table, length: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, np.ndarray | None]]]]:
-    """For each step of texts: the text and which of its bytes go (None: none)."""
-    bodies, from_sort = right.column("body").to_pylist(), right.column("sorted").to_pylist()
-    whole_runs = _by_document([b for b, s in zip(bodies, from_sort) if not s])
-    ranges: dict[tuple[int, int], list] = defaultdict(list)
-    for body in (b for b, s in zip(bodies, from_sort) if s):
-        ids, tags, start, count = unpack(body)
-        for i, t, s, c in zip(ids.tolist(), tags.tolist(), start.tolist(), count.tolist()):
-            ranges[i, t].append((s, c))
-    for batch, raw, at, ids, tags in _texts_by_bucket(left):
-        out = []
-        for i, key in enumerate(zip(ids.tolist(), tags.tolist())):
-            text = raw[at[i] : at[i + 1]]
-            rows = whole_runs.get(key)
-            mask = None
-            if rows is not None and (key in ranges or not rows[:, 2].all()):
-                spans = [rows[rows[:, 2] == 0][:, :2]]
-                if key in ranges:
-                    # windows found in a run hold for the runs with the same slice, too
-                    asked = sorted((same[0][0], same) for same in _asked(text.tobytes(), rows, length).values())
-                    first = [lo for lo, _ in asked]
-                    spans.append(np.array([(lo + start - first[j], count) for start, count in ranges[key] for j in [bisect.bisect_right(first, start) - 1] for lo, *_ in asked[j][1]], np.int64).reshape(-1, 2))
-                starts, counts = np.concatenate(spans).T
-                mask = covered(starts, counts, len(text), length)
-            out.append((text.tobytes(), mask))
-        yield batch, out
-
-
-def _whole_characters(text: bytes, mask: np.ndarray) -> np.ndarray:
+        out, own, press = Rows(), [], zstandard.ZstdDecompressor()
+        for target, body in zip(table.column("target").to_pylist(), table.column("body").to_pylist()):
+            if target is None:
+                own.append(unpack(press.decompress(body)))
+            else:
+                out.add(target, None, body)
+        if not own:
+            return out.batch(pa.Table)
+        docs, start = Docs.unpacked(own)
+        doc, lo, many, want = _column(own, 3, start), _column(own, 4), _column(own, 5), _column(own, 6)
+        raw = np.concatenate([b[7] for b in own])
+        size, num = many + length - 1, docs.num[doc]
+        place = np.cumsum(size) - size
+        order, new = deep_shallow.sort(raw, place, size, many)
+        of, least = _classes(order, new, num)
+        model = order[new]  # a slice of each class
+        # marks with several different slices: their windows
+        which = np.flatnonzero(want[model] == ONE)
+        mark, count = np.unique(marks_at(raw, place[model[which]], length), return_inverse=True, return_counts=True)[1:]
+        several = count[mark] > 1
+        which, mark = which[several], mark[several]
+        wide = np.zeros(len(model), bool)
+        wide[which] = True
+        where = np.zeros(len(model), np.int64)
+        k = many[model[which]]
+        where[which] = np.cumsum(k) - k
+        inside = np.arange(k.sum()) - np.repeat(where[which], k)
+        w_order, w_new = deep_shallow.sort(raw, np.repeat(place[model[which]], k) + inside, length, np.repeat(mark, k))
+        w_of, w_least = _classes(w_order, w_new, np.repeat(least[which], k))
+        lowest = w_least[w_of]
+        plain = np.flatnonzero(~wide[of] & (num > least[of]))
+        found = [(doc[plain], lo[plain], many[plain])]
+        x = np.flatnonzero(wide[of])
+        item = np.repeat(x, many[x])
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(many[x]) - many[x], many[x])
+        hit = np.flatnonzero(lowest[where[of[item]] + inside] < num[item])
+        if len(hit):  # neighbouring windows of a slice become one range
+            begin = np.ones(len(hit), bool)
+            begin[1:] = (hit[1:] != hit[:-1] + 1) | (item[hit[1:]] != item[hit[:-1]])
+            s = np.flatnonzero(begin)
+            found.append((doc[item[hit[s]]], lo[item[hit[s]]] + inside[hit[s]], np.diff(np.append(s, len(hit)))))
+        doc, lo, many = (np.concatenate(x) for x in zip(*found))
+        for target, pick in _dealt(docs.bucket(n_docs)[doc]):
+            keys, local = docs.packed(doc[pick])
+            out.add(target, None, pack(*keys, local, small(lo[pick]), small(many[pick])))
+        return out.batch(pa.Table)
+
+    return slices.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, _ROWS)
+
+
+def _mask(here: Bucket, right: pa.Table, length: int) -> np.ndarray:
+    """Step 5: which bytes of the bucket's buffer go."""
+    bodies = [unpack(x) for x in right.column("body").to_pylist()]
+    ranges, same = [b for b in bodies if len(b) == 6], [b for b in bodies if len(b) == 7]
+    keys, start = Docs.unpacked(ranges)
+    doc = here.find(keys)[_column(ranges, 3, start)]
+    at, count = here.at[doc] + _column(ranges, 4), _column(ranges, 5)
+    if same:  # what was found in a slice holds for the other places of the slice in the same text, too
+        by = np.argsort(at, kind="stable")
+        at, count = at[by], count[by]
+        keys, start = Docs.unpacked(same)
+        base = here.at[here.find(keys)[_column(same, 3, start)]]
+        model, again, many = base + _column(same, 4), base + _column(same, 5), _column(same, 6)
+        a, b = np.searchsorted(at, model), np.searchsorted(at, model + many)
+        each = b - a
+        pick = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(a, each)
+        at, count = np.concatenate([at, at[pick] + np.repeat(again - model, each)]), np.concatenate([count, count[pick]])
+    edge = np.bincount(at, minlength=len(here.raw) + 1)[: len(here.raw) + 1] - np.bincount(at + count + length - 1, minlength=len(here.raw) + 1)[: len(here.raw) + 1]
+    mask = np.cumsum(edge[:-1]) > 0
+    for i in np.flatnonzero(here.one != np.arange(len(here.one))).tolist():
+        mask[here.at[i] : here.at[i + 1]] = mask[here.at[here.one[i]] : here.at[here.one[i] + 1]]
+    return mask
+
+
+def _whole_characters(raw: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The removed bytes without those that would leave a part of a character: such characters stay."""
-    lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    lead = (raw & 0xC0) != 0x80
     char = np.cumsum(lead) - 1
     gone = np.bincount(char, mask) == np.bincount(char)
-    return gone[char]
+    return gone[char] if len(raw) else mask
+
+
+def hot_marks(texts: DataFrame, rows: int, length: int) -> np.ndarray:
+    """Marks of very many documents, by the bounded sample."""
+    share = max(SAMPLE_SHARE, -(-rows // SAMPLE_ROWS))
+    sample = texts.where(F.pmod(F.xxhash64("num", "text"), F.lit(share)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            text, _, _, mark = runs(*utf8(batch.column("text")), length)
+            by = np.lexsort((mark, text))
+            yield pa.record_batch({"mark": pa.array(mark[by][_first(mark[by], text[by])].view(np.int64))})
+
+    often = map_arrow(sample.select("text"), run, "mark long").groupBy("mark").count().where(F.col("count") >= SAMPLE_TIMES)
+    return np.sort(np.array([r["mark"] for r in often.orderBy(F.col("count").desc(), "mark").limit(HOT_MARKS).collect()], np.int64).view(np.uint64))
 
 
-def _joined(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    total = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n_docs = max(1, -(-int(total[0] or 0) // BUCKET_BYTES), -(-int(total[1]) // 100_000))
+def _joined(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Long texts in document buckets, what was found of them, and the rows with short texts."""
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) >= length
+    total, rows = documents.where(long).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n_docs = max(1, -(-int(total) // BUCKET_BYTES), -(-int(rows) // 100_000))
     n = max(n_docs, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = ordered(documents.where(long), [whole_row(documents).alias("row"), F.col("text").alias("text")])
+    twice = numbered.groupBy("num").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    texts = numbered.withColumn("tag", F.lit(0).cast("long") if twice else F.xxhash64("text"))
+    asks = _opened(_marked(texts, n, n_docs, length, hot_marks(texts, int(rows), length)), n, n_docs)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doc_bucket(_ids(batch.column("doc_id")), n_docs).astype(np.int32))], names=[*batch.schema.names, "__doc_bucket"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Docs.of(batch).bucket(n_docs).astype(np.int32))], names=[*batch.schema.names, "bucket"])
 
-    texts = map_arrow(documents, place, documents._jdf.schema().toDDL() + ", __doc_bucket int")
-    settled = materialise(_settle(_marked(documents, n, length), n_docs))  # read twice below
-    found = _sorted(_slices(texts, settled, n, length), n_docs, length)
-    both = settled.withColumn("sorted", F.lit(False)).unionByName(found.withColumn("sorted", F.lit(True)))
-    return texts, both
+    slim = texts.drop("text")
+    dealt = map_arrow(slim, place, T.StructType([*slim.schema.fields, T.StructField("bucket", T.IntegerType())])).repartition(n_docs, "bucket")
+    found = _sorted(_slices(dealt, asks, n, n_docs, length), n, n_docs, length).repartition(n_docs, "bucket")
+    return dealt, found, documents.where(~long)
 
 
 def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts, both = _joined(documents.select("doc_id", "text"), length)
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    documents = documents.select("doc_id", "text")
+    texts, found, short = _joined(documents, length)
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        ids: list[pa.Array] = []
-        for batch, masks in _masks(left, right, length):
-            ids.append(batch.column("doc_id"))
-            for text, mask in masks:
-                if mask is None:
-                    rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
-                else:
-                    edge = np.diff(mask.astype(np.int8), prepend=0)
-                    rows.append((len(text), int(mask.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(text, np.uint8)[~mask].tobytes()).hexdigest()))
-        a, b, c, d = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({"doc_id": pa.chunked_array(ids, left.schema.field("doc_id").type), "n_bytes": pa.array(a, pa.int64()), "n_removed": pa.array(b, pa.int64()), "n_spans": pa.array(c, pa.int64()), "kept_sha256": pa.array(d, pa.string())})
-
-    return texts.groupBy("__doc_bucket").cogroup(both.groupBy("__doc_bucket")).applyInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        here = Bucket(left)
+        mask = _mask(here, right, length) if right.num_rows else np.zeros(len(here.raw), bool)
+        begin = mask.copy()
+        begin[1:] &= ~mask[:-1]
+        begin[here.at[:-1]] = mask[here.at[:-1]]
+        n = np.diff(here.at)
+        gone, spans = np.add.reduceat(mask, here.at[:-1], dtype=np.int64), np.add.reduceat(begin, here.at[:-1], dtype=np.int64)
+        kept, at = here.raw[~mask].tobytes(), np.concatenate([[0], np.cumsum(n - gone)]).tolist()
+        return pa.table([here.fields["doc_id"], pa.array(n), pa.array(gone), pa.array(spans), pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(at, at[1:])])], names=schema.names)
+
+    whole = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    none = F.lit(0).cast("long")
+    return whole.unionByName(short.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256")))
 
 
 def cleaned(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, with repeated passages cut out of the text; a character that is repeated only in part stays. A null text becomes empty."""
-    texts, both = _joined(documents, length)
+    texts, found, short = _joined(documents, length)
     names = documents.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for batch, masks in _masks(left, right, length):
-            kept = [text if mask is None else np.frombuffer(text, np.uint8)[~_whole_characters(text, mask)].tobytes() for text, mask in masks]
-            columns = [pa.array(kept, pa.binary()).cast(pa.string()) if name == "text" else batch.column(name) for name in names]
-            out.append(pa.table(dict(zip(names, columns))))
-        return pa.concat_tables(out) if out else left.select(names)
-
-    return texts.groupBy("__doc_bucket").cogroup(both.groupBy("__doc_bucket")).applyInArrow(run, documents._jdf.schema().toDDL())
+        here = Bucket(left)
+        if right.num_rows:
+            mask = _whole_characters(here.raw, _mask(here, right, length))
+            kept, size = here.raw[~mask].tobytes(), np.diff(here.at) - np.add.reduceat(mask, here.at[:-1], dtype=np.int64)
+            at = np.concatenate([[0], np.cumsum(size)]).tolist()
+            here.fields["text"] = pa.array([kept[a:b] for a, b in zip(at, at[1:])], pa.binary()).cast(pa.string())
+        return pa.table([here.fields[c] for c in names], names=names)
+
+    whole = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, documents.schema)
+    return whole.unionByName(short.withColumn("text", F.coalesce("text", F.lit(""))))

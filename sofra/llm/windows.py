@@ -44,10 +44,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, at: np.ndarray, length: int = 50, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, start in the text, windows in the run, mark, hash of the slice) of all runs, in order of place."""
+    """(text number, start in the text, windows in the run, mark) of all runs, in order of place."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none.astype(np.uint64))
     if len(raw) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     gram = min(gram, length)
     marks = _sliding_min(_gram_hashes(raw, gram), length - gram + 1)
     size = np.diff(at)
@@ -62,7 +63,7 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int = 50, gram: int = GRAM) ->
     begin &= valid
     lo = np.flatnonzero(begin)
     if not len(lo):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     text = np.searchsorted(at, lo, side="right") - 1
     stop = np.minimum(np.append(lo[1:], len(marks)), at[text + 1] - length + 1)
     many = stop - lo
@@ -71,13 +72,14 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int = 50, gram: int = GRAM) ->
         rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         lo, stop, text = np.repeat(lo, parts) + rank * MOST_RUN, np.repeat(stop, parts), np.repeat(text, parts)
         many = np.minimum(stop - lo, MOST_RUN)
-    # every window's own hash, folded over the run: order counts through the odd multipliers
-    with np.errstate(over="ignore"):
-        h = _gram_hashes(raw, 16)
-        first, last = h[lo], h[lo + many + length - 1 - 16]
-        inner = np.zeros(len(lo), np.uint64)
-        for j in range(8, int(many.max()) + length - 16, 8):
-            live = j < many + length - 16
-            inner = np.where(live, (inner + h[np.minimum(lo + j, len(h) - 1)]) * _MULT, inner)
-        slices = mix64(mix64(first) * _MULT + last + inner * np.uint64(0x9E3779B97F4A7C15) + many.astype(np.uint64))
-    return text, lo - at[text], many, mix64(marks[lo]), slices  # smallest hashes are small numbers; mixed, they spread over buckets
+    return text, lo - at[text], many, mix64(marks[lo])  # smallest hashes are small numbers; mixed, they spread over buckets
+
+
+def marks_at(raw: np.ndarray, starts: np.ndarray, length: int = 50, gram: int = GRAM) -> np.ndarray:
+    """The marks of the windows that begin at the places."""
+    gram = min(gram, length)
+    h = _gram_hashes(raw, gram)
+    out = h[starts]
+    for j in range(1, length - gram + 1):
+        np.minimum(out, h[starts + j], out=out)
+    return mix64(out)

@@ -1,40 +1,58 @@
 """Near-duplicate components by a chosen-path similarity join on word shingles.
 
-Documents with equal shingle sets are one node of the join from the start. `trees` independent trees branch each node by
-`depth` minwise tokens; what shares all tokens of a path meets in a tree node. Two sets of similarity J stay together
-down one path with probability J**depth, so at J = 0.8 all 32 trees of depth 4 miss a pair with probability 5e-8.
-
-Small tree nodes are compared exhaustively. In larger ones, every member is first compared with the node's leader, then
-with a second leader; what is linked then is one component, and a node within one component is done. The members of the
-others, such as documents around one common passage, branch once more, by their rarest shingles: two sets of similarity
-J share one of the rarest (1 - J) part of their shingles, and what a pair can still share from there on is known from
-the places of that shingle in both. This step is exact. Comparisons start with 128 one-bit minhash samples, natively;
-what passes is confirmed on full sets. No comparison is left out that could join two components, and none is made
-within one, so nothing grows with the square of a group of copies.
-
-Documents without words have empty sets and no links. A document is a distinct pair of id and text, and its node in the
-join is a hash of both, so rows that share an id, or have none, are linked by their texts only. A component is named after
-its smallest id, where a null counts as the smallest; its first document has that id and, of several such, the smallest
-hash. Equal rows give equal results."""
+Documents with equal shingle sets are one node of the join from the start. Each of several independent trees branches the
+documents by one minwise token of their sets, level by level. A tree node with few members is compared exhaustively and
+ends there. A large one branches on: it draws BRANCHES tokens by its own path and sends every member down each of them. A
+pair of similarity J follows a token together with probability J, so with BRANCHES * J well over 1 the share of pairs
+that a large node loses stays bounded however deep the recursion goes; the number of trees follows from that share and
+from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
+
+A large node in which most members resemble its leader is a cluster of near copies and branches no further; neither does
+a node at the last level. Their members are compared with the leader, then with a second leader; what is linked then is
+one component, and a node within one component is done. The members of the others, such as documents around one common
+passage, are joined by their rarest shingles: two sets of similarity J share one of the rarest (1 - J) part of their
+shingles, and what a pair can still share from there on is known from the places of that shingle in both. All comparisons
+start with 128 one-bit minhash samples, natively, with six standard deviations to spare (a true pair fails with
+probability 1e-9); what passes is confirmed on full sets. No comparison is made within a component, so nothing grows with
+the square of a group of copies.
+
+Documents without words have empty sets and no links; null texts are empty. A document is a distinct pair of id and text,
+and its node in the join is a hash of both, so rows that share an id, or have none, are linked by their texts only. A
+component is named after its smallest id, where a null counts as the smallest; its first document has that id and, of
+several such, the smallest hash. Equal rows give equal results. Ids of any type that sorts will do; other columns may have
+any names. A very long text is one step of its task. An empty table gives no rows."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, materialise, mix64, shingle_hashes, steps, utf8, word_hashes
+from .common import map_arrow, materialise, mix64, shingle_hashes, steps, utf8, whole_row, word_hashes
 from .components import components
 
-TREES, DEPTH, BITS = 32, 4, 128
+#: Minwise tokens of a set, of which tree nodes draw; levels of a tree; branches of a large node at least; probability to miss a pair.
+TOKENS, DEPTH, BRANCHES, MISS = 128, 6, 2, 1e-7
 #: Members up to which a tree node is compared exhaustively at once.
 SMALL = 6
-_MULT = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
-_SALT = mix64(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64))
+_MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
+_SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
+
+
+def plan(similarity: float, depth: int = DEPTH, miss: float = MISS) -> tuple[int, int]:
+    """(trees, branches): so many that a pair of the similarity that stays in large nodes to the last level is missed with
+    the probability; pairs that end in small nodes before are missed less often."""
+    branches = max(BRANCHES, math.ceil(1.5 / similarity))
+    kept = 1.0  # probability that a pair in a node is compared below it
+    for _ in range(depth - 1):
+        kept = 1 - (1 - similarity * kept) ** branches
+    return min(TOKENS, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - similarity * kept)))), branches
 
 
 def minwise(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -59,40 +77,36 @@ def node() -> Column:
 
 
 def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, id, n, digest, paths, lo, hi): each row's node, the size and digest of its set, the set's path in every tree, its one-bit samples."""
+    """(doc_id, id, n, digest, tokens, lo, hi): each row's node, the size and digest of its set, the set's minwise tokens, its one-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             sets, at = shingle_hashes(*word_hashes(*utf8(batch.column("text"))), k)
             n = np.diff(at)
             some = np.flatnonzero(n)
-            paths = np.zeros((len(n), TREES), np.uint64)
+            tokens = np.zeros((len(n), TOKENS), np.int32)
             lo, hi = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             if len(some):
                 v = mix64(minwise(sets, np.append(at[:-1][some], len(sets))))
-                with np.errstate(over="ignore"):
-                    path = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(some), 1), np.uint64)
-                    for d in range(DEPTH):
-                        path = mix64(path * np.uint64(0x5851F42D4C957F2D) + v[:, d::DEPTH])
-                paths[some] = path
-                bit = (v & np.uint64(1)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))
+                tokens[some] = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                bit = (v & np.uint64(1)) << (np.arange(TOKENS, dtype=np.uint64) % np.uint64(64))
                 lo[some], hi[some] = np.bitwise_or.reduce(bit[:, :64], 1), np.bitwise_or.reduce(bit[:, 64:], 1)
             whole = sets.tobytes()
             digest = [hashlib.blake2b(whole[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            flat = pa.array(paths.reshape(-1).view(np.int64))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), flat)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": batch.column("id"), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digest, pa.binary()), "paths": listed, "lo": _signed(lo), "hi": _signed(hi)})
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), pa.array(tokens.reshape(-1)))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": batch.column("id"), "n": pa.array(n.astype(np.int64)), "digest": pa.array(digest, pa.binary()), "tokens": listed, "lo": _signed(lo), "hi": _signed(hi)})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text", node().alias("id")), run, f"doc_id {kind}, id long, n long, digest binary, paths array<long>, lo long, hi long")
+    own = [T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
+    own += [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]
+    return map_arrow(documents.select("doc_id", "text", node().alias("id")), run, T.StructType(own))
 
 
 def _may(similarity: float) -> Column:
     """Whether rows x and y can have the similarity: by size, and by one-bit samples with six standard deviations to spare."""
     agree = (1 + similarity) / 2
-    spare = 6 * (agree * (1 - agree) / BITS) ** 0.5
+    spare = 6 * (agree * (1 - agree) / TOKENS) ** 0.5
     differ = F.bit_count(F.col("x.lo").bitwiseXOR(F.col("y.lo"))) + F.bit_count(F.col("x.hi").bitwiseXOR(F.col("y.hi")))
-    return (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (differ <= int(BITS * (1 - agree + spare)))
+    return (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (differ <= int(TOKENS * (1 - agree + spare)))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -167,19 +181,52 @@ def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * round(100 * similarity) / 100) + 1).select("id", "token", "place", "m")
 
 
+def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The trees over (id, n, lo, hi, tokens): the members (path, id, n, lo, hi) of the small nodes at which they end, and
+    those of the large ones that branch no further, with their leader `y` and whether they may resemble it. Members meet
+    by path through sizes and leaders written before, so a node of very many members is split over tasks."""
+    trees, branches = plan(similarity, depth)
+    few, many = [], []
+    live = nodes.select("id", "n", "lo", "hi", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token")).select("id", "n", "lo", "hi", F.xxhash64("tree", "token").alias("path"))
+    for level in range(1, depth + 1):
+        sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        met = materialise(live.join(sizes, "path"))
+        few.append(met.where(F.col("size") <= small).drop("size"))
+        large = met.where(F.col("size") > small).drop("size")
+        if large.isEmpty():
+            break
+        lead = materialise(large.groupBy("path").agg(F.min(F.struct("id", "n", "lo", "hi")).alias("y")))
+        x = large.join(lead, "path").select("path", F.struct("id", "n", "lo", "hi").alias("x"), "y")
+        seen = materialise(x.select("path", "x.*", "y", ((F.col("x.id") == F.col("y.id")) | _may(similarity)).alias("near")))
+        share = seen.groupBy("path").agg(F.avg(F.col("near").cast("double")).alias("share"))
+        stop = materialise(share.where(F.lit(level == depth) | (F.col("share") >= 0.5)).select("path"))
+        many.append(seen.join(stop, "path", "left_semi"))
+        if level < depth:
+            on = seen.join(stop, "path", "left_anti").select("id", "n", "lo", "hi", "path", F.explode(F.array(*[F.lit(b) for b in range(branches)])).alias("b"))
+            drawn = F.element_at("tokens", (F.pmod(F.xxhash64("path", "b"), F.lit(TOKENS)) + 1).cast("int"))
+            live = materialise(on.join(nodes.select("id", "tokens"), "id").select("id", "n", "lo", "hi", F.xxhash64("path", "b", drawn).alias("path")))
+    ends = few[0]
+    for part in few[1:]:
+        ends = ends.unionByName(part)
+    if not many:
+        y = F.struct("id", "n", "lo", "hi").alias("y")
+        return ends, ends.limit(0).select("path", "id", "n", "lo", "hi", y, F.lit(True).alias("near"))
+    wide = many[0]
+    for part in many[1:]:
+        wide = wide.unionByName(part)
+    return ends, materialise(wide)
+
+
 def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
     """(doc_id, id, n_shingles, first) of every row; first: doc_id and node of the first document of its component."""
     table = materialise(sketches(documents, k))
     # documents with equal sets are one node, the smallest of theirs
-    rep = materialise(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct("doc_id", "id")).alias("first")))
-    nodes = table.where("n > 0").join(rep, "digest").where("id = rep").dropDuplicates(["id", "digest"])
-    member = materialise(nodes.select("id", "n", "lo", "hi", F.explode("paths").alias("path")))
-    sizes = member.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
-    shared = materialise(member.join(sizes, "path"))
-    few, many = shared.where(F.col("size") <= small), shared.where(F.col("size") > small)
+    once = table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct("doc_id", "id")).alias("first"), *[F.first(c).alias(c) for c in ("n", "lo", "hi", "tokens")])
+    nodes = materialise(once)
+    rep = nodes.select("digest", F.col("id").alias("rep"), "first")
+    few, many = grown(nodes, similarity, small)
     near = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & _may(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    leaders = many.where("id = leader")
-    star = many.alias("x").join(leaders.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") != F.col("y.id")) & _may(similarity)).select(*_pair("x.id", "y.id"))
+    star = many.where("near AND id <> y.id").select(*_pair("id", "y.id"))
     pairs = materialise(near.union(star).distinct())
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("id")).distinct()
     sets = shingle_sets(documents, needed, k)
@@ -214,8 +261,8 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
         links = links.union(found)
         comp = components(links)
     of = materialise(rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "first", "comp"))
-    heads = of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head"))
-    of = of.join(heads, "comp", "left").select("digest", F.coalesce("head", "first").alias("first"))
+    heads = materialise(of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head")))
+    of = materialise(of.join(heads, "comp", "left").select("digest", F.coalesce("head", "first").alias("first")))
     return table.join(of, "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("doc_id", "id")).alias("first"))
 
 
@@ -226,9 +273,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
 
 
 def representatives(documents: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns, that are the first of their component; of rows with equal id and text, one."""
-    names = documents.columns
-    kept = placed_rows(documents, k, similarity, SMALL).where("first.id = id").select(F.col("id").alias("__key")).distinct()
-    keyed = documents.withColumn("__key", node())
-    own = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_last())
-    return keyed.join(kept, "__key", "left_semi").withColumn("__row", F.row_number().over(own)).where("__row = 1").select(*names)
+    """The documents, all columns, that are the first of their component; of rows with equal id and text, the one whose
+    columns hash lowest."""
+    rows = placed_rows(documents, k, similarity, SMALL).where("first.id = id")
+    kept = materialise(rows.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("times")))
+    own = documents.select(whole_row(documents).alias("row"), node().alias("key"))
+    out = own.join(kept.where("times = 1"), "key", "left_semi").select("row")
+    often = kept.where("times > 1")
+    if not often.isEmpty():
+        again = own.join(often, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(again.select("row"))
+    return out.select("row.*")

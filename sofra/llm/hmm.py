@@ -8,12 +8,16 @@ training words, else one of SHAPES made from its first two bytes and its last on
 P(word | class) = (1 - u) * (c + 0.5) / (N_class + 0.5 * V_class) for training words and u for an unknown one, where u is
 the share of words seen once in the class (Good-Turing), so each class sums to 1 over its known words and one unknown.
 The hidden Markov part has STATES states; each round of Baum-Welch takes expected counts of all training tokens in every
-partition (pieces of PIECE tokens) and adds them up with a shuffled sum. The scaled forward recursion then runs over
-whole texts. Only initial emissions come from a bounded sample.
+partition and adds them up with a shuffled sum. For these counts a long text is walked in pieces of PIECE tokens. Each
+piece after the first begins WARM tokens early, from the states' overall shares, and these tokens count in the piece
+before only, so every token and every move counts once, and starts are counted where texts start. The scaled forward
+recursion of the score runs over whole texts. Only initial emissions come from a bounded sample.
 
 Counts of the LOCAL most frequent words (bounded) go to every task; the others meet the texts by a join on the word, so
 no word's group is large. A null text is an empty one, an end token alone. Equal rows get equal results; two rows are
-told apart by a 64-bit hash of id and text. Without training rows all words are unknown."""
+told apart by a 64-bit hash of id and text. Without training rows all words are unknown. Ties among frequent words go by
+the word. A very long text is one step of its task. An empty table gives no rows. Ids of any type will do; other columns
+are not looked at, whatever their names."""
 
 from __future__ import annotations
 
@@ -25,10 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fold, map_arrow, materialise, steps, texts, words
 
-OWN, LOCAL, STATES, PIECE, ROUNDS = 1024, 65_536, 12, 512, 4
+OWN, LOCAL, STATES, PIECE, WARM, ROUNDS = 1024, 65_536, 12, 512, 16, 4
 FIRST, LAST = 64, 8
 SHAPES = FIRST * LAST
 CLASSES = 1 + OWN + SHAPES
@@ -42,6 +48,8 @@ _END_KIND[48:58] = 4
 _END_KIND[128:192] = 5
 _END_KIND[[124, 40, 41, 91, 93, 34, 39]] = 6
 _KIND = _END_KIND.tolist()
+_COLUMNS = ("doc_id", "key", "train", "n_tokens", "n_known", "base", "inner")
+_KINDS = (T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
 
 
 def shape(word: bytes) -> int:
@@ -150,8 +158,8 @@ def sequences(documents: DataFrame, frequent: list[tuple[bytes, int]], known: np
             a, b, c, d, e = zip(*rows)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "train": batch.column("train"), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "base": pa.array(c), "inner": pa.array(d), "seq": pa.array(e, pa.binary())})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents, run, f"doc_id {kind}, key long, train boolean, n_tokens long, n_known long, base double, inner double, seq binary")
+    own = [T.StructField(c, kind) for c, kind in zip(_COLUMNS, (documents.schema["doc_id"].dataType, *_KINDS))]
+    return map_arrow(documents, run, T.StructType([*own, T.StructField("seq", T.BinaryType())]))
 
 
 def rare_words(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
@@ -173,8 +181,9 @@ def rare_words(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataF
 
 
 class Model:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray | None = None):
         self.start, self.move, self.emit = start, move, emit  # emit: CLASSES x STATES
+        self.share = start if share is None else share  # how often each state is, anywhere
 
 
 def _mixture(histograms: np.ndarray, states: int, rounds: int = 30) -> np.ndarray:
@@ -246,28 +255,38 @@ def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (the E step)."""
+def pieces(seq: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """Parts of a sequence, and whether each is its begin. All but the first begin WARM tokens early."""
+    return [(seq[max(0, i - WARM) : i + PIECE], i == 0) for i in range(0, len(seq), PIECE)]
+
+
+def expected(model: Model, parts: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions (the E step) of the parts of pieces()."""
     k = len(model.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+    seqs, is_first = [s for s, _ in parts], np.array([f for _, f in parts], bool)
     for group in _groups(seqs, GROUP_TOKENS):
         tokens, at = _laid(seqs, group)
+        first = is_first[group]
         b = model.emit[tokens]
         alpha, scale, edges = np.empty_like(b), np.empty(len(b)), at.tolist()
         for t, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            a = (model.start if t == 0 else alpha[edges[t - 1] : edges[t - 1] + hi - lo] @ model.move) * b[lo:hi]
+            a = (np.where(first[:, None], model.start, model.share) if t == 0 else alpha[edges[t - 1] : edges[t - 1] + hi - lo] @ model.move) * b[lo:hi]
             s = a.sum(1)
             alpha[lo:hi], scale[lo:hi] = a / s[:, None], s
         beta = np.ones_like(b)
         for t in range(len(edges) - 3, -1, -1):
             lo, nlo, nhi = edges[t], edges[t + 1], edges[t + 2]
+            n = nhi - nlo
             after = b[nlo:nhi] * beta[nlo:nhi] / scale[nlo:nhi, None]
-            move += alpha[lo : lo + nhi - nlo].T @ after
-            beta[lo : lo + nhi - nlo] = after @ model.move.T
+            counted = slice(None) if t + 1 >= WARM else first[:n]  # the move into a token counts where the token does
+            move += alpha[lo : lo + n][counted].T @ after[counted]
+            beta[lo : lo + n] = after @ model.move.T
         gamma = alpha * beta
-        start += gamma[: edges[1]].sum(0)
+        start += gamma[: edges[1]][first].sum(0)
+        own = np.concatenate([np.ones(hi - lo, bool) if t >= WARM else first[: hi - lo] for t, (lo, hi) in enumerate(zip(edges, edges[1:]))])
         for j in range(k):
-            emit[:, j] += np.bincount(tokens, gamma[:, j], CLASSES)
+            emit[:, j] += np.bincount(tokens[own], gamma[own, j], CLASSES)
     return start, move * model.move, emit
 
 
@@ -292,8 +311,8 @@ def improve(model: Model, trained: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for pool in _pools(batches, POOL_TOKENS):
-            seqs = [s[i : i + PIECE] for (raw,) in pool for s in [np.frombuffer(raw, "<u2")] for i in range(0, len(s), PIECE)]
-            got = np.concatenate([x.ravel() for x in expected(shared.value, seqs)])
+            parts = [p for (raw,) in pool for p in pieces(np.frombuffer(raw, "<u2"))]
+            got = np.concatenate([x.ravel() for x in expected(shared.value, parts)])
             total = got if total is None else total + got
         if total is not None:
             some = np.flatnonzero(total)
@@ -305,9 +324,10 @@ def improve(model: Model, trained: DataFrame) -> Model:
     for r in rows:
         flat[r["i"]] = r["x"]
     start, move, emit = flat[:k] + 0.1, flat[k : k + k * k].reshape(k, k) + 0.1, flat[k + k * k :].reshape(CLASSES, k)
+    share = emit.sum(0) + 0.1
     overall = emit.sum(1, keepdims=True) + 0.01
     emit = emit + 5.0 * overall / overall.sum()
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), share / share.sum())
 
 
 def score(documents: DataFrame, folds: int = 5, held: int = 1, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
@@ -341,9 +361,9 @@ def score(documents: DataFrame, folds: int = 5, held: int = 1, rounds: int = ROU
             cols = list(zip(*pool))
             yield pa.record_batch({"doc_id": pa.array(cols[0], ids), "key": pa.array(cols[1], pa.int64()), "train": pa.array(cols[2], pa.bool_()), "n_tokens": pa.array(cols[3], pa.int64()), "n_known": pa.array(cols[4], pa.int64()), "base": pa.array(cols[5], pa.float64()), "inner": pa.array(cols[6], pa.float64()), "ll": pa.array(ll)})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    chained = map_arrow(table, run, f"doc_id {kind}, key long, train boolean, n_tokens long, n_known long, base double, inner double, ll double")
+    own = [T.StructField(c, kind) for c, kind in zip(_COLUMNS, (documents.schema["doc_id"].dataType, *_KINDS))]
+    ids = to_arrow_type(own[0].dataType)
+    chained = map_arrow(table, run, T.StructType([*own, T.StructField("ll", T.DoubleType())]))
     per_row = sums.join(times, "key").select("key", *[(F.col(x) / F.col("times")).alias(x) for x in ("r_known", "r_base", "r_inner")])
     both = chained.join(per_row, "key", "left").na.fill(0.0, ["r_known", "r_base", "r_inner"])
     whole = float(np.log10(n + 0.5 * (v + 1)))

@@ -5,17 +5,21 @@ images of 64 samples a row, in archives of bounded size. An archive is its membe
 fixed-width entries, then a footer:
 
     member      a PNG file; a private chunk holds the number of bytes before padding
-    entry       doc_id (8 bytes), 1 if it is not null (8), offset (8), length (8), crc32 of the member (8), little-endian
+    key         the member's doc_id as UTF-8 text; keys lie end to end behind the members
+    entry       offset and length of the key (length -1: null), offset, length and crc32 of the member; 8 bytes each, little-endian
     footer      b"SOFRAARC", offset of the directory (8), number of entries (8)
 
 Archives are written under a name of the task attempt and listed by a manifest row only when complete, so an attempt
 that is lost or repeated leaves a file that nothing reads.
 
-Reading: the source `sofra_archive` plans byte ranges of the directories, from the footers alone; a task reads its range
-of entries, streams the members as Arrow batches, and retries each member by its offset, alone, if reading fails or its
+Reading: the manifest, a Parquet table of all complete archives, holds where each directory begins and how many entries it
+has. The source `sofra_archive` plans byte ranges of the directories from the manifest alone and opens no archive for it;
+the plan has one small entry for each range, as a plan over files has. A task reads its range of entries, streams the members as Arrow batches, and retries each member by its offset, alone, if reading fails or its
 checksum differs. A member that stays unreadable raises an error; nothing is skipped.
 
-A null text is an empty one: a payload of 64 zero bytes. Equal texts give equal media."""
+A null text is an empty one: a payload of 64 zero bytes. Equal texts give equal media. Repeated rows are members of their
+own. Ids may be of any type that casts to text and back. A very long text is one member, whole in one task's memory. An
+empty table gives no archives and no rows. Other columns are not stored, whatever their names."""
 
 from __future__ import annotations
 
@@ -30,7 +34,9 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import map_arrow, scratch_dir, steps, texts
@@ -90,44 +96,53 @@ def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class ArchiveWriter:
-    """Members, then the directory, then the footer, through any file system that Arrow knows."""
+    """Members, then keys and the directory, then the footer, through any file system that Arrow knows."""
 
     def __init__(self, path: str):
-        self.path, self.at, self.entries = path, 0, []
+        self.path, self.at, self.entries, self.keys = path, 0, [], []
         fs, name = _files(path)
         fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
         self.out = fs.open_output_stream(name)
 
-    def add(self, doc_id: int | None, member: bytes) -> None:
+    def add(self, key: str | None, member: bytes) -> None:
         self.out.write(member)
-        self.entries.append((doc_id or 0, int(doc_id is not None), self.at, len(member), zlib.crc32(member)))
+        self.keys.append(None if key is None else key.encode())
+        self.entries.append((self.at, len(member), zlib.crc32(member)))
         self.at += len(member)
 
-    def close(self) -> int:
-        self.out.write(np.array(self.entries, ENTRY).tobytes())
-        self.out.write(MAGIC + struct.pack("<QQ", self.at, len(self.entries)))
+    def close(self) -> tuple[str, int, int]:
+        """Path, place of the directory and number of entries of the complete archive."""
+        sizes = [0 if k is None else len(k) for k in self.keys]
+        places = self.at + np.cumsum([0, *sizes])
+        self.out.write(b"".join(k or b"" for k in self.keys))
+        entries = [(int(p), -1 if k is None else len(k), *e) for p, k, e in zip(places, self.keys, self.entries)]
+        self.out.write(np.array(entries, ENTRY).tobytes())
+        self.out.write(MAGIC + struct.pack("<QQ", int(places[-1]), len(entries)))
         self.out.close()
-        return len(self.entries)
+        return self.path, int(places[-1]), len(entries)
 
 
-def store(documents: DataFrame, folder: str) -> list[str]:
-    """Archives of all documents' payloads in the folder; the paths of the complete ones (one for about 32 MB)."""
+def store(documents: DataFrame, folder: str) -> str:
+    """Archives of all documents' payloads in the folder, about 32 MB each; the path of the manifest of the complete ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, writer = [], None
         for batch in steps(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            for key, text in zip(batch.column("key").to_pylist(), texts(batch)):
                 if writer is None:
                     writer = ArchiveWriter(f"{folder}/{uuid.uuid4().hex}.arc")
-                writer.add(doc_id, to_png(text))
+                writer.add(key, to_png(text))
                 if writer.at >= ARCHIVE_BYTES:
-                    made.append((writer.path, writer.close()))
+                    made.append(writer.close())
                     writer = None
         if writer is not None:
-            made.append((writer.path, writer.close()))
-        yield pa.record_batch({"path": pa.array([p for p, _ in made], pa.string()), "members": pa.array([n for _, n in made], pa.int64())})
+            made.append(writer.close())
+        path, directory, members = zip(*made) if made else ((), (), ())
+        yield pa.record_batch({"path": pa.array(path, pa.string()), "directory": pa.array(directory, pa.int64()), "members": pa.array(members, pa.int64())})
 
-    return sorted(r["path"] for r in map_arrow(documents.select("doc_id", "text"), run, "path string, members long").collect())
+    rows = map_arrow(documents.select(F.col("doc_id").cast("string").alias("key"), "text"), run, "path string, directory long, members long")
+    rows.write.parquet(f"{folder}/manifest")
+    return f"{folder}/manifest"
 
 
 class DirectoryRange(InputPartition):
@@ -139,21 +154,17 @@ class DirectoryRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options["paths"].split("\n") if p]
-        self.entries = int(options.get("entries", RANGE_ENTRIES))
+        self.manifest, self.entries = options["manifest"], int(options.get("entries", RANGE_ENTRIES))
 
     def partitions(self) -> list[DirectoryRange]:
-        out = []
-        for path in self.paths:
-            fs, name = _files(path)
-            with fs.open_input_file(name) as f:
-                f.seek(f.size() - FOOTER)
-                foot = f.read(FOOTER)
-            if foot[:8] != MAGIC:
-                raise ValueError(f"{path} is not a complete archive")
-            at, n = struct.unpack("<QQ", foot[8:])
-            wide = FIELDS * ENTRY.itemsize
-            out += [DirectoryRange(path, at + wide * i, at + wide * min(n, i + self.entries)) for i in range(0, n, self.entries)]
+        fs, name = _files(self.manifest)
+        wide, out = FIELDS * ENTRY.itemsize, []
+        for file in fs.get_file_info(pa.fs.FileSelector(name)):
+            if file.path.endswith(".parquet"):
+                with fs.open_input_file(file.path) as f:
+                    for row in pq.read_table(f).to_pylist():
+                        at, n = row["directory"], row["members"]
+                        out += [DirectoryRange(row["path"], at + wide * i, at + wide * min(n, i + self.entries)) for i in range(0, n, self.entries)]
         return out or [DirectoryRange("", 0, 0)]
 
     def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
@@ -161,16 +172,18 @@ class ArchiveReader(DataSourceReader):
             return
         f = Members(partition.path)
         entries = np.frombuffer(f.at(partition.first, partition.stop - partition.first), ENTRY).reshape(-1, FIELDS)
-        ids, bodies, size = [], [], 0
-        for doc_id, known, offset, length, crc in entries.tolist():
-            ids.append(doc_id if known else None)
+        begin = int(entries[0, 0])
+        names = f.at(begin, int(entries[-1, 0] + max(0, entries[-1, 1])) - begin)
+        keys, bodies, size = [], [], 0
+        for key, wide, offset, length, crc in entries.tolist():
+            keys.append(None if wide < 0 else names[key - begin : key - begin + wide].decode())
             bodies.append(f.at(offset, length, crc))
             size += length
             if size >= BATCH_BYTES:
-                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "media": pa.array(bodies, pa.binary())})
-                ids, bodies, size = [], [], 0
-        if ids:
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "media": pa.array(bodies, pa.binary())})
+                yield pa.record_batch({"key": pa.array(keys, pa.string()), "media": pa.array(bodies, pa.binary())})
+                keys, bodies, size = [], [], 0
+        if keys:
+            yield pa.record_batch({"key": pa.array(keys, pa.string()), "media": pa.array(bodies, pa.binary())})
 
 
 class Members:
@@ -201,14 +214,14 @@ class Members:
 
 
 class ArchiveSource(DataSource):
-    """Format `sofra_archive`: option `paths`, archives one a line; option `entries`, directory entries a partition."""
+    """Format `sofra_archive`: option `manifest`, path of the manifest of store(); option `entries`, directory entries a partition."""
 
     @classmethod
     def name(cls) -> str:
         return "sofra_archive"
 
     def schema(self) -> str:
-        return "doc_id bigint, media binary"
+        return "key string, media binary"
 
     def reader(self, schema) -> ArchiveReader:
         return ArchiveReader(self.options)
@@ -227,28 +240,29 @@ def feature(body: bytes) -> str:
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """Features of (doc_id, media) rows."""
+    """Features of (key, media) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             images = batch.column("media").to_pylist()
             both = [from_png(m) for m in images]
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_bytes": pa.array([n for _, n in both], pa.int64()), "payload_bytes": pa.array([len(b) for b, _ in both], pa.int64()),
+                "key": batch.column("key"), "n_bytes": pa.array([n for _, n in both], pa.int64()), "payload_bytes": pa.array([len(b) for b, _ in both], pa.int64()),
                 "payload_sha256": pa.array([hashlib.sha256(b).hexdigest() for b, _ in both]), "tail_crc32": pa.array([zlib.crc32(b[-WIDTH:]) for b, _ in both], pa.int64()),
                 "media_bytes": pa.array([len(m) for m in images], pa.int64()), "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in images]), "feature": pa.array([feature(b) for b, _ in both]),
             })
 
-    return map_arrow(media, run, "doc_id bigint, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, run, "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def open_archives(spark, paths: list[str], entries: int = RANGE_ENTRIES) -> DataFrame:
+def open_archives(spark, manifest: str, entries: int = RANGE_ENTRIES) -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("sofra_archive").option("paths", "\n".join(paths)).option("entries", entries).load()
+    return spark.read.format("sofra_archive").option("manifest", manifest).option("entries", entries).load()
 
 
 def media_features(documents: DataFrame) -> DataFrame:
     """Every text stored, read back and described."""
     spark = documents.sparkSession
     folder = f"{scratch_dir(spark)}/media-{uuid.uuid4().hex}"
-    return decode(open_archives(spark, store(documents, folder)))
+    made = decode(open_archives(spark, store(documents, folder)))
+    return made.select(F.col("key").cast(documents.schema["doc_id"].dataType).alias("doc_id"), *[c for c in made.columns if c != "key"])

@@ -3,13 +3,19 @@
 Sources in code point order (null last) weigh by a repeating cycle and share a total; a target above `limit` times its
 source is cut there and the excess is shared anew by weight. A document's expected copies are target / source size. The
 whole part is taken; fractions are rounded by weighted pivotal steps: two documents exchange words of expected mass, at
-random and without bias, until one of them is whole. A step leaves a source's expected words as they were, so a source
-ends within half a document of its target. Documents are dealt to buckets by a hash of their ids; each bucket leaves one
-fractional document a source, and these meet in a reduction tree of fixed fan-in. All draws come from hashes of ids, so
-reruns and other partitionings agree.
+random and without bias, until one of them is whole. A step leaves a source's expected words as they were.
+
+Rows that agree in id, text and source are one item with a number of copies, counted with partial sums. Items are dealt
+to buckets of bounded size by a hash of all that, so neither a hot source, nor null ids, nor a repeated row make a large
+bucket. In a bucket the largest documents settle first, and each source leaves one fractional item, which meet in a
+reduction tree of fixed fan-in. At the root these meet RESERVED items of each size class (powers of two) that were kept
+back, again the largest first: each class settles among documents of half its size. The one that stays open at last goes
+to the nearer whole number, and what that misses is made up by whole kept-back documents, the largest that fits first, so
+a source ends within about one of its smallest documents of its target. All draws come from hashes, so reruns and other partitionings agree.
 
 Empty and null texts have size 0 and take no words. Sources without words have target 0. A null source is a source.
-Repeated rows are documents of their own. What the driver holds is one row per source."""
+Repeated rows are documents of their own. Ids of any type will do, null too. A very long text is one step of its task. An
+empty table gives no rows. Other columns may have any names. What the driver holds is one row per source."""
 
 from __future__ import annotations
 
@@ -19,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, map_arrow, materialise, mix64, steps, utf8
+from .common import SPACE, map_arrow, materialise, mix64, steps, utf8, whole_row
 
 CYCLE, SHARE, LIMIT = (3, 1, 2), 1.5, 2.0
-BUCKET_ROWS, FAN_IN = 20_000, 64
+#: Items of a bucket, buckets that meet in a node of the tree, items of a source and size class kept back for the root.
+BUCKET_ROWS, FAN_IN, RESERVED = 2_000, 64, 128
 
 
 def word_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -37,15 +45,19 @@ def word_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(start)])[at])
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, size, text_hash) of every row."""
+def sized(documents: DataFrame, row: bool = False) -> DataFrame:
+    """(doc_id, source, size, text_hash, key) of every row, and the whole `row` if wanted; key: a hash of all that makes an item."""
+    columns = [F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("text"), F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text", "source").alias("key")]
+    own = documents.select(*columns, *([whole_row(documents).alias("row")] if row else []))
+    names = [c for c in own.columns if c != "text"] + ["size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": pa.array(word_counts(*utf8(batch.column("text")))), "text_hash": batch.column("text_hash")})
+            size = pa.array(word_counts(*utf8(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([size if c == "size" else batch.column(c) for c in names], names=names)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, source string, size long, text_hash long")
+    fields = {f.name: f for f in own.schema.fields} | {"size": T.StructField("size", T.LongType())}
+    return map_arrow(own, run, T.StructType([fields[c] for c in names]))
 
 
 def targets(sizes: dict[str | None, int], cycle: tuple = CYCLE, share: float = SHARE, limit: float = LIMIT) -> dict[str | None, float]:
@@ -91,17 +103,39 @@ def pivot(weight: list[int], p: list[float], draw: list[float]) -> tuple[list[fl
     return p, open_
 
 
-_NODE = "bucket long, source string, id long, text_hash long, rank long, size long, p double, open boolean"
+def settle(weight: list[int], p: list[float], open_: int | None) -> list[float]:
+    """The last fraction goes to one of its whole numbers, and the words that this misses are made up by whole documents,
+    the largest that fits first, each changed once at most. Of the two ways, the one that misses less is taken."""
+    if open_ is None:
+        return list(p)
+    by = sorted((k for k in range(len(p)) if k != open_ and weight[k] > 0), key=lambda k: -weight[k])
+    best = None
+    for end in (float(round(p[open_])), 1.0 - round(p[open_])):
+        q, missing = list(p), (p[open_] - end) * weight[open_]
+        q[open_] = end
+        for most in (1.0, 2.0):  # what fits whole, then one that goes beyond by less than it mends
+            for k in by:
+                if weight[k] < most * abs(missing) + 1e-9 * (most < 2) and q[k] == p[k] == float(missing < 0):
+                    q[k] = 1.0 - q[k]
+                    missing += -weight[k] if q[k] else weight[k]
+        if best is None or abs(missing) < best[0]:
+            best = abs(missing), q
+    return best[1]
+
 
+_NODE = "bucket long, source string, key long, text_hash long, size long, p double, open boolean"
 
-def _level(rows: DataFrame, salt: int) -> DataFrame:
-    """Pivotal rounding of each (bucket, source)."""
+
+def _level(rows: DataFrame, salt: int, root: bool = False) -> DataFrame:
+    """Pivotal rounding of each (bucket, source), the largest documents first; at the root nothing stays open."""
 
     def run(table: pa.Table) -> pa.Table:
-        d = {n: table.column(n).to_numpy() for n in ("id", "text_hash", "rank", "size", "p")}
-        by = np.lexsort((d["rank"], d["text_hash"], d["id"], _uniform(d["id"], salt)))
-        draw = _uniform(d["id"] ^ d["text_hash"] ^ (d["rank"] << 17), salt + 1)
+        d = {n: table.column(n).to_numpy() for n in ("key", "text_hash", "size", "p")}
+        by = np.lexsort((d["text_hash"], d["key"], _uniform(d["key"], salt), -d["size"]))
+        draw = _uniform(d["key"] ^ d["text_hash"], salt + 1)
         p, open_ = pivot(d["size"][by].tolist(), d["p"][by].tolist(), draw[by].tolist())
+        if root:
+            p, open_ = settle(d["size"][by].tolist(), p, open_), None
         flag = np.zeros(len(by), bool)
         if open_ is not None:
             flag[open_] = True
@@ -110,41 +144,66 @@ def _level(rows: DataFrame, salt: int) -> DataFrame:
     return rows.groupBy("bucket", "source").applyInArrow(run, _NODE)
 
 
-def mix(documents: DataFrame, cycle: tuple = CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken, text_hash, rank) of every row; rank counts equal rows."""
-    rows = sized(documents.withColumn("source", F.col("source").cast("string")))
-    same = Window.partitionBy("doc_id", "text_hash", "source").orderBy("size")
-    rows = materialise(rows.withColumn("rank", F.row_number().over(same).cast("long")))
-    per = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()  # one row per source
-    sizes = {r["source"]: r["s"] for r in per}
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows of items with several copies of which some get one more: numbered through. A task's rows are counted first, so
+    no window holds more than one task's rows of an item."""
+    placed = materialise(rows.withColumn("part", F.spark_partition_id()))
+    counts = placed.groupBy("key", "text_hash", "size", "part").agg(F.count("*").alias("c"))
+    item = Window.partitionBy("key", "text_hash", "size")
+    before = counts.select("key", "text_hash", "size", "part", (F.sum("c").over(item.orderBy("part")) - F.col("c")).alias("before"))
+    own = Window.partitionBy("key", "text_hash", "size", "part").orderBy("whole")
+    numbered = placed.withColumn("nth", F.row_number().over(own)).join(before, ["key", "text_hash", "size", "part"])
+    return numbered.withColumn("rank", F.col("before") + F.col("nth")).drop("part", "before", "nth")
+
+
+def _decided(documents: DataFrame, row: bool, cycle: tuple, share: float, limit: float) -> DataFrame:
+    """Every row of sized() with source_size, target and copies."""
+    rows = sized(documents, row)
+    if not row:
+        rows = materialise(rows)  # small, and read twice
+    items = rows.groupBy("source", "key", "text_hash", "size").agg(F.count("*").alias("c"))
+    items = materialise(items)
+    per = items.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("s"), F.count("*").alias("n")).collect()  # one row per source
+    sizes = {r["source"]: int(r["s"]) for r in per}
     goal = targets(sizes, cycle, share, limit)
     buckets = max(1, -(-sum(r["n"] for r in per) // BUCKET_ROWS))
-    spark = documents.sparkSession
-    plan = spark.createDataFrame([(s, int(sizes[s]), float(goal[s]), float(goal[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes], "source string, source_size long, target double, f double")
-    plan = F.broadcast(plan.withColumnRenamed("source", "of"))  # one row per source
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    of = documents.sparkSession.createDataFrame([(s, sizes[s], float(goal[s]), float(goal[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes], "of string, source_size long, target double, f double")
+    of = F.broadcast(of)  # one row per source
     whole = F.floor(F.col("f") + 1e-12)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    leaf = planned.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), "source", key.alias("id"), "text_hash", "rank", "size", (F.greatest(F.col("f") - whole, F.lit(0.0))).alias("p"), F.lit(False).alias("open"))
-    level = materialise(_level(leaf, 11))
+    extra = F.col("c") * F.greatest(F.col("f") - whole, F.lit(0.0))  # copies of the item beyond the whole ones
+    planned = items.join(of, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "text_hash", "size", "c", extra.alias("extra"))
+    sure = F.floor(F.col("extra") + 1e-12)
+    planned = planned.select("source", "key", "text_hash", "size", "c", sure.alias("sure"), F.greatest(F.col("extra") - sure, F.lit(0.0)).alias("p"))
+    planned = materialise(planned.withColumn("bucket", F.pmod(F.xxhash64("key", "text_hash"), F.lit(buckets))))
+    leaf = planned.select("bucket", "source", "key", "text_hash", "size", "p", F.lit(False).alias("open"))
+    of_class = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy(F.xxhash64("key", F.lit(5)), "key", "text_hash")
+    reserved = leaf.where("size > 0 AND p > 0").withColumn("r", F.row_number().over(of_class)).where(F.col("r") <= RESERVED).drop("r")  # cut before the shuffle
+    reserved = materialise(reserved)
+    rest = leaf.join(reserved.select("key", "text_hash", "size"), ["key", "text_hash", "size"], "left_anti")
+    level = materialise(_level(rest.select(leaf.columns), 11))
     decided, salt = level.where("not open"), 21
     while buckets > 1:
         buckets = -(-buckets // FAN_IN)
         level = materialise(_level(level.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN)), salt))
         decided, salt = decided.unionByName(level.where("not open")), salt + 10
-    # the root: one document a source is still a fraction and goes to the nearer whole number
-    decided = decided.unionByName(level.where("open")).select("id", F.col("text_hash").alias("h"), F.col("rank").alias("r"), F.col("source").alias("of"), F.round("p").cast("long").alias("extra"))
-    same_row = (F.col("l.id") == F.col("d.id")) & (F.col("text_hash") == F.col("h")) & (F.col("rank") == F.col("r")) & F.col("source").eqNullSafe(F.col("of"))
-    out = planned.withColumn("id", key).alias("l").join(decided.alias("d"), same_row)
-    copies = (whole + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash", "rank")
+    root = level.where("open").unionByName(reserved).withColumn("bucket", F.lit(0).cast("long"))
+    decided = decided.unionByName(_level(root, salt, root=True)).select("key", "text_hash", "size", F.round("p").cast("long").alias("last"))
+    known = materialise(planned.join(decided, ["key", "text_hash", "size"]).select("key", "text_hash", "size", "c", (F.col("sure") + F.col("last")).alias("more")))
+    own = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).join(known, ["key", "text_hash", "size"]).withColumn("whole", whole.cast("long")).drop("of", "f")
+    even = own.where("more = 0 OR more = c").withColumn("copies", F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0))
+    if known.where("more > 0 AND more < c").isEmpty():
+        return even
+    odd = _ranked(own.where("more > 0 AND more < c"))
+    return even.unionByName(odd.withColumn("copies", F.col("whole") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)).drop("rank"))
+
+
+def mix(documents: DataFrame, cycle: tuple = CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row."""
+    out = _decided(documents, False, cycle, share, limit)
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, cycle: tuple = CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """The documents, each as often as the mix takes it, with all their columns."""
-    names = documents.columns
-    taken = mix(documents, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("rank").alias("__r"), F.col("source").alias("__s"), F.col("copies").alias("__n")).where("__n > 0")
-    same = Window.partitionBy("doc_id", "__t", "source").orderBy("doc_id")
-    own = documents.withColumn("__t", F.xxhash64("text")).withColumn("__k", F.row_number().over(same).cast("long"))
-    both = own.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")) & (F.col("__k") == F.col("__r")) & F.col("source").eqNullSafe(F.col("__s")))
-    return both.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+    out = _decided(documents, True, cycle, share, limit).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -4,11 +4,16 @@ Every scan task packs its own documents, a chunk at a time; nothing is shuffled.
 tier stand alone. Its rest goes to the shortest tier that holds it. From the longest tier down, each rest opens a window
 of its tier and the gap is filled from shorter tiers: whole rests that fit, the largest first, then one that is cut to
 the gap. What a chunk cannot fill goes on to the next chunk; a task's last tokens are cut into windows of powers of two.
-So windows are full and need no padding. Windows of a tier form step groups with equal numbers of tokens.
+So windows are full and need no padding.
 
-A null text is an empty one, a piece of the end token alone. Repeated rows are packed each. Ids are those of the
-tokenizer file; they come from the library that runs the same vocabulary and merges faster (held against the other in
-the tests)."""
+Step groups are balanced over all tasks: the windows of each length are numbered through (a count for each task and
+length, then running sums of these counts) and dealt to groups of STEP_TOKENS tokens in turn, so all groups of a length
+have equal tokens but for the last one. Only piece rows are written for this; texts are read once and not shuffled.
+
+A null text is an empty one, a piece of the end token alone. Repeated rows are packed each, as are rows that share an id.
+A very long text fills windows of its own and holds its ids in memory until they are written. An empty table gives no
+rows. Ids may have any type; other columns are not looked at, whatever their names. Ids are those of the tokenizer file;
+they come from the library that runs the same vocabulary and merges faster (held against the other in the tests)."""
 
 from __future__ import annotations
 
@@ -20,9 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, steps
+from .common import map_arrow, materialise, steps
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -115,31 +122,31 @@ class Packer:
             left -= window
 
 
-SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+LONGS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "nth")
 
 
 def pack(documents: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """One row per piece: doc_id and the columns of SCHEMA. tokenizer: path of its file, the same on all executors."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's length) and
+    step_group (a number within the tier). tokenizer: path of its file, the same on all executors."""
     if list(tiers) != [tiers[0] << i for i in range(len(tiers))] or tiers[0] & (tiers[0] - 1):
         raise ValueError("tiers are powers of two that follow each other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        base = TaskContext.get().partitionId() << 36
-        packer, live, number, sequence, groups = Packer(tiers), {}, 0, 0, {}
+        task = TaskContext.get().partitionId()
+        packer, live, number, sequence, windows = Packer(tiers), {}, 0, 0, {}
         kind = None
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows: list[tuple] = []
             for window, pieces in packer.windows:
-                done = groups.get(window, 0)
-                groups[window] = done + 1
-                group = base + (window.bit_length() << 30) + done * window // STEP_TOKENS
+                nth = windows.get(window, 0)
+                windows[window] = nth + 1
                 offset = 0
                 for doc, start, size in pieces:
                     doc_id, ids = live[doc]
-                    rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids), base + sequence, offset, window, group))
+                    rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids), (task << 36) + sequence, offset, task, nth, window))
                     offset += size
                 sequence += 1
             packer.windows.clear()
@@ -148,8 +155,7 @@ def pack(documents: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -
                 del live[doc]
             if rows:
                 cols = list(zip(*rows))
-                names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                yield pa.record_batch({"doc_id": pa.array(cols[0], kind)} | {n: pa.array(c, pa.int64()) for n, c in zip(names, cols[1:7])} | {"tier": pa.array(cols[7], pa.int32()), "step_group": pa.array(cols[8], pa.int64())})
+                yield pa.record_batch({"doc_id": pa.array(cols[0], kind)} | {n: pa.array(c, pa.int64()) for n, c in zip(LONGS, cols[1:9])} | {"tier": pa.array(cols[9], pa.int32())})
 
         gathered = 0
         for batch in steps(batches):
@@ -167,5 +173,10 @@ def pack(documents: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -
         packer.pack(last=True)
         yield from emit()
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, {SCHEMA}")
+    fields = [T.StructField("doc_id", documents.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in LONGS], T.StructField("tier", T.IntegerType())]
+    pieces = materialise(map_arrow(documents.select("doc_id", "text"), run, T.StructType(fields)))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    counts = pieces.groupBy("tier", "task").agg((F.max("nth") + 1).alias("windows"))
+    counts = counts.select("tier", "task", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("before"))
+    group = F.floor((F.col("before") + F.col("nth")) * F.col("tier") / STEP_TOKENS).cast("long")
+    return pieces.join(counts, ["tier", "task"]).select("doc_id", *LONGS[:6], "tier", group.alias("step_group"))

@@ -1,7 +1,14 @@
 """Quality scores from compression: zstandard dictionaries of good and of bad text, and a calibrated size difference.
 
-Empty and null texts get the calibrated score of a text without evidence: all features 0. Duplicate texts get equal
-scores. Labelled ids without a document, null labels and repeated label rows (the smallest label counts) are harmless."""
+A text is compressed with either dictionary. The difference of the two sizes, as a share of the text's bytes, is the only
+thing the score looks at. It is calibrated on labelled texts that the dictionaries have not seen: pool-adjacent-violators
+gives the share of good texts as a rising function of the difference, and a logistic curve of the same difference has a
+tenth of the weight, so that texts within a flat stretch keep their order.
+
+Empty and null texts have difference 0. Equal texts get equal scores. Labelled ids without a document, null labels and
+repeated label rows (the smallest label counts) are harmless; without labels every score is 0.5. A very long text is
+compressed whole, alone in its step. An empty table gives no rows. Ids of any type will do; other columns are not looked
+at, whatever their names."""
 
 from __future__ import annotations
 
@@ -12,13 +19,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import logistic
 from .common import fold, map_arrow, steps, texts
 
-#: Documented bounds of what is collected: labelled training rows of each class, bytes of them, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 12 << 20, 64 << 10
-LEVEL = 3
+#: The bound of what is collected: labelled training rows of each class, those whose ids hash lowest; whole texts, whatever
+#: their length. Size of a trained dictionary, and the blocks that training texts are laid out in for it, all of them.
+SAMPLE_ROWS, DICTIONARY_BYTES, BLOCK = 2000, 64 << 10, 2048
+LEVEL, CURVE = 3, 0.1
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, column: str, folds: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -34,55 +43,58 @@ def training_sample(documents: DataFrame, labels: DataFrame, column: str, folds:
 
 def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or the samples themselves where there is too little text to train one."""
-    samples = [s for s in samples if s]
+    blocks = [s[i : i + BLOCK] for s in samples for i in range(0, len(s), BLOCK)]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 class Scorer:
-    """Compressed sizes of a text with either dictionary, as features."""
+    """Compressed sizes of a text with either dictionary."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL):
         plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.good, self.bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) if d else zstandard.ZstdCompressor(**plain) for d in (good, bad))
 
-    def features(self, docs: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(docs), 7))
-        for i, text in enumerate(docs):
-            if text:
-                n, g, b = len(text), len(self.good.compress(text)), len(self.bad.compress(text))
-                out[i, :3] = n, g, b
-        n, g, b = out[:, 0].copy(), out[:, 1].copy(), out[:, 2].copy()
-        some = n > 0
-        rate = np.log(np.maximum(g, 1) / np.maximum(n, 1))
-        per_byte, per_size = (b - g) / np.maximum(n, 1), (b - g) / np.maximum(b + g, 1)
-        cols = [per_byte, per_size, np.log1p(n), rate, rate**2, np.maximum(0, -1.2 - rate), per_byte * rate]
-        return np.column_stack(cols) * some[:, None]
+    def differences(self, docs: list[bytes]) -> np.ndarray:
+        """How many bytes a byte of each text the good dictionary saves against the bad one."""
+        return np.array([(len(self.bad.compress(t)) - len(self.good.compress(t))) / len(t) if t else 0.0 for t in docs])
+
+
+class Calibration:
+    """A rising function from the difference to the probability of a good text."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        self.line = logistic.fit(x[:, None], y, weight)
+        pools: list[list[float]] = []  # first and last difference, weight of good texts, weight
+        for a, good, w in sorted(zip(x.tolist(), y.tolist(), weight.tolist())):
+            pools.append([a, a, good * w, w])
+            while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+                last = pools.pop()
+                pools[-1][1:] = [last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+        self.at = np.array([(p[0] + p[1]) / 2 for p in pools])
+        self.share = np.array([(p[2] + 0.25) / (p[3] + 0.5) for p in pools])  # half a text of either kind, so nothing is certain
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        curve = logistic.predict(self.line, x[:, None])
+        return (1 - CURVE) * np.interp(x, self.at, np.maximum.accumulate(self.share)) + CURVE * curve if len(self.at) else np.full(len(x), 0.5)
 
 
 def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> dict:
     """Dictionaries from one half of the sample, calibration on the other; classes weigh as often as they are among all training labels."""
-    share = {r["y"]: r["n"] for r in labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(fold(F.col("doc_id"), folds) != held).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = training_sample(documents, labels, "quality", folds, held, rows)
-    used = {0: 0, 1: 0}
-    held_back: list[tuple[bytes, int]] = []
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
+    share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample = training_sample(documents, labels, "quality", folds, held, rows).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     made: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sample.withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h", "doc_id").toLocalIterator():  # bounded by `rows`
+    held_back: list[tuple[bytes, int]] = []
+    for r in sorted(sample.toLocalIterator(), key=lambda r: (r["h"], r["text"] or "")):  # 2 * rows texts at most
         text = (r["text"] or "").encode()
-        if used[r["y"]] + len(text) > SAMPLE_BYTES:
-            continue
-        used[r["y"]] += len(text)
-        if r["h"] % 2 == 0:
-            made[r["y"]].append(text)
-        else:
-            held_back.append((text, r["y"]))
+        made[r["y"]].append(text) if r["h"] % 2 == 0 else held_back.append((text, r["y"]))
     good, bad = dictionary(made[1]), dictionary(made[0])
-    x = Scorer(good, bad).features([t for t, _ in held_back])
     y = np.array([v for _, v in held_back], float)
     weight = np.where(y == 1, share.get(1, 0) / max(1, (y == 1).sum()), share.get(0, 0) / max(1, (y == 0).sum()))
-    return {"good": good, "bad": bad, "model": logistic.fit(x, y, weight / max(1e-12, weight.mean()) if len(y) else None)}
+    return {"good": good, "bad": bad, "curve": Calibration(Scorer(good, bad).differences([t for t, _ in held_back]), y, weight / max(1e-12, weight.mean()) if len(y) else y)}
 
 
 def score(documents: DataFrame, trained: dict, threshold: float = 0.3) -> DataFrame:
@@ -93,8 +105,8 @@ def score(documents: DataFrame, trained: dict, threshold: float = 0.3) -> DataFr
         made = shared.value
         scorer = Scorer(made["good"], made["bad"])
         for batch in steps(batches):
-            s = logistic.predict(made["model"], scorer.features(texts(batch)))
+            s = made["curve"](scorer.differences(texts(batch)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
+    own = [T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return map_arrow(documents.select("doc_id", "text"), run, T.StructType(own))

@@ -5,12 +5,19 @@ size-weighted sample of keys gives quantile boundaries; binary search places eac
 twice their share are sampled again and subdivided. Within the exact weights of all ranges, a row goes to the shard
 that holds the middle of its bytes, so shards differ by about one row's size.
 
-A null or empty text has size 1. Null ids count as the smallest. Repeated rows are placed each."""
+Eight rounds of subdivision at most: a range that is then still over twice its share stays, and is sorted by one task.
+That takes keys far from evenly spread, which hashes are not, or one row as heavy as the range. The splitters, about
+RANGES a shard and one for RANGE_ROWS rows, travel in the plan as one literal.
+
+A null or empty text has size 1. Null ids count as the smallest; ids that are not whole numbers order by their hash.
+Repeated rows are placed each. A very long text is a heavy row: its shard holds it whole. An empty table gives no rows.
+Other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -49,7 +56,9 @@ def _sample(rows: DataFrame, wanted: float, total: int, ranges: int, salt: int)
 def shards(documents: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row."""
     text = F.coalesce("text", F.lit(""))
-    rows = materialise(documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("u"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")))
+    whole = isinstance(documents.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    rows = materialise(documents.select("doc_id", F.coalesce(number, F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("u"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(RANGES * n, -(-count // RANGE_ROWS))
     splitters = _sample(rows, SAMPLED * ranges, total, ranges, 1)

@@ -7,7 +7,8 @@ regression is then trained on the posteriors of a bounded sample of labelled tra
 
 Null and empty texts have no votes and get the classifier's score for them. Equal texts get equal scores. Repeated
 label rows count once (the smallest label); labels without a document are harmless. Without any training label the
-label model falls back to its priors."""
+label model falls back to its priors. A very long text is one step of its task. Ties among mined words go by the word. An
+empty table gives no rows. Ids of any type will do, and other columns may have any names."""
 
 from __future__ import annotations
 
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import logistic
-from .common import fold, map_arrow, materialise, steps, texts
+from .common import fold, map_arrow, materialise, steps, texts, whole_row
 
 #: Seed lexicon, lower case.
 SEEDS = (
@@ -31,7 +33,8 @@ SEEDS = (
     "imbécile crétin connard merde salaud ordure débile "
     "estúpido imbécil basura mierda asqueroso idiota inútil"
 ).split()
-#: Bounds: labelled training rows in the sample, mined words, words whose counts one task holds before it sends them on.
+#: Bounds, parameters of train(): labelled training rows in the sample (rows) and mined words (most, those of the strongest
+#: evidence; they travel to every task); words whose counts one task holds before it sends them on.
 SAMPLE_ROWS, MINED, FLUSH = 20_000, 512, 200_000
 #: Besides whole words, stems of so many bytes are mined: many languages put one insult into many endings.
 STEMS = (4, 5, 6, 7, 8)
@@ -177,26 +180,29 @@ def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
 
 
 def featurise(documents: DataFrame, mined: dict[bytes, float]) -> DataFrame:
-    """(doc_id, pattern, f): the vote pattern as bits, and the counts."""
+    """Every column of (doc_id, text, ...) but text, with pattern, the vote pattern as bits, and f, the counts."""
     seeds = frozenset(w.encode() for w in SEEDS)
+    names = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             f = features_of(texts(batch), seeds, mined)
             bits = votes_of(f).astype(np.int64) @ (1 << np.arange(len(VOTERS)))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "pattern": pa.array(bits), "f": pa.array(f.tolist(), pa.list_(pa.float32()))})
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * N_FEATURES), pa.array(f.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(bits), counts], names=[*names, "pattern", "f"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, pattern long, f array<float>")
+    own = [documents.schema[c] for c in names]
+    return map_arrow(documents, run, T.StructType([*own, T.StructField("pattern", T.LongType()), T.StructField("f", T.ArrayType(T.FloatType()))]))
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict]:
-    """The table of featurise(), and what classify() needs: mined words, label model and linear model. Labels are read from training rows only."""
+def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, most: int = MINED) -> tuple[DataFrame, dict]:
+    """The table of featurise(), written, and what classify() needs: mined words, label model and linear model. Labels are
+    read from training rows only."""
     picked = labelled(labels, folds, held, rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` ids at most
-    mined = mine(sample)
+    mined = mine(sample, most)
     table = materialise(featurise(documents, mined))
-    known = table.join(F.broadcast(picked), "doc_id")
+    known = table.select("doc_id", "pattern", "f").join(F.broadcast(picked), "doc_id")
     # at most 2 ** len(VOTERS) patterns for each of three label states, whatever the number of documents
     everything = table.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     with_label = known.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
@@ -215,7 +221,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
 
 def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, score, predicted, posterior) of every document; labels are read from training rows only."""
-    table, trained = train(documents, labels, folds, held, rows)
+    table, trained = train(documents.select("doc_id", "text"), labels, folds, held, rows)
     shared = documents.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,20 +231,23 @@ def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
                 s = logistic.predict(shared.value["linear"], inputs_of(f))
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32)), "posterior": pa.array(posterior(shared.value["label"], votes_of(f)))})
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(table, run, f"doc_id {kind}, score double, predicted int, posterior double")
+    own = [T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("posterior", T.DoubleType())]
+    return map_arrow(table, run, T.StructType(own))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents, all columns, that score below the threshold; row by row, without a join."""
-    _, trained = train(documents, labels, folds, held, rows)
+    """The documents, all columns, that score below the threshold. They are looked at once: the training pass writes them
+    beside their counts, and the classifier reads these."""
+    own = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), whole_row(documents).alias("row"))
+    table, trained = train(own, labels, folds, held, rows)
     shared = documents.sparkSession.sparkContext.broadcast(trained)
-    seeds = frozenset(w.encode() for w in SEEDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mined = shared.value["mined"]
-        for batch in steps(batches):
-            s = logistic.predict(shared.value["linear"], inputs_of(features_of(texts(batch), seeds, mined)))
-            yield batch.filter(pa.array(s < threshold))
+        for batch in batches:
+            if batch.num_rows:
+                f = np.array(batch.column("f").to_pylist(), np.float32).reshape(-1, N_FEATURES)
+                keep = pa.array(logistic.predict(shared.value["linear"], inputs_of(f)) < threshold)
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep)], names=["row"])
 
-    return map_arrow(documents, run, documents._jdf.schema().toDDL())
+    slim = table.select("f", "row")
+    return map_arrow(slim, run, T.StructType([slim.schema["row"]])).select("row.*")

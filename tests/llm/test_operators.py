@@ -125,8 +125,8 @@ def test_media_round_trip(docs, rows):
 def test_media_member_is_retried_alone(tmp_path, monkeypatch):
     path = str(tmp_path / "a.arc")
     w = media.ArchiveWriter(path)
-    w.add(1, b"first")
-    w.add(2, b"second")
+    w.add("1", b"first")
+    w.add(None, b"second")
     w.close()
     members, read, failures = media.Members(path, 0.0), media.Members._read, [OSError("lost"), OSError("lost")]
 
@@ -182,3 +182,169 @@ def test_without_labels_or_rows(spark, docs):
     empty = cases.documents(spark, [])
     for out in (toxicity.detect(empty, none), quality.score(empty, quality.train(empty, none)), fingerprints.fingerprints(empty), media.media_features(empty), packing.pack(empty, FILE), mixing.mix(empty), sharding.shards(empty), hmm.score(empty, rounds=1)):
         assert out.count() == 0
+
+
+def test_step_groups_are_balanced(spark):
+    """All groups of a tier have equal tokens but for its last, over several tasks."""
+    docs = cases.documents(spark, [(i, " ".join(f"w{(i * j) % 97}" for j in range(1 + (i * 37) % 900))) for i in range(400)]).repartition(6)
+    by, seen = defaultdict(Counter), {}
+    for r in packing.pack(docs, FILE).collect():
+        seen.setdefault(r["sequence_id"], (r["tier"], r["step_group"]))
+        by[r["tier"]][r["step_group"]] += r["length"]
+        assert seen[r["sequence_id"]] == (r["tier"], r["step_group"])
+    for tier, sums in by.items():
+        assert sorted(sums) == list(range(len(sums)))
+        assert all(sums[g] == packing.STEP_TOKENS for g in range(len(sums) - 1)) and sums[len(sums) - 1] <= packing.STEP_TOKENS
+        assert tier <= 2048 and tier & (tier - 1) == 0
+    assert len(by[2048]) > 1
+
+
+def test_ids_of_the_tokenizer_file_on_all_documents(spark, sf):
+    t = Tokenizer.from_file(FILE)
+    encode = packing.encoder(FILE)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        assert encode(r["text"] or "") == t.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_baum_welch_counts_every_path():
+    """Expected counts against all state paths, and a likelihood that rises."""
+    r = np.random.default_rng(2)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    emit = np.zeros((hmm.CLASSES, 2))
+    emit[:3] = norm(r.random((2, 3))).T
+    model = hmm.Model(norm(r.random(2)), norm(r.random((2, 2))), emit)
+    seqs = [np.array(s, "<u2") for s in ([0, 1, 2, 1, 0], [2], [1, 1, 0])]
+    start, move, out = np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.CLASSES, 2))
+    for seq in seqs:
+        weight = {}
+        for path in np.ndindex(*[2] * len(seq)):
+            p = model.start[path[0]] * emit[seq[0], path[0]]
+            for a, b, x in zip(path, path[1:], seq[1:]):
+                p *= model.move[a, b] * emit[x, b]
+            weight[path] = p
+        total = sum(weight.values())
+        for path, p in weight.items():
+            start[path[0]] += p / total
+            for a, b in zip(path, path[1:]):
+                move[a, b] += p / total
+            for x, s in zip(seq, path):
+                out[x, s] += p / total
+    got = hmm.expected(model, [(s, True) for s in seqs])
+    assert all(np.allclose(x, y) for x, y in zip(got, (start, move, out)))
+    texts = [norm(r.random(3)).cumsum().searchsorted(r.random(200)).clip(0, 2).astype("<u2") for _ in range(4)]
+    last = -np.inf
+    for _ in range(6):
+        now = hmm.log_likelihood(model, texts).sum()
+        assert now >= last - 1e-9
+        s, m, e = hmm.expected(model, [(x, True) for x in texts])
+        last, model = now, hmm.Model(s / s.sum(), m / m.sum(1, keepdims=True), e / np.maximum(e.sum(0), 1e-300))
+
+
+def test_pieces_count_each_token_and_move_once():
+    r = np.random.default_rng(3)
+    emit = r.random((hmm.CLASSES, 3))
+    model = hmm.Model(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), emit / emit.sum(0))
+    seq = r.integers(0, 50, 3 * hmm.PIECE + 7).astype("<u2")
+    start, move, out = hmm.expected(model, hmm.pieces(seq))
+    assert math.isclose(start.sum(), 1) and math.isclose(move.sum(), len(seq) - 1) and math.isclose(out.sum(), len(seq))
+
+
+def test_targets_by_plain_rules(spark):
+    """Water filling against a loop that raises a level, and what is taken against the targets."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 60) if i % 50 else 3000))) for i in range(900)]
+    docs = cases.documents(spark, rows)
+    got = mixing.mix(docs).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for x in got:
+        size[x["source"]] += x["size"]
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+    names = sorted(s for s in size if s is not None) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):  # the level at which weights times it, cut at twice the sizes, use up the total
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * size[s], mid * weight[s]) for s in names) < 1.5 * sum(size.values()) else (lo, mid)
+    assert all(math.isclose(target[s], min(2 * size[s], lo * weight[s]), rel_tol=1e-9) for s in names)
+    assert all(abs(taken[s] - target[s]) <= 3 for s in names)  # far less than the largest documents
+
+
+def test_mixing_of_repeated_rows_and_text_ids(spark):
+    data = [("a" if i % 3 else None, "one two three", "s", i) for i in range(60)] + [(f"b{i}", "w " * (i + 1), "t", i) for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, source string, key int")
+    got = mixing.mix(docs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got.collect())
+
+
+def test_shards_by_plain_rules(spark, docs):
+    """Shards and slots from one sort of all keys."""
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h", "coalesce(doc_id, -9223372036854775808) as id").collect()
+    keyed.sort(key=lambda r: (r["h"], r["id"]))
+    sizes = [len((r["text"] or "").encode()) + 1 for r in keyed]
+    total, run, want, slots = sum(sizes), 0, {}, Counter()
+    for r, n in zip(keyed, sizes):
+        shard = min(7, (2 * run + n) * 8 // (2 * total))
+        want[r["doc_id"]] = (shard, slots[shard])
+        slots[shard] += 1
+        run += n
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shards(docs, 8).collect()} == want
+
+
+def test_label_model_finds_accuracies():
+    """EM on voters of known quality, two of them near copies of each other, with labels for a tenth of the rows."""
+    r = np.random.default_rng(5)
+    y = r.random(20_000) < 0.3
+    votes = np.column_stack([np.where(y, r.random(len(y)) < a, r.random(len(y)) < 1 - b) for a, b in ((0.9, 0.95), (0.8, 0.9), (0.7, 0.97), (0.85, 0.9))])
+    votes = np.column_stack([votes, np.where(r.random(len(y)) < 0.05, ~votes[:, 1], votes[:, 1])]).astype(float)
+    known = np.where(r.random(len(y)) < 0.1, y, -1.0)
+    rows, count = np.unique(np.column_stack([votes, known]), axis=0, return_counts=True)
+    model = toxicity.label_model(rows[:, :-1], rows[:, -1], count.astype(float))
+    assert [1, 4] in model["groups"] and abs(model["prior"] - 0.3) < 0.05
+    assert ((toxicity.posterior(model, votes) > 0.5) == y).mean() > 0.93
+
+
+def test_quality_calibration_rises():
+    r = np.random.default_rng(6)
+    x = r.normal(size=500)
+    y = (r.random(500) < 1 / (1 + np.exp(-3 * x))).astype(float)
+    curve = quality.Calibration(x, y, np.ones(500))
+    grid = curve(np.linspace(-4, 4, 200))
+    assert (np.diff(grid) > 0).all() and 0 <= grid[0] < 0.1 and 0.9 < grid[-1] <= 1
+    assert abs(curve(x).mean() - y.mean()) < 0.03
+
+
+def test_sketches_estimate_shared_pairs():
+    r = np.random.default_rng(7)
+    for share in (0.2, 0.5, 0.8):
+        a = [f"a{i}" for i in range(400)]
+        b = a[: int(400 * share)] + [f"b{i}" for i in range(400 - int(400 * share))]
+        v = fingerprints.vectors([" ".join(a).encode(), " ".join(b).encode()])
+        assert abs(fingerprints.likeness(v[:1], v[1:])[0] - share) < 0.25
+    assert len({fingerprints.paragraph(b"x%d" % i) for i in range(100)}) == 100 and len(fingerprints.paragraph(b"")) == 4 * fingerprints.EXACT
+
+
+def test_features_of_media():
+    body = bytes(range(64)) * 8
+    mean, sd, shares, bits = media.feature(body).split("|")
+    values = np.array(list(body), float)
+    assert (mean, sd) == (f"{values.mean():.3f}", f"{values.std():.3f}")
+    plain = [body.count(0), body.count(32), sum(48 <= b < 58 for b in body), 0, 0, 0]
+    assert shares == ",".join(f"{n / len(body):.4f}" for n in plain)
+    cells = [np.mean([body[64 * row + c] for c in range(8 * j, 8 * j + 8)]) for row in range(8) for j in range(8)]
+    assert int(bits, 16) == int("".join("1" if c > np.mean(cells) else "0" for c in cells), 2)
+
+
+def test_text_ids(spark):
+    """Every operator on ids that are texts, with null and odd rows."""
+    rows = [(None if i is None else f"id{i}", t) for i, t in cases.texts()]
+    docs = spark.createDataFrame([(i, t, "s", t) for i, t in rows], "doc_id string, text string, source string, pattern string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2, i % 3 == 0) for i in range(40)], "doc_id string, quality int, toxic boolean")
+    n = len(rows)
+    assert media.media_features(docs).select("doc_id").where("doc_id IS NULL").count() == 1
+    for out in (media.media_features(docs), fingerprints.fingerprints(docs), sharding.shards(docs), hmm.score(docs, rounds=1, states=2), toxicity.detect(docs, labels), quality.score(docs, quality.train(docs, labels))):
+        assert out.count() == n and out.schema["doc_id"].dataType.simpleString() == "string"
+    assert toxicity.accepted(docs, labels).columns == docs.columns
+    assert {r["doc_id"] for r in packing.pack(docs, FILE).collect()} == {i for i, _ in rows}

@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets are one node of the join from the start. Each of several independent trees branches the
 documents by one minwise token of their sets, level by level. A tree node with few members is compared exhaustively and
-ends there. A large one branches on: it draws BRANCHES tokens by its own path and sends every member down each of them. A
+ends there. A large one branches on: by its own path it draws BRANCHES of the tree's OWN further tokens and sends every
+member down each of them. A
 pair of similarity J follows a token together with probability J, so with BRANCHES * J well over 1 the share of pairs
 that a large node loses stays bounded however deep the recursion goes; the number of trees follows from that share and
 from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
@@ -37,8 +38,9 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialise, mix64, shingle_hashes, steps, utf8, whole_row, word_hashes
 from .components import components
 
-#: Minwise tokens of a set, of which tree nodes draw; levels of a tree; branches of a large node at least; probability to miss a pair.
-TOKENS, DEPTH, BRANCHES, MISS = 128, 6, 2, 1e-7
+#: Minwise tokens of a set; further tokens of a tree, of which its nodes draw, at most; levels of a tree; branches of a large
+#: node; probability to miss a pair.
+TOKENS, OWN, DEPTH, BRANCHES, MISS = 128, 8, 6, 2, 1e-7
 #: Members up to which a tree node is compared exhaustively at once.
 SMALL = 6
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -46,13 +48,18 @@ _SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
 
 def plan(similarity: float, depth: int = DEPTH, miss: float = MISS) -> tuple[int, int]:
-    """(trees, branches): so many that a pair of the similarity that stays in large nodes to the last level is missed with
-    the probability; pairs that end in small nodes before are missed less often."""
-    branches = max(BRANCHES, math.ceil(1.5 / similarity))
+    """(trees, further tokens of each): so many trees that a pair of the similarity that stays in large nodes to the last
+    level is missed with the probability; pairs that end in small nodes before are missed less often."""
+    if not 0.5 < similarity <= 1:
+        raise ValueError("two branches keep pairs of a similarity over 0.5")
     kept = 1.0  # probability that a pair in a node is compared below it
     for _ in range(depth - 1):
-        kept = 1 - (1 - similarity * kept) ** branches
-    return min(TOKENS, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - similarity * kept)))), branches
+        kept = 1 - (1 - similarity * kept) ** BRANCHES
+    trees = math.ceil(math.log(miss) / math.log(max(1e-12, 1 - similarity * kept)))
+    own = min(OWN, TOKENS // trees - 1)
+    if own < BRANCHES:
+        raise ValueError("more tokens are needed for this similarity")
+    return trees, own
 
 
 def minwise(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,7 +156,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch({"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)})
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
@@ -185,26 +192,29 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -
     """The trees over (id, n, lo, hi, tokens): the members (path, id, n, lo, hi) of the small nodes at which they end, and
     those of the large ones that branch no further, with their leader `y` and whether they may resemble it. Members meet
     by path through sizes and leaders written before, so a node of very many members is split over tasks."""
-    trees, branches = plan(similarity, depth)
+    trees, own = plan(similarity, depth)
     few, many = [], []
-    live = nodes.select("id", "n", "lo", "hi", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token")).select("id", "n", "lo", "hi", F.xxhash64("tree", "token").alias("path"))
+    # the tree's first token is its root's; its others stay with the row. All sides below grow with the input: no broadcasts
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * (own + 1) + 1, own + 1))).alias("tree", "t")
+    live = nodes.select("id", "n", "lo", "hi", each).select("id", "n", "lo", "hi", F.slice("t", 2, own).alias("t"), F.xxhash64("tree", F.col("t")[0]).alias("path"))
     for level in range(1, depth + 1):
         sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-        met = materialise(live.join(sizes, "path"))
-        few.append(met.where(F.col("size") <= small).drop("size"))
+        met = materialise(live.join(sizes.hint("merge"), "path"))
+        few.append(met.where(F.col("size") <= small).drop("size", "t"))
         large = met.where(F.col("size") > small).drop("size")
         if large.isEmpty():
             break
         lead = materialise(large.groupBy("path").agg(F.min(F.struct("id", "n", "lo", "hi")).alias("y")))
-        x = large.join(lead, "path").select("path", F.struct("id", "n", "lo", "hi").alias("x"), "y")
+        x = large.join(lead.hint("merge"), "path").select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y")
         seen = materialise(x.select("path", "x.*", "y", ((F.col("x.id") == F.col("y.id")) | _may(similarity)).alias("near")))
         share = seen.groupBy("path").agg(F.avg(F.col("near").cast("double")).alias("share"))
-        stop = materialise(share.where(F.lit(level == depth) | (F.col("share") >= 0.5)).select("path"))
-        many.append(seen.join(stop, "path", "left_semi"))
-        if level < depth:
-            on = seen.join(stop, "path", "left_anti").select("id", "n", "lo", "hi", "path", F.explode(F.array(*[F.lit(b) for b in range(branches)])).alias("b"))
-            drawn = F.element_at("tokens", (F.pmod(F.xxhash64("path", "b"), F.lit(TOKENS)) + 1).cast("int"))
-            live = materialise(on.join(nodes.select("id", "tokens"), "id").select("id", "n", "lo", "hi", F.xxhash64("path", "b", drawn).alias("path")))
+        ended = materialise(share.select("path", (F.lit(level == depth) | (F.col("share") >= 0.5)).alias("ended")))
+        placed = seen.join(ended.hint("merge"), "path")
+        many.append(placed.where("ended").drop("ended", "t"))
+        first = F.pmod(F.xxhash64("path"), F.lit(own))
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(own - 1)), F.lit(own))  # another one
+        drawn = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.element_at("t", (k + 1).cast("int")).alias("token")) for b, k in enumerate((first, second))])).alias("d")
+        live = materialise(placed.where("NOT ended").select("id", "n", "lo", "hi", "t", "path", drawn).select("id", "n", "lo", "hi", "t", F.xxhash64("path", "d.b", "d.token").alias("path")))
     ends = few[0]
     for part in few[1:]:
         ends = ends.unionByName(part)
@@ -240,7 +250,7 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
         placed = many.join(comp, "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
         per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("path", "id").alias("h"), F.col("id"), F.col("n"), F.col("lo"), F.col("hi"))).alias("pick"))
         main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp", "pick")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"), F.col("top.pick.id").alias("lead"), F.col("top.pick.n").alias("ln"), F.col("top.pick.lo").alias("llo"), F.col("top.pick.hi").alias("lhi"))
-        mixed = materialise(placed.join(main, "path"))
+        mixed = materialise(placed.join(materialise(main).hint("merge"), "path"))
         if mixed.isEmpty():
             break
         minor = mixed.where("comp <> main")

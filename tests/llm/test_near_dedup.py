@@ -77,3 +77,25 @@ def test_a_repeated_row_beside_a_near_one(spark):
     got = near_dedup.near_duplicates(cases.documents(spark, rows), k=2)
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"], r["count"]) for r in got.groupBy("doc_id", "component_id", "kept").count().collect()) == [("3", None, False, 40), ("None", None, True, 40)]
     assert near_dedup.representatives(cases.documents(spark, rows), k=2).count() == 1
+
+
+def test_trees_reach_their_recall(spark):
+    """Pairs of just the similarity among many alike documents, by the trees alone: few are in no common node."""
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(300):
+        base = r.sample(common, 8) + [f"u{i}.{j}" for j in range(60)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-7] + [f"v{i}.{j}" for j in range(7)]))]
+    docs = cases.documents(spark, rows)
+    nodes = near_dedup.sketches(docs, 1).select("doc_id", "id", "n", "tokens", "lo", "hi").cache()
+    few, many = near_dedup.grown(nodes, 0.8, 6)
+    of = {x["id"]: x["doc_id"] for x in nodes.collect()}
+    met = set()
+    for part in (few, many):
+        by = {}
+        for x in part.select("path", "id").collect():
+            by.setdefault(x["path"], set()).add(of[x["id"]])
+        met |= {i for members in by.values() for i in range(300) if {2 * i, 2 * i + 1} <= members}
+    assert len(met) >= 297
+    assert near_dedup.plan(0.8)[0] <= 16 and near_dedup.plan(0.95)[0] < near_dedup.plan(0.8)[0]

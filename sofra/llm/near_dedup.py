@@ -8,8 +8,8 @@ pair of similarity J follows a token together with probability J, so with BRANCH
 that a large node loses stays bounded however deep the recursion goes; the number of trees follows from that share and
 from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
 
-A large node in which most members resemble its leader is a cluster of near copies and branches no further; neither does
-a node at the last level. Their members are compared with the leader, then with a second leader; what is linked then is
+A large node some levels down in which nearly all members resemble its leader is a cluster of near copies and branches no
+further; neither does a node at the last level. Their members are compared with the leader, then with a second leader; what is linked then is
 one component, and a node within one component is done. The members of the others, such as documents around one common
 passage, are joined by their rarest shingles: two sets of similarity J share one of the rarest (1 - J) part of their
 shingles, and what a pair can still share from there on is known from the places of that shingle in both. All comparisons
@@ -38,9 +38,11 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialise, mix64, shingle_hashes, steps, utf8, whole_row, word_hashes
 from .components import components
 
-#: Minwise tokens of a set; further tokens of a tree, of which its nodes draw, at most; levels of a tree; branches of a large
-#: node; probability to miss a pair.
-TOKENS, OWN, DEPTH, BRANCHES, MISS = 128, 8, 6, 2, 1e-7
+#: Minwise tokens of a set; further tokens of a tree, of which its nodes draw, at most; levels of a tree for up to a million
+#: sets, and one more for each fifty times as many; branches of a large node; probability to miss a pair.
+TOKENS, OWN, DEPTH, BRANCHES, MISS = 128, 8, 4, 2, 1e-7
+#: A large node from this level on, in which this share resembles the leader, is a cluster.
+CLUSTER_LEVEL, CLUSTER_SHARE = 3, 0.8
 #: Members up to which a tree node is compared exhaustively at once.
 SMALL = 6
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -198,23 +200,26 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * (own + 1) + 1, own + 1))).alias("tree", "t")
     live = nodes.select("id", "n", "lo", "hi", each).select("id", "n", "lo", "hi", F.slice("t", 2, own).alias("t"), F.xxhash64("tree", F.col("t")[0]).alias("path"))
     for level in range(1, depth + 1):
-        sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        mature = level >= min(CLUSTER_LEVEL, depth)
+        leader = [F.min(F.struct("id", "n", "lo", "hi")).alias("y")] if mature else []
+        sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size"), *leader).where("size > 1"))
         met = materialise(live.join(sizes.hint("merge"), "path"))
-        few.append(met.where(F.col("size") <= small).drop("size", "t"))
-        large = met.where(F.col("size") > small).drop("size")
-        if large.isEmpty():
+        few.append(met.where(F.col("size") <= small).drop("size", "t", "y"))
+        large = met.where(F.col("size") > small)
+        if mature:
+            x = large.select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y", "size")
+            seen = x.select("path", "x.*", "y", "size", ((F.col("x.id") == F.col("y.id")) | _may(similarity)).alias("near"))
+            share = seen.groupBy("path").agg(F.avg(F.col("near").cast("double")).alias("share"))
+            ended = materialise(share.select("path", (F.lit(level == depth) | (F.col("share") >= CLUSTER_SHARE)).alias("ended")))
+            placed = seen.join(ended.hint("merge"), "path")
+            many.append(placed.where("ended").drop("ended", "t", "size"))
+            large = placed.where("NOT ended")
+        if level == depth or large.isEmpty():
             break
-        lead = materialise(large.groupBy("path").agg(F.min(F.struct("id", "n", "lo", "hi")).alias("y")))
-        x = large.join(lead.hint("merge"), "path").select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y")
-        seen = materialise(x.select("path", "x.*", "y", ((F.col("x.id") == F.col("y.id")) | _may(similarity)).alias("near")))
-        share = seen.groupBy("path").agg(F.avg(F.col("near").cast("double")).alias("share"))
-        ended = materialise(share.select("path", (F.lit(level == depth) | (F.col("share") >= 0.5)).alias("ended")))
-        placed = seen.join(ended.hint("merge"), "path")
-        many.append(placed.where("ended").drop("ended", "t"))
         first = F.pmod(F.xxhash64("path"), F.lit(own))
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(own - 1)), F.lit(own))  # another one
         drawn = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.element_at("t", (k + 1).cast("int")).alias("token")) for b, k in enumerate((first, second))])).alias("d")
-        live = materialise(placed.where("NOT ended").select("id", "n", "lo", "hi", "t", "path", drawn).select("id", "n", "lo", "hi", "t", F.xxhash64("path", "d.b", "d.token").alias("path")))
+        live = large.select("id", "n", "lo", "hi", "t", "path", drawn).select("id", "n", "lo", "hi", "t", F.xxhash64("path", "d.b", "d.token").alias("path"))
     ends = few[0]
     for part in few[1:]:
         ends = ends.unionByName(part)
@@ -234,7 +239,8 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     once = table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct("doc_id", "id")).alias("first"), *[F.first(c).alias(c) for c in ("n", "lo", "hi", "tokens")])
     nodes = materialise(once)
     rep = nodes.select("digest", F.col("id").alias("rep"), "first")
-    few, many = grown(nodes, similarity, small)
+    depth = DEPTH + max(0, math.ceil(math.log(max(1, nodes.count()) / 1e6, 50)))
+    few, many = grown(nodes, similarity, small, depth)
     near = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & _may(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = many.where("near AND id <> y.id").select(*_pair("id", "y.id"))
     pairs = materialise(near.union(star).distinct())

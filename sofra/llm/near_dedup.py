@@ -9,8 +9,8 @@ that a large node loses stays bounded however deep the recursion goes; the numbe
 from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
 
 A large node some levels down in which nearly all members resemble its leader is a cluster of near copies and branches no
-further; neither does a node at the last level. Their members are compared with the leader, then with a second leader; what is linked then is
-one component, and a node within one component is done. The members of the others, such as documents around one common
+further; neither does a node at the last level. Their members are compared with the leader, those unlike it with a second
+leader, which each path draws anew; what is linked then is one component, and a node within one component is done. The members of the others, such as documents around one common
 passage, are joined by their rarest shingles: two sets of similarity J share one of the rarest (1 - J) part of their
 shingles, and what a pair can still share from there on is known from the places of that shingle in both. All comparisons
 start with 128 one-bit minhash samples, natively, with six standard deviations to spare (a true pair fails with
@@ -110,12 +110,12 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     return map_arrow(documents.select("doc_id", "text", node().alias("id")), run, T.StructType(own))
 
 
-def _may(similarity: float) -> Column:
+def _may(similarity: float, y: str = "y") -> Column:
     """Whether rows x and y can have the similarity: by size, and by one-bit samples with six standard deviations to spare."""
     agree = (1 + similarity) / 2
     spare = 6 * (agree * (1 - agree) / TOKENS) ** 0.5
-    differ = F.bit_count(F.col("x.lo").bitwiseXOR(F.col("y.lo"))) + F.bit_count(F.col("x.hi").bitwiseXOR(F.col("y.hi")))
-    return (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (differ <= int(TOKENS * (1 - agree + spare)))
+    differ = F.bit_count(F.col("x.lo").bitwiseXOR(F.col(f"{y}.lo"))) + F.bit_count(F.col("x.hi").bitwiseXOR(F.col(f"{y}.hi")))
+    return (F.least("x.n", f"{y}.n") >= similarity * F.greatest("x.n", f"{y}.n") - 1e-9) & (differ <= int(TOKENS * (1 - agree + spare)))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -192,8 +192,9 @@ def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
 
 def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """The trees over (id, n, lo, hi, tokens): the members (path, id, n, lo, hi) of the small nodes at which they end, and
-    those of the large ones that branch no further, with their leader `y` and whether they may resemble it. Members meet
-    by path through sizes and leaders written before, so a node of very many members is split over tasks."""
+    those of the large ones that branch no further, with their leaders `y` and `z` and whether they may resemble each
+    (`near`, `near_z`). The leader y is the smallest node, often the same one in several trees; z is drawn by path. Members
+    meet by path through sizes and leaders written before, so a node of very many members is split over tasks."""
     trees, own = plan(similarity, depth)
     few, many = [], []
     # the tree's first token is its root's; its others stay with the row. All sides below grow with the input: no broadcasts
@@ -201,15 +202,16 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -
     live = nodes.select("id", "n", "lo", "hi", each).select("id", "n", "lo", "hi", F.slice("t", 2, own).alias("t"), F.xxhash64("tree", F.col("t")[0]).alias("path"))
     for level in range(1, depth + 1):
         mature = level >= min(CLUSTER_LEVEL, depth)
-        leader = [F.min(F.struct("id", "n", "lo", "hi")).alias("y")] if mature else []
+        who = F.struct("id", "n", "lo", "hi")
+        leader = [F.min(who).alias("y"), F.min_by(who, F.struct(F.xxhash64("path", "id"), "id")).alias("z")] if mature else []
         sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size"), *leader).where("size > 1"))
         met = materialise(live.join(sizes.hint("merge"), "path"))
-        few.append(met.where(F.col("size") <= small).drop("size", "t", "y"))
+        few.append(met.where(F.col("size") <= small).drop("size", "t", "y", "z"))
         large = met.where(F.col("size") > small)
         if mature:
-            x = large.select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y", "size")
-            seen = x.select("path", "x.*", "y", "size", ((F.col("x.id") == F.col("y.id")) | _may(similarity)).alias("near"))
-            share = seen.groupBy("path").agg(F.avg(F.col("near").cast("double")).alias("share"))
+            x = large.select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y", "z", "size")
+            seen = x.select("path", "x.*", "y", "z", "size", *[((F.col("x.id") == F.col(f"{y}.id")) | _may(similarity, y)).alias(name) for y, name in (("y", "near"), ("z", "near_z"))])
+            share = seen.groupBy("path").agg(F.greatest(*[F.avg(F.col(c).cast("double")) for c in ("near", "near_z")]).alias("share"))
             ended = materialise(share.select("path", (F.lit(level == depth) | (F.col("share") >= CLUSTER_SHARE)).alias("ended")))
             placed = seen.join(ended.hint("merge"), "path")
             many.append(placed.where("ended").drop("ended", "t", "size"))
@@ -224,8 +226,8 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -
     for part in few[1:]:
         ends = ends.unionByName(part)
     if not many:
-        y = F.struct("id", "n", "lo", "hi").alias("y")
-        return ends, ends.limit(0).select("path", "id", "n", "lo", "hi", y, F.lit(True).alias("near"))
+        y, z = (F.struct("id", "n", "lo", "hi").alias(c) for c in "yz")
+        return ends, ends.limit(0).select("path", "id", "n", "lo", "hi", y, z, F.lit(True).alias("near"), F.lit(True).alias("near_z"))
     wide = many[0]
     for part in many[1:]:
         wide = wide.unionByName(part)
@@ -243,7 +245,8 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     few, many = grown(nodes, similarity, small, depth)
     near = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & _may(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = many.where("near AND id <> y.id").select(*_pair("id", "y.id"))
-    pairs = materialise(near.union(star).distinct())
+    second = many.where("near_z AND NOT near AND id <> z.id").select(*_pair("id", "z.id"))
+    pairs = materialise(near.union(star).union(second).distinct())
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("id")).distinct()
     sets = shingle_sets(documents, needed, k)
     if not table.groupBy("id").count().where("count > 1").isEmpty():
@@ -251,35 +254,26 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     sets = materialise(sets, "none")
     links = materialise(confirm(pairs, sets, similarity))
     comp = components(links)
-    # large tree nodes of several components: a second leader, then all members outside the largest component against all
-    for last in (False, True):
-        placed = many.join(comp, "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
-        per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("path", "id").alias("h"), F.col("id"), F.col("n"), F.col("lo"), F.col("hi"))).alias("pick"))
-        main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp", "pick")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"), F.col("top.pick.id").alias("lead"), F.col("top.pick.n").alias("ln"), F.col("top.pick.lo").alias("llo"), F.col("top.pick.hi").alias("lhi"))
-        mixed = materialise(placed.join(materialise(main).hint("merge"), "path"))
-        if mixed.isEmpty():
-            break
-        minor = mixed.where("comp <> main")
-        if last:
-            who = placed.join(mixed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "lo", "hi", "comp")
-            few_ids = minor.select("id").distinct().withColumn("minor", F.lit(True))
-            near = materialise(rarest(sets, who, similarity).join(who.join(few_ids, "id", "left"), "id"))
-            shared_at_most = 1 + F.least(F.col("x.m") - F.col("x.place"), F.col("y.m") - F.col("y.place"))
-            num = round(100 * similarity)
-            can = (shared_at_most * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
-            more = near.where("minor").alias("x").join(near.alias("y"), (F.col("x.token") == F.col("y.token")) & can).select(*_pair("x.id", "y.id"))
-        else:
-            lead = minor.select("path", "id", "n", "lo", "hi", F.col("lead").alias("lead_id"), "ln", "llo", "lhi")
-            more = lead.select(F.struct("id", "n", "lo", "hi").alias("x"), F.struct(F.col("lead_id").alias("id"), F.col("ln").alias("n"), F.col("llo").alias("lo"), F.col("lhi").alias("hi")).alias("y")).where(_may(similarity)).select(*_pair("x.id", "y.id"))
-        more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-        found = materialise(confirm(more, sets, similarity))
-        pairs = pairs.union(more) if last else materialise(pairs.union(more))
-        links = links.union(found)
-        comp = components(links)
-    of = materialise(rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "first", "comp"))
-    heads = materialise(of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head")))
-    of = materialise(of.join(heads, "comp", "left").select("digest", F.coalesce("head", "first").alias("first")))
-    return table.join(of, "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("doc_id", "id")).alias("first"))
+    # large tree nodes of several components: all members outside the largest component against all
+    placed = many.join(comp.hint("merge"), "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
+    per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"))
+    main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"))
+    mixed = materialise(placed.join(materialise(main).hint("merge"), "path"))
+    if not mixed.isEmpty():
+        # one row a node; its component is the same on every path
+        who = mixed.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi", "comp")], F.max(F.col("comp") != F.col("main")).alias("minor"))
+        near = materialise(rarest(sets, mixed, similarity).join(who.hint("merge"), "id"))
+        shared_at_most = 1 + F.least(F.col("x.m") - F.col("x.place"), F.col("y.m") - F.col("y.place"))
+        num = round(100 * similarity)
+        can = (shared_at_most * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
+        more = near.where("minor").alias("x").join(near.alias("y"), (F.col("x.token") == F.col("y.token")) & can).select(*_pair("x.id", "y.id"))
+        found = materialise(confirm(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, similarity))
+        if not found.isEmpty():
+            comp = components(links.union(found))
+    of = materialise(rep.join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("digest", "first", "comp"))
+    heads = of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head"))
+    of = of.join(heads.hint("merge"), "comp", "left").select("digest", F.coalesce("head", "first").alias("first"))
+    return table.join(of.hint("merge"), "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("doc_id", "id")).alias("first"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:

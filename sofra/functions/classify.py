@@ -47,12 +47,12 @@ def _any_in(text: Column, words: list[str]) -> Column | None:
 
 
 def first_rule_joined(names: DataFrame, rules: DataFrame, key: str, column: str = "name", out: str = "category") -> DataFrame:
-    """The same for rule tables too large for one expression: a broadcast of the exploded rules, and a minimum per name."""
+    """The same for rule tables too large for one expression: the exploded rules are joined, Spark broadcasts them if they are small, and a minimum per name is kept."""
     words = rules.select("rule_idx", "category", F.explode("keywords").alias("word")).select("rule_idx", "category", tr_lower(F.col("word")).alias("word"))
     bans = rules.select("rule_idx", F.explode("excludes").alias("ban")).select(F.col("rule_idx").alias("ban_idx"), tr_lower(F.col("ban")).alias("ban"))
     text = names.select(key, tr_lower(F.col(column)).alias("text"))
-    hits = text.join(F.broadcast(words), keyword_in(F.col("text"), F.col("word"))).select(key, "rule_idx", "category").distinct()
-    banned = text.join(F.broadcast(bans), keyword_in(F.col("text"), F.col("ban"))).select(F.col(key).alias("k"), "ban_idx").distinct()
+    hits = text.join(words, keyword_in(F.col("text"), F.col("word"))).select(key, "rule_idx", "category").distinct()
+    banned = text.join(bans, keyword_in(F.col("text"), F.col("ban"))).select(F.col(key).alias("k"), "ban_idx").distinct()
     kept = hits.join(banned, (F.col(key) == F.col("k")) & (F.col("rule_idx") == F.col("ban_idx")), "left_anti")
     best = kept.groupBy(key).agg(F.min_by("category", "rule_idx").alias(out))
     return names.join(best, key, "left")

@@ -72,15 +72,26 @@ def sanitize_html(c: Column, allowed: tuple[str, ...] = ("a", "b", "i", "u", "em
     return F.translate(s, "\u0001\u0002", "<>")
 
 
+def _quoted(text: str) -> str:
+    """A regular expression of just this text."""
+    return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in text)
+
+
+def _as_word(pattern: str, rest: str = "") -> str:
+    """The pattern, as a group, and what comes after it, in any case, with no letter, digit or underscore beside them."""
+    return rf"(?iuU)(?<![\p{{L}}\p{{N}}_])({pattern}){rest}(?![\p{{L}}\p{{N}}_])"
+
+
 def has_profanity(c: Column, words: list[str]) -> Column:
-    """Whether a word of the caller's list is in the text as a whole word, in Turkish or plain lower case."""
-    if not words:
-        return F.lit(False)
-    return c.rlike(rf"(?iuU)\b({'|'.join(sorted(words))})\b")
+    """Whether a word of the caller's list is in the text as a whole word, in Turkish or plain lower case. Words are plain
+    texts, whatever characters they have; empty ones are none."""
+    listed = sorted({w for w in words if w})
+    return c.rlike(_as_word("|".join(_quoted(w) for w in listed))) if listed else F.lit(False)
 
 
 def censor(c: Column, words: list[str]) -> Column:
     """Listed words with their letters after the first as stars."""
     for w in words:
-        c = F.regexp_replace(c, rf"(?iuU)\b({w[0]}){w[1:]}\b", "$1" + "*" * (len(w) - 1))
+        if w:
+            c = F.regexp_replace(c, _as_word(_quoted(w[0]), _quoted(w[1:])), "$1" + "*" * (len(w) - 1))
     return c

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens and seconds of each kind of request.
 LIMITS = {
@@ -54,10 +55,12 @@ def windowed_usage(events: DataFrame, key: str, time: str, width: str = "10 seco
 
 def flushed_usage(spark: SparkSession, stream: DataFrame, key: str, time: str, folder: str) -> DataFrame:
     """Daily counters of a stream: each micro-batch writes its own sums, the state is their total. A repeated batch
-    replaces its own file, so nothing counts twice. Runs until the available input is used up."""
+    replaces its own file, so nothing counts twice. Runs until the available input is used up. An empty stream has no counters."""
 
     def flush(batch: DataFrame, epoch: int) -> None:
         batch.groupBy(F.col(key), F.to_date(time).alias("day")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts/epoch={epoch}")
 
     stream.writeStream.foreachBatch(flush).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/counts").groupBy(key, "day").agg(F.sum("n").alias("n"))
+    counted = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("day", T.DateType()), T.StructField("n", T.LongType())])
+    spark.createDataFrame([], counted).write.mode("overwrite").parquet(f"{folder}/counts/epoch=-1")  # an empty stream has no file
+    return spark.read.schema(counted).parquet(f"{folder}/counts").groupBy(key, "day").agg(F.sum("n").alias("n"))

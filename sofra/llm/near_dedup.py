@@ -8,8 +8,11 @@ pair of similarity J follows a token together with probability J, so with BRANCH
 that a large node loses stays bounded however deep the recursion goes; the number of trees follows from that share and
 from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
 
-A large node some levels down in which nearly all members resemble its leader is a cluster of near copies and branches no
-further; neither does a node at the last level. Their members are compared with the leader, those unlike it with a second
+Nodes of a bounded number of members branch within the task they are dealt to, all levels in one shuffle; larger ones, few by
+their size, are split over tasks and branch level by level, until their parts are bounded.
+
+A large node in which all members resemble its leader, or nearly all some levels down, is a cluster of near copies and
+branches no further; neither does a node at the last level. Their members are compared with the leader, those unlike it with a second
 leader, which each path draws anew; what is linked then is one component, and a node within one component is done. The members of the others, such as documents around one common
 passage, are joined by their rarest shingles: two sets of similarity J share one of the rarest (1 - J) part of their
 shingles, and what a pair can still share from there on is known from the places of that shingle in both. All comparisons
@@ -28,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,9 @@ from .components import components
 TOKENS, OWN, DEPTH, BRANCHES, MISS = 128, 8, 4, 2, 1e-7
 #: A large node from this level on, in which this share resembles the leader, is a cluster.
 CLUSTER_LEVEL, CLUSTER_SHARE = 3, 0.8
-#: Members up to which a tree node is compared exhaustively at once.
-SMALL = 6
+#: Members up to which a tree node is compared exhaustively; members up to which it branches within one task; rows that a task
+#: works on at once.
+SMALL, ROOM, STEP_ROWS = 16, 4096, 1 << 16
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
@@ -190,48 +195,140 @@ def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * round(100 * similarity) / 100) + 1).select("id", "token", "place", "m")
 
 
-def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """The trees over (id, n, lo, hi, tokens): the members (path, id, n, lo, hi) of the small nodes at which they end, and
-    those of the large ones that branch no further, with their leaders `y` and `z` and whether they may resemble each
-    (`near`, `near_z`). The leader y is the smallest node, often the same one in several trees; z is drawn by path. Members
-    meet by path through sizes and leaders written before, so a node of very many members is split over tasks."""
+def alike(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """_may() for the rows numbered x and y."""
+    agree = (1 + similarity) / 2
+    spare = 6 * (agree * (1 - agree) / TOKENS) ** 0.5
+    out = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+    differ = np.bitwise_count(lo[x] ^ lo[y]).astype(np.int16) + np.bitwise_count(hi[x] ^ hi[y])
+    return out & (differ <= int(TOKENS * (1 - agree + spare)))
+
+
+def _starts(sorted_paths: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal paths, and the end."""
+    return np.append(np.flatnonzero(np.append(True, sorted_paths[1:] != sorted_paths[:-1])), len(sorted_paths))
+
+
+def branch_out(path: np.ndarray, own: dict[str, np.ndarray], t: np.ndarray, level: int, depth: int, similarity: float, small: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Whole tree nodes, from their level down to the last: the pairs of ids that small nodes below them find, and the members
+    of the large ones that end, as grown() has them. All nodes of a level are worked on together."""
+    ids, n, lo, hi = (own[c] for c in ("id", "n", "lo", "hi"))
+    row = np.arange(len(ids))
+    pairs, many = [np.zeros((0, 2), np.int64)], []
+    while level <= depth and len(row):
+        order = np.lexsort((ids[row], path))
+        row, path = row[order], path[order]
+        at = _starts(path)
+        size = np.repeat(np.diff(at), np.diff(at))
+        keep = (size > 1) & (size <= small)
+        few, key = row[keep], path[keep]
+        for d in range(1, min(small, len(few))):
+            same = np.flatnonzero(key[d:] == key[:-d])
+            x, y = few[same], few[same + d]
+            ok = alike(n, lo, hi, x, y, similarity)
+            pairs.append(np.stack([ids[x[ok]], ids[y[ok]]], 1))
+        row, path = row[size > small], path[size > small]
+        if not len(row):
+            break
+        at = _starts(path)
+        runs = np.diff(at)
+        drawn = np.lexsort((mix64(path ^ mix64(ids[row].view(np.uint64))), path))
+        y, z = np.repeat(row[at[:-1]], runs), np.repeat(row[drawn][at[:-1]], runs)
+        near, near_z = ((row == l) | alike(n, lo, hi, row, l, similarity) for l in (y, z))
+        share = np.maximum(np.add.reduceat(near.astype(np.int64), at[:-1]), np.add.reduceat(near_z.astype(np.int64), at[:-1])) / runs
+        ended = np.repeat((share == 1) | (level == depth) | ((share >= CLUSTER_SHARE) & (level >= CLUSTER_LEVEL)), runs)
+        e = row[ended]
+        many.append({"path": path[ended].view(np.int64), "id": ids[e], "n": n[e], "lo": lo[e].view(np.int64), "hi": hi[e].view(np.int64), "y": ids[y[ended]], "z": ids[z[ended]], "near": near[ended], "near_z": near_z[ended]})
+        row, path = row[~ended], path[~ended]
+        width = np.uint64(t.shape[1])
+        first = mix64(path) % width
+        second = (first + np.uint64(1) + mix64(path ^ np.uint64(1)) % (width - np.uint64(1))) % width  # another one
+        below = [mix64(mix64(path + np.uint64(b)) ^ t[row, k.astype(np.int64)].astype(np.uint64)) for b, k in ((1, first), (2, second))]
+        row, path = np.concatenate([row, row]), np.concatenate(below)
+        level += 1
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return found, {c: np.concatenate([m[c] for m in many]) for c in many[0]} if many else {}
+
+
+ENDS = "path long, id long, n long, lo long, hi long, y long, z long, near boolean, near_z boolean"
+
+
+def bounded_nodes(live: DataFrame, level: int, depth: int, similarity: float, small: int) -> DataFrame:
+    """What the nodes of `live` come to, none of which has over ROOM members: each is in one task, at most STEP_ROWS rows and
+    one node at a time. Rows as grown() gives them for ended nodes; a pair has no path, its ids are `id` and `y`."""
+
+    def flush(b: pa.Table) -> pa.RecordBatch:
+        column = lambda c: b.column(c).to_numpy()
+        own = {"id": column("id"), "n": column("n"), "lo": column("lo").view(np.uint64), "hi": column("hi").view(np.uint64)}
+        t = b.column("t").combine_chunks().flatten().to_numpy().reshape(b.num_rows, -1)
+        found, many = branch_out(column("path").view(np.uint64), own, t, level, depth, similarity, small)
+        k, total = len(found), len(found) + (len(many["path"]) if many else 0)
+        out = {}
+        for field in schema:
+            flag = pa.types.is_boolean(field.type)
+            values = np.zeros(total, bool if flag else np.int64)
+            if many:
+                values[k:] = many[field.name]
+            if k and field.name in ("id", "y"):
+                values[:k] = found[:, 0 if field.name == "id" else 1]
+            out[field.name] = pa.array(values, field.type, mask=np.arange(total) < k if field.name == "path" else None)
+        return pa.record_batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= STEP_ROWS:
+                table = pa.Table.from_batches(held)
+                path = table.column("path").to_numpy()
+                whole = int(np.flatnonzero(path != path[-1])[-1]) + 1 if path[0] != path[-1] else 0  # the last node may go on
+                if whole:
+                    yield flush(table.slice(0, whole))
+                held, rows = table.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield flush(pa.Table.from_batches(held))
+
+    schema = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.int64()) for c in ENDS.split(", ")])
+    return map_arrow(live.repartition("path").sortWithinPartitions("path").select("path", "id", "n", "lo", "hi", "t"), run, ENDS)
+
+
+def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """The trees over (id, n, lo, hi, tokens): the pairs (a, b) of the small nodes at which they end, and the members
+    (path, id, n, lo, hi) of those large ones that branch no further, with the ids of their leaders `y` and `z` and whether
+    they may resemble each (`near`, `near_z`). The leader y is the smallest node, often the same one in several trees; z is
+    drawn by path. A node of up to `room` members branches in one task; one of more is split over tasks, level by level."""
     trees, own = plan(similarity, depth)
-    few, many = [], []
-    # the tree's first token is its root's; its others stay with the row. All sides below grow with the input: no broadcasts
+    ends, many = [], []
+    # the tree's first token is its root's; its others stay with the row
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * (own + 1) + 1, own + 1))).alias("tree", "t")
     live = nodes.select("id", "n", "lo", "hi", each).select("id", "n", "lo", "hi", F.slice("t", 2, own).alias("t"), F.xxhash64("tree", F.col("t")[0]).alias("path"))
     for level in range(1, depth + 1):
-        mature = level >= min(CLUSTER_LEVEL, depth)
+        hot = materialise(live.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > room).select("path"))
+        if hot.isEmpty():
+            ends.append(bounded_nodes(live, level, depth, similarity, small))
+            break
+        ends.append(bounded_nodes(live.join(hot, "path", "left_anti"), level, depth, similarity, small))
+        large = materialise(live.join(hot, "path", "left_semi"))
         who = F.struct("id", "n", "lo", "hi")
-        leader = [F.min(who).alias("y"), F.min_by(who, F.struct(F.xxhash64("path", "id"), "id")).alias("z")] if mature else []
-        sizes = materialise(live.groupBy("path").agg(F.count("*").alias("size"), *leader).where("size > 1"))
-        met = materialise(live.join(sizes.hint("merge"), "path"))
-        few.append(met.where(F.col("size") <= small).drop("size", "t", "y", "z"))
-        large = met.where(F.col("size") > small)
-        if mature:
-            x = large.select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y", "z", "size")
-            seen = x.select("path", "x.*", "y", "z", "size", *[((F.col("x.id") == F.col(f"{y}.id")) | _may(similarity, y)).alias(name) for y, name in (("y", "near"), ("z", "near_z"))])
-            share = seen.groupBy("path").agg(F.greatest(*[F.avg(F.col(c).cast("double")) for c in ("near", "near_z")]).alias("share"))
-            ended = materialise(share.select("path", (F.lit(level == depth) | (F.col("share") >= CLUSTER_SHARE)).alias("ended")))
-            placed = seen.join(ended.hint("merge"), "path")
-            many.append(placed.where("ended").drop("ended", "t", "size"))
-            large = placed.where("NOT ended")
-        if level == depth or large.isEmpty():
+        leaders = materialise(large.groupBy("path").agg(F.min(who).alias("y"), F.min_by(who, F.struct(F.xxhash64("path", "id"), "id")).alias("z")))
+        x = large.join(leaders, "path").select("path", F.struct("id", "n", "lo", "hi", "t").alias("x"), "y", "z")
+        seen = x.select("path", "x.*", "y", "z", *[((F.col("x.id") == F.col(f"{y}.id")) | _may(similarity, y)).alias(name) for y, name in (("y", "near"), ("z", "near_z"))])
+        share = seen.groupBy("path").agg(F.greatest(*[F.avg(F.col(c).cast("double")) for c in ("near", "near_z")]).alias("share"))
+        cluster = (F.col("share") == 1) | F.lit(level == depth) | ((F.col("share") >= CLUSTER_SHARE) & F.lit(level >= CLUSTER_LEVEL))
+        placed = materialise(seen.join(materialise(share.select("path", cluster.alias("ended"))), "path"))
+        many.append(placed.where("ended").select("path", "id", "n", "lo", "hi", F.col("y.id").alias("y"), F.col("z.id").alias("z"), "near", "near_z"))
+        large = placed.where("NOT ended")
+        if large.isEmpty():
             break
         first = F.pmod(F.xxhash64("path"), F.lit(own))
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(own - 1)), F.lit(own))  # another one
         drawn = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.element_at("t", (k + 1).cast("int")).alias("token")) for b, k in enumerate((first, second))])).alias("d")
         live = large.select("id", "n", "lo", "hi", "t", "path", drawn).select("id", "n", "lo", "hi", "t", F.xxhash64("path", "d.b", "d.token").alias("path"))
-    ends = few[0]
-    for part in few[1:]:
-        ends = ends.unionByName(part)
-    if not many:
-        y, z = (F.struct("id", "n", "lo", "hi").alias(c) for c in "yz")
-        return ends, ends.limit(0).select("path", "id", "n", "lo", "hi", y, z, F.lit(True).alias("near"), F.lit(True).alias("near_z"))
-    wide = many[0]
-    for part in many[1:]:
-        wide = wide.unionByName(part)
-    return ends, materialise(wide)
+    ended = materialise(reduce(DataFrame.unionByName, ends))
+    wide = reduce(DataFrame.unionByName, [ended.where("path IS NOT NULL"), *many])
+    return ended.where("path IS NULL").select(*_pair("id", "y")), wide
 
 
 def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
@@ -242,10 +339,9 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     nodes = materialise(once)
     rep = nodes.select("digest", F.col("id").alias("rep"), "first")
     depth = DEPTH + max(0, math.ceil(math.log(max(1, nodes.count()) / 1e6, 50)))
-    few, many = grown(nodes, similarity, small, depth)
-    near = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.id") < F.col("y.id")) & _may(similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    star = many.where("near AND id <> y.id").select(*_pair("id", "y.id"))
-    second = many.where("near_z AND NOT near AND id <> z.id").select(*_pair("id", "z.id"))
+    near, many = grown(nodes, similarity, small, depth)
+    star = many.where("near AND id <> y").select(*_pair("id", "y"))
+    second = many.where("near_z AND NOT near AND id <> z").select(*_pair("id", "z"))
     pairs = materialise(near.union(star).union(second).distinct())
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(many.select("id")).distinct()
     sets = shingle_sets(documents, needed, k)

@@ -3,22 +3,23 @@
 Documents with equal shingle sets are one node of the join from the start. Each of several independent trees branches the
 documents by one minwise token of their sets, level by level. A tree node with few members is compared exhaustively and
 ends there. A large one branches on: by its own path it draws BRANCHES of the tree's OWN further tokens and sends every
-member down each of them. A
-pair of similarity J follows a token together with probability J, so with BRANCHES * J well over 1 the share of pairs
-that a large node loses stays bounded however deep the recursion goes; the number of trees follows from that share and
-from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at the first level.
+member down each of them. A pair of similarity J follows a token together with probability J, so with BRANCHES * J well
+over 1 the share of pairs that a large node loses stays bounded however deep the recursion goes; the number of trees
+follows from that share and from the wanted miss probability (see plan()). So depth adapts to the data: rare tokens end at
+the first level.
 
-Nodes of a bounded number of members branch within the task they are dealt to, all levels in one shuffle; larger ones, few by
-their size, are split over tasks and branch level by level, until their parts are bounded.
+Nodes of a bounded number of members branch within the task they are dealt to, all levels in one shuffle; larger ones, few
+by their size, are split over tasks and branch level by level, until their parts are bounded.
 
 A large node in which all members resemble its leader, or nearly all some levels down, is a cluster of near copies and
-branches no further; neither does a node at the last level. Their members are compared with the leader, those unlike it with a second
-leader, which each path draws anew; what is linked then is one component, and a node within one component is done. The members of the others, such as documents around one common
-passage, are joined by their rarest shingles: two sets of similarity J share one of the rarest (1 - J) part of their
-shingles, and what a pair can still share from there on is known from the places of that shingle in both. All comparisons
-start with 128 one-bit minhash samples, natively, with six standard deviations to spare (a true pair fails with
-probability 1e-9); what passes is confirmed on full sets. No comparison is made within a component, so nothing grows with
-the square of a group of copies.
+branches no further; neither does a node at the last level. Their members are compared with the leader, those unlike it
+with a second leader, which each path draws anew; what is linked then is one component, and a node within one component is
+done. In the others, members outside the largest component are compared with some of it. What is still apart after that,
+such as documents around one common passage, is joined by their rarest shingles: two sets of similarity J share one of the
+rarest (1 - J) part of their shingles, and what a pair can still share from there on is known from the places of that
+shingle in both. All comparisons start with 128 one-bit minhash samples, natively, with six standard deviations to spare
+(a true pair fails with probability 1e-9); what passes is confirmed on full sets. No comparison is made within a
+component, so nothing grows with the square of a group of copies.
 
 Documents without words have empty sets and no links; null texts are empty. A document is a distinct pair of id and text,
 and its node in the join is a hash of both, so rows that share an id, or have none, are linked by their texts only. A
@@ -50,6 +51,8 @@ CLUSTER_LEVEL, CLUSTER_SHARE = 3, 0.8
 #: Members up to which a tree node is compared exhaustively; members up to which it branches within one task; rows that a task
 #: works on at once.
 SMALL, ROOM, STEP_ROWS = 16, 4096, 1 << 16
+#: Members of a node's largest component that each of its others is compared with before the rarest shingles are.
+DRAWN = 4
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
@@ -331,6 +334,36 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH, r
     return ended.where("path IS NULL").select(*_pair("id", "y")), wide
 
 
+def mixed_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(path, id, n, lo, hi, comp, main) of the members of the tree nodes that have several components; main: the largest."""
+    placed = members.select("path", "id", "n", "lo", "hi").join(comp.hint("merge"), "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
+    per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"))
+    main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"))
+    return materialise(placed.join(materialise(main).hint("merge"), "path"))
+
+
+def drawn_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the members outside a node's largest component with DRAWN of that component's members, drawn by path. In a
+    cluster of near copies, one link of the many that such a member may have is enough to join it."""
+    who = F.struct("id", "n", "lo", "hi")
+    draws = [F.min_by(who, F.struct(F.xxhash64("path", "id", F.lit(j)), "id")).alias(f"y{j}") for j in range(DRAWN)]
+    drawn = materialise(mixed.where("comp = main").groupBy("path").agg(*draws))
+    both = mixed.where("comp <> main").select("path", who.alias("x")).join(drawn, "path").select("x", F.explode(F.array(*[f"y{j}" for j in range(DRAWN)])).alias("y"))
+    return both.where(_may(similarity)).select(*_pair("x.id", "y.id")).distinct()
+
+
+def merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """The components (id, comp) after more (a, b) links, settled between the components alone."""
+    of = {c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "ab"}
+    ends = found.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    cross = materialise(ends.where("a <> b").distinct())
+    if cross.isEmpty():
+        return comp
+    top = components(cross)
+    known = comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+    return materialise(known.unionByName(top.join(comp, "id", "left_anti").select("id", "comp")))
+
+
 def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
     """(doc_id, id, n_shingles, first) of every row; first: doc_id and node of the first document of its component."""
     table = materialise(sketches(documents, k))
@@ -350,11 +383,11 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     sets = materialise(sets, "none")
     links = materialise(confirm(pairs, sets, similarity))
     comp = components(links)
-    # large tree nodes of several components: all members outside the largest component against all
-    placed = many.join(comp.hint("merge"), "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
-    per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"))
-    main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"))
-    mixed = materialise(placed.join(materialise(main).hint("merge"), "path"))
+    mixed = mixed_nodes(many, comp)
+    if not mixed.isEmpty():
+        found = confirm(drawn_pairs(mixed, similarity).join(pairs, ["a", "b"], "left_anti"), sets, similarity)
+        comp = merged(comp, found)
+        mixed = mixed_nodes(mixed, comp)
     if not mixed.isEmpty():
         # one row a node; its component is the same on every path
         who = mixed.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi", "comp")], F.max(F.col("comp") != F.col("main")).alias("minor"))
@@ -363,11 +396,10 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
         num = round(100 * similarity)
         can = (shared_at_most * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
         more = near.where("minor").alias("x").join(near.alias("y"), (F.col("x.token") == F.col("y.token")) & can).select(*_pair("x.id", "y.id"))
-        found = materialise(confirm(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, similarity))
-        if not found.isEmpty():
-            comp = components(links.union(found))
+        comp = merged(comp, confirm(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, similarity))
     of = materialise(rep.join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("digest", "first", "comp"))
-    heads = of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head"))
+    # written before the join, so that the rows of a large component can be split over its tasks
+    heads = materialise(of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head")))
     of = of.join(heads.hint("merge"), "comp", "left").select("digest", F.coalesce("head", "first").alias("first"))
     return table.join(of.hint("merge"), "digest", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("doc_id", "id")).alias("first"))
 

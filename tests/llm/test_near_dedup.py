@@ -99,3 +99,11 @@ def test_trees_reach_their_recall(spark):
         met |= {i for members in by.values() for i in range(300) if {2 * i, 2 * i + 1} <= members}
         assert len(met) >= 297
     assert near_dedup.plan(0.8)[0] <= 16 and near_dedup.plan(0.95)[0] < near_dedup.plan(0.8)[0]
+
+
+def test_nodes_over_several_steps_of_a_task(spark, sf, monkeypatch):
+    """Nodes that begin in one batch of a task and end in another."""
+    docs = read(spark, sf, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    monkeypatch.setattr(near_dedup, "STEP_ROWS", 50)
+    assert as_brute(near_dedup.near_duplicates(docs, k=2)) == brute.components(rows, 2)

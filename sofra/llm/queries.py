@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, media, mixing, near_dedup, packing, pii, quality, resampling, sharding, suffix_dedup, toxicity
+from . import fingerprints, hmm, lexical, media, mixing, near_dedup, packing, pii, quality, resampling, sharding, suffix_dedup, toxicity
 from .common import fold, read
 
 
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir, "documents"))
 
@@ -76,12 +80,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_search": op11_search,
     "op12_pii": op12_pii,
     "op13_resampling": op13_resampling,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS f FROM documents),
+n AS (SELECT r, doc_id, len(f) AS n FROM d WHERE len(f) > 0), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(f) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, g),
+v AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS v FROM p JOIN n USING (r) JOIN w USING (t), g),
+s AS (SELECT item_id, r, sum(v)::BIGINT AS score FROM q JOIN v USING (t) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN n USING (r) WHERE score > 0) WHERE rank <= 50"""
+
 #: The crc32 of a feature goes byte by byte through a table of 256 entries, made bit by bit.
 OP13 = rf"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS f FROM documents),
@@ -96,4 +110,4 @@ x AS (SELECT d.r, doc_id, len(f)::BIGINT AS n_features, coalesce(weight, 0) AS w
 k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM k) // 100 THEN place END AS rank FROM x LEFT JOIN k USING (r)"""
 
-ORACLES: dict[str, str] = {"op13_resampling": OP13}
+ORACLES: dict[str, str] = {"op11_search": OP11, "op13_resampling": OP13}

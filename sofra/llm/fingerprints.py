@@ -11,8 +11,8 @@ The likeness is such an estimate: for texts of many pairs its standard error is
 exactly 1 for equal fingerprints.
 
 A null text is an empty one: one empty paragraph. Two texts without word pairs are alike if their exact lanes agree.
-Documents follow each other by (doc_id, text), a null id first; after the last comes the first, and a single document
-follows itself; repeated rows follow each other. A very long text is a step of its own. An empty table gives no rows. Ids
+Documents follow each other by doc_id, a null id first, and rows of one id by a hash of their texts; after the last comes the
+first, and a single document follows itself; repeated rows follow each other. A very long text is a step of its own. An empty table gives no rows. Ids
 may have any type that sorts; other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialise, mix64, word_hashes
+from . import sharding
+from .common import map_arrow, materialise, mix64, ordered, word_hashes
 
 EXACT, SKETCH = 32, 192
-#: Text in a range of ids, which sets the number of ranges; text that one step works on.
-PARTITION_BYTES, STEP = 12 << 20, 1 << 19
+#: Text in a range of ids, and the most ranges there are, however much text; text that one step works on, and that a task holds.
+PARTITION_BYTES, RANGES, STEP, HELD = 16 << 20, 16384, 1 << 19, 2 << 20
 _WIDE = mix64(np.arange(8001, 8001 + SKETCH // 64, dtype=np.uint64))
 
 
@@ -133,55 +134,64 @@ def _rows(ids: pa.Array, docs: list[str], nexts: list[str], mine: np.ndarray, th
     })
 
 
+def _ends(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text) of the last document of each range, with the first text of the range that follows."""
+    key = F.struct("h", "id")
+    ends = keyed.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # one row a range
+    along = Window.orderBy("part")
+    ends = materialise(ends.withColumn("following", F.coalesce(F.lead("first").over(along), F.min("first").over(Window.partitionBy()))))
+    wanted = ends.select("last.*").unionByName(ends.select("following.*")).distinct()
+    rows = keyed.join(F.broadcast(wanted), ["h", "id"]).groupBy("h", "id").agg(F.min(F.struct("text", "doc_id")).alias("row"))  # two keys a range, RANGES ranges at most
+    rows = materialise(rows.select(key.alias("key"), "row.*"))
+    last = ends.select("last", "following").join(rows.withColumnRenamed("key", "last"), "last")
+    return last.select("doc_id", "text", "following").join(rows.select(F.col("key").alias("following"), F.col("text").alias("next_text")), "following").select("doc_id", "text", "next_text")
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The texts are range-partitioned by id once. All but the last document of a partition have their next one beside
-    them; the last ones are paired with the first ones of the partitions that follow."""
-    total = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    parts = max(1, -(-int(total[0] or 0) // PARTITION_BYTES))
-    dealt = documents.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text"))
+    Ranges of (id, hash of the text) are cut at splitters of a sample, so that a row's range follows from the row alone, and the
+    texts are dealt once by range. A task streams its ranges in order; each document but a range's last one has its next one
+    beside it. The last ones are paired with the first ones of the ranges that follow, found by their keys."""
+    keyed = ordered(documents, [F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")])
+    keyed = keyed.select("doc_id", "text", F.col("num").alias("h"), F.xxhash64("text").alias("id"), F.lit(0).cast("long").alias("u"), (F.octet_length("text") + 1).cast("long").alias("size"))
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, min(RANGES, -(-total // PARTITION_BYTES)))
+    splitters = sharding.sampled_splitters(keyed, sharding.SAMPLED * parts, total, parts, 3) if parts > 1 else []
+    keyed = keyed.withColumn("part", sharding.range_of(splitters))
     strings = ("edited_sha256", "fingerprint", "edited_fingerprint")
     fields = [T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in strings]]
     schema = T.StructType([*fields, T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, held = [], [], None
-        size, kind_ = 0, None
+        held: list[tuple] = []  # (part, doc_id, text), the first one without its row yet
+        size = 0
 
-        def flush():
-            nonlocal ids, docs, held, size
-            v = vectors([d.encode() for d in docs])
-            if len(docs) > 1:
-                yield _rows(pa.array(ids[:-1], kind_), docs[:-1], docs[1:], v[:-1], v[1:])
-            ids, docs, size = ids[-1:], docs[-1:], 0
+        def flush(kind) -> Iterator[pa.RecordBatch]:
+            v = vectors([t.encode() for _, _, t in held])
+            at = [i for i in range(len(held) - 1) if held[i][0] == held[i + 1][0]]
+            if at:
+                after = [i + 1 for i in at]
+                yield _rows(pa.array([held[i][1] for i in at], kind), [held[i][2] for i in at], [held[i][2] for i in after], v[at], v[after])
 
         for batch in batches:
-            kind_ = batch.column("doc_id").type
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(i)
-                docs.append(t or "")
-                size += len(docs[-1])
-                if size > 2 << 20:
-                    yield from flush()
-        if docs:
-            yield from flush()
+            kind = batch.column("doc_id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+                held.append(row)
+                size += len(row[2])
+                if size > HELD:
+                    yield from flush(kind)
+                    held, size = held[-1:], len(held[-1][2])
+        if held:
+            yield from flush(kind)
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                a, b = row.column("text")[0].as_py() or "", row.column("next_text")[0].as_py() or ""
+                a, b = row.column("text")[0].as_py(), row.column("next_text")[0].as_py()
                 v = vectors([a.encode(), b.encode()])
                 yield _rows(row.column("doc_id"), [a], [b], v[:1], v[1:])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    most = map_arrow(dealt.sortWithinPartitions(*order), inner, schema)
-    row = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("text"))
-    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    ends = materialise(ends)  # two texts for each range
-    along = Window.orderBy("part")
-    follows = ends.select("part").select("part", F.coalesce(F.lead("part").over(along), F.min("part").over(Window.partitionBy())).alias("next_part"))  # one number for each range
-    firsts = ends.select(F.col("part").alias("next_part"), F.col("first.text").alias("next_text"))
-    last = ends.select("part", "last").join(follows.hint("merge"), "part").join(firsts.hint("merge"), "next_part")  # texts are exchanged, never broadcast
-    return most.unionByName(map_arrow(last.select(F.col("last.doc_id").alias("doc_id"), F.col("last.text").alias("text"), "next_text"), outer, schema))
+    dealt = keyed.select("part", "doc_id", "text", "h", "id").repartition(parts, "part").sortWithinPartitions("part", "h", "id", "text")
+    return map_arrow(dealt.select("part", "doc_id", "text"), inner, schema).unionByName(map_arrow(_ends(keyed), outer, schema))

@@ -26,7 +26,7 @@ RANGES, RANGE_ROWS, SAMPLED = 64, 500_000, 24
 NO_ID = -(1 << 63)
 
 
-def _place(splitters: list[tuple[int, int, int]]) -> Column:
+def range_of(splitters: list[tuple[int, int, int]]) -> Column:
     """How many splitters are at most the row's key: a binary search in codegen-free array functions, log2 steps a row."""
     if not splitters:
         return F.lit(0)
@@ -43,7 +43,7 @@ def _place(splitters: list[tuple[int, int, int]]) -> Column:
     return F.aggregate(steps, F.lit(0), go)
 
 
-def _sample(rows: DataFrame, wanted: float, total: int, ranges: int, salt: int) -> list[tuple[int, int, int]]:
+def sampled_splitters(rows: DataFrame, wanted: float, total: int, ranges: int, salt: int) -> list[tuple[int, int, int]]:
     """Boundaries of `ranges` equal parts of a size-weighted sample of about `wanted` keys."""
     chance = F.col("size") * (wanted / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("h", "id", "u", F.lit(salt)), F.lit(1 << 40)) < chance * float(1 << 40)).select("h", "id", "u", F.greatest(chance, F.lit(1.0)).alias("w"))
@@ -61,9 +61,9 @@ def shards(documents: DataFrame, n: int = 8) -> DataFrame:
     rows = materialise(documents.select("doc_id", F.coalesce(number, F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("u"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(RANGES * n, -(-count // RANGE_ROWS))
-    splitters = _sample(rows, SAMPLED * ranges, total, ranges, 1)
+    splitters = sampled_splitters(rows, SAMPLED * ranges, total, ranges, 1)
     for again in range(1, 9):
-        placed = rows.withColumn("range", _place(splitters))
+        placed = rows.withColumn("range", range_of(splitters))
         weights = placed.groupBy("range").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
         over = [r["range"] for r in weights.where((F.col("w") > 2.0 * total / ranges) & (F.col("c") > 1)).collect()]
         if not over:
@@ -71,12 +71,12 @@ def shards(documents: DataFrame, n: int = 8) -> DataFrame:
         share = placed.where(F.col("range").isin(over))
         mass = share.agg(F.sum("size")).first()[0]
         parts = max(2, 2 * round(mass * ranges / max(1, total)))
-        finer = _sample(share, SAMPLED * parts * 2, mass, parts, 1 + again)
+        finer = sampled_splitters(share, SAMPLED * parts * 2, mass, parts, 1 + again)
         merged = sorted(set(splitters) | set(finer))
         if merged == splitters:
             break
         splitters = merged
-    placed = rows.withColumn("range", _place(splitters))
+    placed = rows.withColumn("range", range_of(splitters))
     along = Window.orderBy("range")  # over the ranges' sums only
     before = placed.groupBy("range").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
     before = before.select("range", (F.sum("w").over(along) - F.col("w")).alias("bytes_before"), (F.sum("c").over(along) - F.col("c")).alias("rows_before"))

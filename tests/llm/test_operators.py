@@ -158,6 +158,31 @@ def test_fingerprints_follow_the_contract(docs, rows):
     assert fingerprints.combined(code(one + "\n" + two), code(two), -1) == code(one)
 
 
+@pytest.mark.parametrize("bytes_,held", [(9000, 1 << 20), (60000, 500)])
+def test_fingerprints_over_the_bounds_of_ranges(spark, monkeypatch, docs, rows, bytes_, held):
+    monkeypatch.setattr(fingerprints, "PARTITION_BYTES", bytes_)
+    monkeypatch.setattr(fingerprints, "HELD", held)
+    got = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"])
+    order = sorted((-1 if i is None else i, t or "") for i, t in rows)
+    assert [r["doc_id"] for r in got] == [None if i == -1 else i for i, _ in order]  # each once
+    code = lambda x: fingerprints.vectors([x.encode()])
+    for k, ((_, t), r) in enumerate(zip(order, got)):
+        follow = order[(k + 1) % len(order)][1]
+        changed = fingerprints.edited(t, follow)
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        if k % 7 == 0:
+            assert r["fingerprint"] == fingerprints.encoded(code(t)[0]) and r["edited_fingerprint"] == fingerprints.encoded(code(changed)[0])
+            assert math.isclose(r["near_next"], fingerprints.likeness(code(t), code(follow))[0]) and math.isclose(r["near_edited"], fingerprints.likeness(code(t), code(changed))[0])
+
+
+def test_fingerprints_of_repeated_rows_in_small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PARTITION_BYTES", 40)
+    rows = [(1, "same text here")] * 9 + [(None, "no id")] * 3 + [(2, "x"), (2, "y"), (3, "z")]
+    got = fingerprints.fingerprints(cases.documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+    assert sum(r["near_next"] == 1.0 for r in got) == 8 + 2
+
+
 def test_classifiers(spark, docs, rows):
     made = []
     for n in range(300):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +22,21 @@ def build(app: str = "sofra", master: str | None = None, shuffle_partitions: int
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A Parquet table of a base folder on any file system that Spark reads."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate files go: the session's spark.checkpoint.dir; on a local master without one, an own temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-sofra-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder; what is read later doesn't change, also if executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

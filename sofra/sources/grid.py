@@ -91,10 +91,12 @@ def menus(sheets: DataFrame, key: str, name: str, rows: str, as_of: Column) -> D
     split = known.select(*[c for c in known.columns if c != "package"], F.posexplode(package).alias("nth", "package"))
     once = Window.partitionBy(key, "col", "head", "package").orderBy("place", "nth")
     split = split.withColumn("again", F.row_number().over(once)).where(F.col("package").isNull() | (F.col("again") == 1))
-    names = alternatives(F.col("item"))
-    names = F.when(F.size(names) > 0, names).otherwise(F.array(food_name(F.col("item"))))
+    several = alternatives(F.col("item"))
+    spelled = known.where(~F.col("package")).select("item").distinct()  # names repeat, and their rules are dear
+    spelled = spelled.select("item", several.alias("several")).select("item", F.when(F.size("several") > 0, F.col("several")).otherwise(F.array(food_name(F.col("item")))).alias("names"))
+    split = split.join(spelled, "item", "left")
     amounts, energies = (F.when(F.col(c).isNotNull(), split_outside(F.col(c))).otherwise(F.array().cast("array<string>")) for c in ("amount", "energy"))
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    dish = F.transform(names, lambda x, i: F.struct(x.alias("name"), aligned_value(amounts, i).alias("amount"), aligned_value(energies, i).alias("calories")))
+    dish = F.transform("names", lambda x, i: F.struct(x.alias("name"), aligned_value(amounts, i).alias("amount"), aligned_value(energies, i).alias("calories")))
     taken = F.array(F.struct(F.concat(F.lit(PACKAGE_NAME), "package").alias("name"), text(None).alias("amount"), text(None).alias("calories")))
     return split.select(key, "date", "meal", "celiac", "kcal", "col", "head", "place", "package", F.when(F.col("package").isNull(), dish).otherwise(taken).alias("alternatives"))

@@ -1,13 +1,14 @@
 """Quality scores from compression: zstandard dictionaries of good and of bad text, and a calibrated size difference.
 
-A text is compressed with either dictionary. The difference of the two sizes, as a share of the text's bytes, is the only
-thing the score looks at. It is calibrated on labelled texts that the dictionaries have not seen: pool-adjacent-violators
+A text is compressed in small blocks, all of them, each one afresh with either dictionary; compressed as a whole, a long text
+would be its own dictionary. The difference of the two total sizes, as a share of the text's bytes, is the only thing the
+score looks at. It is calibrated on labelled texts that the dictionaries have not seen: pool-adjacent-violators
 gives the share of good texts as a rising function of the difference, and a logistic curve of the same difference has a
 tenth of the weight, so that texts within a flat stretch keep their order.
 
-Empty and null texts have difference 0. Equal texts get equal scores. Labelled ids without a document, null labels and
-repeated label rows (the smallest label counts) are harmless; without labels every score is 0.5. A very long text is
-compressed whole, alone in its step. An empty table gives no rows. Ids of any type will do; other columns are not looked
+Empty and null texts have difference 0. Equal texts get equal scores. Labelled ids without a document and null labels are
+left out before anything is counted; of repeated label rows the smallest label counts, of repeated ids the smallest text;
+without labels every score is 0.5. A very long text is compressed whole, block by block, alone in its step. An empty table gives no rows. Ids of any type will do; other columns are not looked
 at, whatever their names."""
 
 from __future__ import annotations
@@ -22,36 +23,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import logistic
-from .common import fold, map_arrow, steps, texts
+from .common import fold, map_arrow, materialise, steps, texts
 
 #: The bound of what is collected: labelled training rows of each class, those whose ids hash lowest; whole texts, whatever
-#: their length. Size of a trained dictionary, and the blocks that training texts are laid out in for it, all of them.
-SAMPLE_ROWS, DICTIONARY_BYTES, BLOCK = 2000, 64 << 10, 2048
+#: their length. Most bytes of a trained dictionary, and the blocks that texts are cut into, for training and for scores.
+SAMPLE_ROWS, DICTIONARY_BYTES, BLOCK = 2000, 256 << 10, 512
 LEVEL, CURVE = 3, 0.1
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, column: str, folds: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, y, text): at most `rows` labelled training documents of each class, those whose ids hash lowest."""
+def labelled(documents: DataFrame, labels: DataFrame, column: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, y): training labels of ids that there are in documents, one for each id."""
     known = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
+    return known.join(documents.select("doc_id"), "doc_id", "left_semi")
+
+
+def training_sample(documents: DataFrame, known: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, y, text): at most `rows` labelled documents of each class, those whose ids hash lowest."""
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * rows ids at most
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * rows ids at most
+    return found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def blocks(text: bytes) -> list[bytes]:
+    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
 def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or the samples themselves where there is too little text to train one."""
-    blocks = [s[i : i + BLOCK] for s in samples for i in range(0, len(s), BLOCK)]
     try:
-        return zstandard.train_dictionary(size, blocks).as_bytes()
+        return zstandard.train_dictionary(size, [b for s in samples for b in blocks(s)]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(samples)
 
 
 class Scorer:
-    """Compressed sizes of a text with either dictionary."""
+    """Compressed sizes of a text's blocks with either dictionary."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL):
         plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -59,7 +69,8 @@ class Scorer:
 
     def differences(self, docs: list[bytes]) -> np.ndarray:
         """How many bytes a byte of each text the good dictionary saves against the bad one."""
-        return np.array([(len(self.bad.compress(t)) - len(self.good.compress(t))) / len(t) if t else 0.0 for t in docs])
+        bad, good = self.bad.compress, self.good.compress
+        return np.array([sum(len(bad(b)) - len(good(b)) for b in blocks(t)) / len(t) if t else 0.0 for t in docs])
 
 
 class Calibration:
@@ -83,13 +94,13 @@ class Calibration:
 
 def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> dict:
     """Dictionaries from one half of the sample, calibration on the other; classes weigh as often as they are among all training labels."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
+    known = materialise(labelled(documents, labels, "quality", folds, held))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = training_sample(documents, labels, "quality", folds, held, rows).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    sample = training_sample(documents, known, rows).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     made: dict[int, list[bytes]] = {0: [], 1: []}
     held_back: list[tuple[bytes, int]] = []
-    for r in sorted(sample.toLocalIterator(), key=lambda r: (r["h"], r["text"] or "")):  # 2 * rows texts at most
-        text = (r["text"] or "").encode()
+    for r in sorted(sample.toLocalIterator(), key=lambda r: (r["h"], r["text"])):  # 2 * rows texts at most
+        text = r["text"].encode()
         made[r["y"]].append(text) if r["h"] % 2 == 0 else held_back.append((text, r["y"]))
     good, bad = dictionary(made[1]), dictionary(made[0])
     y = np.array([v for _, v in held_back], float)

@@ -43,10 +43,11 @@ VOTERS = ("seed", "two seeds", "two seed kinds", "seed density", "mined density"
 N_FEATURES = 9
 
 
-def labelled(labels: DataFrame, folds: int, held: int, rows: int) -> DataFrame:
+def labelled(documents: DataFrame, labels: DataFrame, folds: int, held: int, rows: int) -> DataFrame:
+    """(doc_id, y) of at most `rows` training ids that there are in documents, those that hash lowest."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known.join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def marks(word: bytes) -> list[bytes]:
@@ -198,7 +199,7 @@ def featurise(documents: DataFrame, mined: dict[bytes, float]) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, most: int = MINED) -> tuple[DataFrame, dict]:
     """The table of featurise(), written, and what classify() needs: mined words, label model and linear model. Labels are
     read from training rows only."""
-    picked = labelled(labels, folds, held, rows)
+    picked = labelled(documents, labels, folds, held, rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` ids at most
     mined = mine(sample, most)
     table = materialise(featurise(documents, mined))

@@ -51,8 +51,9 @@ CLUSTER_LEVEL, CLUSTER_SHARE = 3, 0.8
 #: Members up to which a tree node is compared exhaustively; members up to which it branches within one task; rows that a task
 #: works on at once.
 SMALL, ROOM, STEP_ROWS = 16, 4096, 1 << 16
-#: Members of a node's largest component that each of its others is compared with before the rarest shingles are.
-DRAWN = 4
+#: Members of a node's largest component that each of its others is compared with before the rarest shingles are; ratio of the
+#: sizes of sets in one band of the join on these.
+DRAWN, BAND = 4, 1.05
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
@@ -198,6 +199,28 @@ def rarest(sets: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * round(100 * similarity) / 100) + 1).select("id", "token", "place", "m")
 
 
+def rare_pairs(near: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ids of different components, one of them `minor`, that share a rare token and can be as similar as that by what
+    is left of both sets from the token on.
+
+    The smaller set of a pair has a largest partner: with `left` of its m members from the token on, one of
+    left * (1 + similarity) / similarity - m members. So sizes are part of the key: the smaller set goes to the bands of sizes
+    from its own to that one, the larger one to its band. Where the largest partner would be smaller than the set itself, as
+    for documents with much of their own beside a common passage, it goes nowhere, however many share the token."""
+    num = round(100 * similarity)
+    band = lambda m: F.floor(F.log(m.cast("double")) / math.log(BAND)).cast("int")
+    left = F.col("m") - F.col("place") + 1
+    most = F.expr(f"((m - place + 1) * {100 + num}) div {num}") - F.col("m")
+    rows = near.withColumn("left", left).withColumn("most", most)
+    small = rows.where(F.col("most") >= F.col("m")).withColumn("band", F.explode(F.sequence(band(F.col("m")), band(F.col("most")))))
+    large = rows.withColumn("band", band(F.col("m")))
+    order = (F.col("x.m") < F.col("y.m")) | ((F.col("x.m") == F.col("y.m")) & (F.col("x.id") < F.col("y.id")))
+    can = F.least("x.left", "y.left") * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & can & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
+    found = [x.alias("x").join(y.alias("y"), on).select(*_pair("x.id", "y.id")) for x, y in ((small.where("minor"), large), (small.where("NOT minor"), large.where("minor")))]
+    return found[0].unionByName(found[1]).distinct()
+
+
 def alike(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     """_may() for the rows numbered x and y."""
     agree = (1 + similarity) / 2
@@ -392,11 +415,8 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
         # one row a node; its component is the same on every path
         who = mixed.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi", "comp")], F.max(F.col("comp") != F.col("main")).alias("minor"))
         near = materialise(rarest(sets, mixed, similarity).join(who.hint("merge"), "id"))
-        shared_at_most = 1 + F.least(F.col("x.m") - F.col("x.place"), F.col("y.m") - F.col("y.place"))
-        num = round(100 * similarity)
-        can = (shared_at_most * (100 + num) >= num * (F.col("x.m") + F.col("y.m"))) & (F.col("x.comp") != F.col("y.comp")) & _may(similarity)
-        more = near.where("minor").alias("x").join(near.alias("y"), (F.col("x.token") == F.col("y.token")) & can).select(*_pair("x.id", "y.id"))
-        comp = merged(comp, confirm(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, similarity))
+        more = rare_pairs(near, similarity)
+        comp = merged(comp, confirm(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
     of = materialise(rep.join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("digest", "first", "comp"))
     # written before the join, so that the rows of a large component can be split over its tasks
     heads = materialise(of.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("head")))

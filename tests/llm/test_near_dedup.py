@@ -107,3 +107,42 @@ def test_nodes_over_several_steps_of_a_task(spark, sf, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     monkeypatch.setattr(near_dedup, "STEP_ROWS", 50)
     assert as_brute(near_dedup.near_duplicates(docs, k=2)) == brute.components(rows, 2)
+
+
+def rare_rows(sets, similarity=0.8):
+    """Prefix rows of sets of numbers, as rarest() gives them, each set a component of its own, all samples alike."""
+    df = {}
+    for s in sets:
+        for t in s:
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for i, s in enumerate(sets):
+        m = len(s)
+        for place, t in enumerate(sorted(s, key=lambda t: (df[t], t)), 1):
+            if df[t] > 1 and place <= m - -(-m * round(100 * similarity) // 100) + 1:
+                out.append((i, t, place, m, m, 0, 0, i, i % 3 != 0))
+    return out
+
+
+RARE = "id long, token long, place long, m long, n long, lo long, hi long, comp long, minor boolean"
+
+
+def test_rare_pairs_miss_no_similar_pair(spark):
+    r = random.Random(4)
+    bases = [r.sample(range(3000), r.randrange(3, 120)) for _ in range(12)]
+    sets = [set(r.choice(bases)) for _ in range(160)]
+    for s in sets:
+        for t in r.sample(sorted(s), r.randrange(0, max(1, len(s) // 5))):
+            s.remove(t)
+        s.update(r.randrange(3000, 3400) for _ in range(r.randrange(0, max(1, len(s) // 6))))
+    found = {(x["a"], x["b"]) for x in near_dedup.rare_pairs(spark.createDataFrame(rare_rows(sets), RARE), 0.8).collect()}
+    near = {(i, j) for i in range(160) for j in range(i + 1, 160) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and (i % 3 or j % 3)}
+    assert len(near) > 300 and near <= found
+    assert all(i % 3 or j % 3 for i, j in found)
+
+
+def test_documents_around_one_passage_pair_with_none(spark):
+    """However many share the passage: their own words leave too little of it for a pair."""
+    for n in (300, 1200):
+        sets = [set(range(40)) | {1000 + 20 * i + j for j in range(6 + i % 4)} for i in range(n)]
+        assert near_dedup.rare_pairs(spark.createDataFrame(rare_rows(sets), RARE), 0.8).count() == 0

@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from .common import SPACE, map_arrow, materialise, mix64, steps, utf8, whole_row
 
 CYCLE, SHARE, LIMIT = (3, 1, 2), 1.5, 2.0
-#: Items of a bucket, buckets that meet in a node of the tree, items of a source and size class kept back for the root.
-BUCKET_ROWS, FAN_IN, RESERVED = 2_000, 64, 128
+#: Items of a bucket, buckets that meet in a node of the tree, items of a source and size class kept back for the root; sources
+#: of a range, as they are numbered.
+BUCKET_ROWS, FAN_IN, RESERVED, SOURCE_ROWS = 2_000, 64, 128, 1_000_000
 
 
 def word_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,6 +77,32 @@ def targets(sizes: dict[str | None, int], cycle: tuple = CYCLE, share: float = S
         full.update(over)
 
 
+def source_targets(sizes: DataFrame, cycle: tuple = CYCLE, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """(of, source_size, target, f) of (source, s): targets() for any number of sources; f is the target over the size.
+
+    Sources are numbered in ranges by code point, null last. Full sources are those below a water level, rest over mass, that
+    rises until no more are: each round is one aggregate, and the driver gets three numbers."""
+    rows = sizes.count()
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = materialise(sizes.repartitionByRange(max(1, -(-rows // SOURCE_ROWS)), *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))  # one row a range
+    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.pmod("place", F.lit(len(cycle))) + 1).cast("int"))
+    known = materialise(ranged.join(starts, "part").withColumn("place", place).select("source", "s", weight.alias("w")))
+    room = F.col("s") * limit / F.col("w")
+    total, level, full = None, 0.0, -1
+    while True:
+        under = room < level
+        every, inside, n, mass = known.agg(F.sum("s"), F.sum(F.when(under, F.col("s"))), F.count_if(under), F.sum(F.when(~under, F.col("w")))).first()
+        total = share * (every or 0)
+        if n == full or not mass:
+            break
+        full, level = n, (total - limit * (inside or 0)) / mass
+    target = F.when(room < level, F.col("s") * limit).otherwise(F.col("w") * level)
+    return known.select(F.col("source").alias("of"), F.col("s").alias("source_size"), target.alias("target"), F.when(F.col("s") > 0, target / F.col("s")).otherwise(0.0).alias("f"))
+
+
 def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (mix64(x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(11)).astype(float) * 2.0**-53
@@ -163,12 +190,9 @@ def _decided(documents: DataFrame, row: bool, cycle: tuple, share: float, limit:
         rows = materialise(rows)  # small, and read twice
     items = rows.groupBy("source", "key", "text_hash", "size").agg(F.count("*").alias("c"))
     items = materialise(items)
-    per = items.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("s"), F.count("*").alias("n")).collect()  # one row per source
-    sizes = {r["source"]: int(r["s"]) for r in per}
-    goal = targets(sizes, cycle, share, limit)
-    buckets = max(1, -(-sum(r["n"] for r in per) // BUCKET_ROWS))
-    of = documents.sparkSession.createDataFrame([(s, sizes[s], float(goal[s]), float(goal[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes], "of string, source_size long, target double, f double")
-    of = F.broadcast(of)  # one row per source
+    sizes = items.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("s"))
+    buckets = max(1, -(-items.count() // BUCKET_ROWS))
+    of = materialise(source_targets(sizes, cycle, share, limit))  # one row a source; whether it is broadcast is left to Spark
     whole = F.floor(F.col("f") + 1e-12)
     extra = F.col("c") * F.greatest(F.col("f") - whole, F.lit(0.0))  # copies of the item beyond the whole ones
     planned = items.join(of, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "text_hash", "size", "c", extra.alias("extra"))

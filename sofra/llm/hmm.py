@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fold, map_arrow, materialise, steps, texts, words
 
-OWN, LOCAL, STATES, PIECE, WARM, ROUNDS = 1024, 65_536, 12, 512, 16, 4
+OWN, LOCAL, STATES, PIECE, WARM, ROUNDS = 1024, 131_072, 12, 512, 16, 4
 FIRST, LAST = 64, 8
 SHAPES = FIRST * LAST
 CLASSES = 1 + OWN + SHAPES
@@ -171,10 +171,11 @@ def rare_words(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataF
         for batch in steps(batches):
             out, keys, many = [], [], []
             for text, key in zip(texts(batch), batch.column("key").to_pylist()):
-                counts = Counter(w for w in words(text) if w not in common)
-                out += counts
-                many += counts.values()
-                keys += [key] * len(counts)
+                counts = Counter(words(text))
+                rest = counts.keys() - common
+                out += rest
+                many += map(counts.__getitem__, rest)
+                keys += [key] * len(rest)
             yield pa.record_batch({"word": pa.array(out, pa.binary()), "key": pa.array(keys, pa.int64()), "k": pa.array([shape(w) for w in out], pa.int32()), "n": pa.array(many, pa.int32())})
 
     return map_arrow(documents.select("key", "text"), run, "word binary, key long, k int, n int")

@@ -11,7 +11,7 @@ from .turkish import ascii_fold, trim
 
 #: Phrases of notices, officials and calorie lines, ASCII-folded.
 JUNK = (
-    "il muduru", "sube muduru", "genclik ve spor", "balkanlioglu", "muhittin", "rektor", "daire balkani", "daire baskani", "valisi",
+    "il muduru", "sube muduru", "genclik ve spor", "rektor", "daire balkani", "daire baskani", "valisi",
     "valilik", "kaymakam", "ramazan ayi", "hayirli ramazanlar", "afiyet olsun", "iyi dersler", "not:", "not :", "duyuru",
     "menude degisiklik", "menudegisiklik", "tarihinde", "yili", "kalori", "kcal", "toplam kalori", "besin degerleri", "besin degeri",
     "icerik", "kullanim kosullari", "fiyat listesi", "tabldot ucreti",
@@ -27,10 +27,11 @@ def contains_any(c: Column, needles: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
 
 
-def is_junk(c: Column) -> Column:
-    """Notices, calorie lines, names of officials, empty texts and texts without letters. A null is junk."""
+def is_junk(c: Column, names: tuple[str, ...] = ()) -> Column:
+    """Notices, calorie lines, empty texts and texts without letters, and texts with one of the caller's names (of officials,
+    say; ASCII, lower case). A null is junk."""
     t = trim(c)
-    return F.coalesce((t == "") | ~t.rlike(r"\p{L}") | contains_any(ascii_fold(t), JUNK), F.lit(True))
+    return F.coalesce((t == "") | ~t.rlike(r"\p{L}") | contains_any(ascii_fold(t), (*JUNK, *names)), F.lit(True))
 
 
 def is_feed_junk(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import unused
+
 
 def calendar(spark, first: Column, last: Column, name: str = "day") -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(first, last)).alias(name))
@@ -19,8 +21,8 @@ def zero_filled(usage: DataFrame, date: str, sums: list[str], as_of: Column, day
 
 
 def gaps(rows: DataFrame, kinds: DataFrame, date: str, kind: str, first: Column, last: Column) -> DataFrame:
-    """(day, kind) pairs of the calendar that have no row. kinds is a small table, so the product is one row a day and kind."""
-    wanted = calendar(rows.sparkSession, first, last).crossJoin(F.broadcast(kinds))
+    """(day, kind) pairs of the calendar that have no row: each kind is spread over the days where it lies."""
+    wanted = kinds.select(kind, F.explode(F.sequence(first, last)).alias("day")).select("day", kind)
     seen = rows.where(F.col(date).between(first, last)).select(F.col(date).alias("day"), kind).distinct()
     return wanted.join(seen, ["day", kind], "left_anti")
 
@@ -34,7 +36,7 @@ def incident_history(incidents: DataFrame, components: DataFrame, as_of: Column,
     start, end = F.to_date("created_at"), F.least(F.coalesce(F.to_date("resolved_at"), as_of), as_of)
     spread = incidents.where((F.col("created_at") >= F.date_sub(as_of, days)) & (start <= end)).select("component", "impact", "created_at", "id", F.explode(F.sequence(F.greatest(start, first), F.greatest(end, first))).alias("day"))
     per = spread.groupBy("component", "day").agg(F.min_by("impact", F.struct("created_at", "id")).alias("impact"))
-    frame = calendar(incidents.sparkSession, first, as_of).crossJoin(F.broadcast(components.select("component")))
+    frame = components.select("component", F.explode(F.sequence(first, as_of)).alias("day"))
     return frame.join(per, ["component", "day"], "left").select("component", "day", F.coalesce("impact", F.lit("active")).alias("status"))
 
 
@@ -47,7 +49,8 @@ def overall_health(incidents: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order. One partial maximum could do it for a single column; ties need the window."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    n = unused("n", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:

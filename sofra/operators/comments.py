@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NIL = "00000000-0000-0000-0000-000000000000"
-
+from ..session import settled
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-sofra-"))
-    return df.checkpoint()
+NIL = "00000000-0000-0000-0000-000000000000"
 
 
 def forest(comments: DataFrame, key: str, parent: str) -> DataFrame:
@@ -26,16 +16,16 @@ def forest(comments: DataFrame, key: str, parent: str) -> DataFrame:
 
     Pointers to ancestors are doubled until all point to roots, so trees take the log2 of their depth in joins, whatever
     their width. After as many steps as there are comments, only those of cycles are left."""
-    ids = comments.select(F.col(key).alias("__id"))
-    up = comments.join(ids, F.col(parent) == F.col("__id"), "left").select(key, F.col("__id").alias("up"), F.when(F.col("__id").isNotNull(), 1).otherwise(0).cast("long").alias("far"))
+    own = comments.select(F.col(key).alias("id"), F.col(parent).alias("parent"))
+    up = own.join(own.select(F.col("id").alias("up")), F.col("parent") == F.col("up"), "left")
     # a root points to itself at no distance
-    up = _written(up.select(key, F.coalesce("up", key).alias("up"), "far", (F.col("far") > 0).alias("open")))
+    up = settled(up.select("id", F.coalesce("up", "id").alias("up"), F.col("up").isNotNull().cast("long").alias("far"), F.col("up").isNotNull().alias("open")))
     steps, n = 1, up.count()
     while steps <= 2 * n and not up.where("open").isEmpty():
-        higher = up.select(F.col(key).alias("__k"), F.col("up").alias("__up"), F.col("far").alias("__far"))
-        up = _written(up.join(higher, F.col("up") == F.col("__k")).select(key, F.col("__up").alias("up"), (F.col("far") + F.col("__far")).alias("far"), (F.col("__far") > 0).alias("open")))
+        higher = up.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("far").alias("more"))
+        up = settled(up.join(higher, "up").select("id", F.col("top").alias("up"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("open")))
         steps *= 2
-    return up.select(key, F.when(~F.col("open"), F.col("up")).alias("root_id"), F.when(~F.col("open"), F.col("far")).cast("int").alias("depth"))
+    return up.select(F.col("id").alias(key), F.when(~F.col("open"), F.col("up")).alias("root_id"), F.when(~F.col("open"), F.col("far")).cast("int").alias("depth"))
 
 
 def blocked_flags(comments: DataFrame, blocks: DataFrame, author: str, me: Column) -> DataFrame:

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import unused
+
 
 def period_of(rows: DataFrame, periods: DataFrame, date: str, start: str, end: str, out: list[str]) -> DataFrame:
     """rows with the columns `out` of the period that contains their date; without one they stay with nulls.
 
-    periods is the caller's table of price periods, a few a year, so the range join is a broadcast one."""
-    inside = (F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end))
-    return rows.join(F.broadcast(periods.select(start, end, *out)), inside, "left").drop(start, end)
+    periods is the caller's table of price periods, a few a year; how the range join is done is left to Spark."""
+    a, b = unused("period_start", rows), unused("period_end", rows)
+    inside = (F.col(date) >= F.col(a)) & (F.col(date) <= F.col(b))
+    return rows.join(periods.select(F.col(start).alias(a), F.col(end).alias(b), *out), inside, "left").drop(a, b)
 
 
 def tiered_price(items: DataFrame, tiers: list[tuple[str, DataFrame]], out: str = "price") -> DataFrame:
     """items with the price of the first tier that knows them: each tier is a key column of items and a table (key, price)."""
     names = []
     for i, (key, prices) in enumerate(tiers):
-        names.append(f"__p{i}")
-        items = items.join(prices.select(F.col("key").alias(f"__k{i}"), F.col("price").alias(f"__p{i}")), F.col(key) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        k, p = unused(f"key{i}", items), unused(f"price{i}", items)
+        names.append(p)
+        items = items.join(prices.select(F.col("key").alias(k), F.col("price").alias(p)), F.col(key) == F.col(k), "left").drop(k)
     return items.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
@@ -40,9 +44,10 @@ def diet_bucket(package: Column, dish_ok: Column, celiac_mode: bool) -> Column:
 
 def documents(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: list[str], fields: list[str], out: str = "items") -> DataFrame:
     """Each parent with its children as an ordered array; an empty one without children. A menu's items are few."""
-    per = children.groupBy(F.col(child_key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(out))
+    k = unused("parent_key", parents)
+    per = children.groupBy(F.col(child_key).alias(k)).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(out))
     empty = F.array().cast(per.schema[out].dataType)
-    return parents.join(per, F.col(key) == F.col("__k"), "left").drop("__k").withColumn(out, F.coalesce(out, empty))
+    return parents.join(per, F.col(key) == F.col(k), "left").drop(k).withColumn(out, F.coalesce(out, empty))
 
 
 def calories(children: DataFrame, keys: list[str], own: str, estimate: str) -> DataFrame:
@@ -54,8 +59,9 @@ def calories(children: DataFrame, keys: list[str], own: str, estimate: str) -> D
 def priority_upsert(candidates: DataFrame, keys: list[str], priority: str, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
     """(state, history): per key the candidate of the highest priority, of equal ones the latest, and all others."""
     w = Window.partitionBy(*keys).orderBy(F.col(priority).desc(), *[F.col(c).desc() for c in arrival])
-    ranked = candidates.withColumn("__n", F.row_number().over(w))
-    return ranked.where("__n = 1").drop("__n"), ranked.where("__n > 1").drop("__n")
+    n = unused("n", candidates)
+    ranked = candidates.withColumn(n, F.row_number().over(w))
+    return ranked.where(F.col(n) == 1).drop(n), ranked.where(F.col(n) > 1).drop(n)
 
 
 def sync_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -69,8 +75,9 @@ def sync_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]
 
 def merge_ids(rows: DataFrame, mapping: DataFrame, column: str, unique: list[str] | None = None) -> DataFrame:
     """rows with ids replaced by those of (old_id, new_id); of rows that then agree in `unique`, one stays."""
-    moved = rows.join(mapping.select(F.col("old_id").alias("__o"), F.col("new_id").alias("__n")), F.col(column) == F.col("__o"), "left")
-    moved = moved.withColumn(column, F.coalesce("__n", column)).drop("__o", "__n")
+    old, new = unused("old_id", rows), unused("new_id", rows)
+    moved = rows.join(mapping.select(F.col("old_id").alias(old), F.col("new_id").alias(new)), F.col(column) == F.col(old), "left")
+    moved = moved.withColumn(column, F.coalesce(new, column)).drop(old, new)
     return moved.dropDuplicates(unique) if unique else moved
 
 
@@ -81,13 +88,15 @@ def split_names(rows: DataFrame, key: str, name: str, separator: str) -> DataFra
 
 
 def nearest(points: DataFrame, places: DataFrame, distance: Column, key: str, place: str, most: float | None = None) -> DataFrame:
-    """Each point with its nearest place, null beyond `most`. places is a table of cities, 81 in the domain."""
-    pairs = points.crossJoin(F.broadcast(places)).withColumn("__d", distance)
-    best = pairs.groupBy(key).agg(F.min(F.struct(F.col("__d"), F.col(place))).alias("b"))
-    found = F.col(f"b.{place}")
-    return best.select(key, (F.when(F.col("b.__d") <= most, found) if most is not None else found).alias(place))
+    """Each point with its nearest place, null beyond `most`. places is a table of cities, 81 in the domain; whether it is
+    broadcast is left to Spark."""
+    pairs = points.join(places).select(key, F.struct(distance.alias("d"), F.col(place).alias("place")).alias("at"))
+    best = pairs.groupBy(key).agg(F.min("at").alias("b"))
+    found = F.col("b.place")
+    return best.select(key, (F.when(F.col("b.d") <= most, found) if most is not None else found).alias(place))
 
 
 def first_source(candidates: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """The candidate of the first source in a fallback chain, for each gap."""
-    return priority_upsert(candidates.withColumn("__r", -F.col(rank)), keys, "__r", [])[0].drop("__r")
+    r = unused("r", candidates)
+    return priority_upsert(candidates.withColumn(r, -F.col(rank)), keys, r, [])[0].drop(r)

@@ -40,3 +40,11 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder; what is read later doesn't change, also if executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def unused(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

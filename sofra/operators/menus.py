@@ -34,12 +34,12 @@ def blackout(date: Column, price: Column, months: tuple[int, ...] = (7, 8)) -> C
 
 def diet_bucket(package: Column, dish_ok: Column, celiac_mode: bool) -> Column:
     """Where an item of a menu goes: 'items', 'takeaways' or null. The celiac mode keeps celiac packages, and normal items
-    whose dish is suitable; the standard mode drops celiac packages; packages other than NORMAL are takeaways."""
-    celiac = F.contains(F.upper(package), F.lit("COLYAK")) | F.contains(F.upper(package), F.lit("ÇÖLYAK"))
+    whose dish is suitable, all as items; the standard mode drops celiac packages; packages other than NORMAL are takeaways."""
+    celiac = F.coalesce(F.contains(F.upper(package), F.lit("COLYAK")) | F.contains(F.upper(package), F.lit("ÇÖLYAK")), F.lit(False))
     normal = F.coalesce(package, F.lit("NORMAL")) == "NORMAL"
     if celiac_mode:
-        return F.when(F.coalesce(celiac, F.lit(False)), "takeaways").when(normal & F.coalesce(dish_ok, F.lit(False)), "items")
-    return F.when(~F.coalesce(celiac, F.lit(False)), F.when(normal, "items").otherwise("takeaways"))
+        return F.when(celiac | (normal & F.coalesce(dish_ok, F.lit(False))), "items")
+    return F.when(~celiac, F.when(normal, "items").otherwise("takeaways"))
 
 
 def documents(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: list[str], fields: list[str], out: str = "items") -> DataFrame:

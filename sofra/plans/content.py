@@ -7,10 +7,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, chain, moderation, picks
+from ..operators import cards, catalogue, chain, moderation, picks
 from ..session import shared_folder, table
 from ..sources import grid, html
-from ..streaming import buckets
+from ..streaming import buckets, notifier
 from .registry import CHAIN, ORACLES, chained, query
 
 #: Which event stands for which action.
@@ -135,3 +135,72 @@ def q22b_chain_cascade(spark, d):
     payload = F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
     stored = made.select("user_id", "event_id", payload.alias("payload"), F.col("hash").alias("stored"), F.col("previous_hash").alias("stored_previous"))
     return chain.verify(stored, ["user_id"], ["event_id"], "payload", "stored", "stored_previous").select("user_id", "event_id", "is_corrupted")
+
+
+ITEMS = """CASE l_returnflag WHEN 'A' THEN 'ÇÖLYAK' WHEN 'R' THEN 'Paket ' || (l_linenumber % 2) ELSE 'NORMAL' END"""
+MEAL = "CASE o_orderkey % 3 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' ELSE 'dinner' END"
+LOW, HIGH = "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(500 + o_orderkey % 50 AS INT) END", "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(550 + o_orderkey % 7 AS INT) END"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS id, n_name AS city_name, CAST(o_orderdate AS DATE) AS serve_date, {MEAL} AS meal_type, {LOW} AS lo, {HIGH} AS hi FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2),
+bn AS (SELECT p_name AS k, min(p_retailprice) AS price FROM part WHERE p_size <= 5 GROUP BY 1), bc AS (SELECT p_type AS k, min(p_retailprice) AS price FROM part GROUP BY 1),
+r AS (SELECT m.id, l_linenumber, l_discount > 0.05 AS alt, p_name, {ITEMS} AS pack, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INT) END AS own, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS estimate,
+CASE WHEN month(serve_date) NOT IN (7, 8) THEN coalesce(bn.price, CASE WHEN p_partkey % 7 <> 0 THEN bc.price END) END AS price FROM m JOIN lineitem ON l_orderkey = m.id JOIN part ON p_partkey = l_partkey LEFT JOIN bn ON bn.k = p_name LEFT JOIN bc ON bc.k = p_type),
+i AS (SELECT id, string_agg(l_linenumber || '|' || p_name || '|' || coalesce(printf('%.2f ₺', price), '-'), ', ' ORDER BY l_linenumber, alt, p_name, own, price) FILTER (pack = 'NORMAL') AS items, sum(coalesce(own, estimate, 0)) FILTER (pack = 'NORMAL') AS cal, string_agg(DISTINCT pack, ', ' ORDER BY pack) FILTER (starts_with(pack, 'Paket')) AS packs FROM r GROUP BY 1),
+v AS (SELECT l_orderkey AS id, count(*) AS vote_count, CAST(sum(CASE l_linestatus WHEN 'O' THEN 1 ELSE -1 END) AS BIGINT) AS rating_sum, max(CASE WHEN l_suppkey = 7 THEN CASE l_linestatus WHEN 'O' THEN 'positive' ELSE 'negative' END END) AS my_vote, count(*) FILTER (l_tax <= 0.04) AS comments FROM lineitem GROUP BY 1)
+SELECT m.id, city_name, serve_date, meal_type, coalesce(items, '') AS items, coalesce(packs, '') AS takeaways, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi THEN lo || ' - ' || hi || ' kcal' ELSE coalesce(lo, hi) || ' kcal' END AS official_calories,
+CASE WHEN cal > 0 THEN CAST(cal AS BIGINT) ELSE 0 END AS calculated_calories, coalesce(comments, 0) AS comment_count, coalesce(vote_count, 0) AS vote_count, coalesce(rating_sum, 0) AS rating_sum, my_vote FROM m LEFT JOIN i USING (id) LEFT JOIN v USING (id)""")
+def q63_menu_cards(spark, d):
+    part, lines, nation = table(spark, d, "part"), table(spark, d, "lineitem"), table(spark, d, "nation")
+    head = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    head = head.select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("city_id"), F.to_date("o_orderdate").alias("serve_date"), F.expr(MEAL).alias("meal_type"), F.col("o_orderstatus").alias("status"), F.expr(LOW).alias("calories_min"), F.expr(HIGH).alias("calories_max"))
+    items = lines.select(F.col("l_orderkey").alias("menu_id"), F.col("l_partkey").alias("alias_id"), F.col("l_linenumber").alias("order_index"), (F.col("l_discount") > 0.05).alias("is_alternative"), F.expr(ITEMS).alias("package"), F.lit(None).cast("string").alias("amount"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("int")).alias("calories"))
+    aliases = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey")).alias("dish_id"))
+    dishes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), (F.col("p_size") % 2 == 0).alias("is_celiac"), F.col("p_size").alias("estimated_calories"))
+    votes = lines.select(F.col("l_orderkey").alias("menu_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_linestatus") == "O", "positive").otherwise("negative").alias("sentiment"))
+    comments = lines.select(F.col("l_orderkey").alias("menu_id"), (F.col("l_tax") > 0.04).alias("is_deleted"))
+    price = lambda rows, key: rows.groupBy(F.col(key).alias("key")).agg(F.min("p_retailprice").alias("price"))
+    made = cards.menu_documents(head, nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), items, aliases, dishes, votes, comments, price(part.where("p_size <= 5"), "p_name"), price(part, "p_type"), me=F.lit(7))
+    listed = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["order_index"].cast("string"), x["raw_name"], F.coalesce(x["price"], F.lit("-")))), ", ")
+    return made.select("id", "city_name", "serve_date", "meal_type", listed.alias("items"), F.array_join("takeaways.name", ", ").alias("takeaways"), "official_calories", F.coalesce("calculated_calories", F.lit(0)).alias("calculated_calories"), "comment_count", "vote_count", "rating_sum", "my_vote")
+
+
+WORDS = ("the", "und", "les", "los", "and", "of", "de", "die")
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' ELSE 'dinner' END AS meal, text, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\s]', ' ', 'g'), '\s+'), lambda x: length(x) >= 2) AS w FROM conversations),
+r AS (SELECT *, coalesce(len(list_filter(w, lambda x: list_contains(['the', 'und', 'les', 'los', 'and', 'of', 'de', 'die'], x))) * 100.0::DOUBLE / nullif(len(w), 0), 0) AS ratio FROM c WHERE meal <> 'lunch'),
+d AS (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS distance FROM embeddings),
+g AS (SELECT conv_id, count(text) AS n_items, CAST(floor(avg(ratio) + 0.5) AS INT) AS trust, string_agg(text, ' ' ORDER BY CASE meal WHEN 'breakfast' THEN 1 ELSE 3 END, turn) AS text FROM r GROUP BY 1)
+SELECT conv_id, n_items, trust, sha256(text) AS text, CASE WHEN trust >= 30 AND NOT coalesce(distance > 0.65, false) THEN 'approved' ELSE 'needs_review' END AS status FROM g LEFT JOIN d ON vec_id = conv_id""")
+def q64_day_reviews(spark, d):
+    """Turns as the dishes of a day; lunch is left out as the platform does it."""
+    from ..functions import scalars
+
+    vectors = table(spark, d, "embeddings")
+    first = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("base"))
+    distances = vectors.crossJoin(first).select(F.col("vec_id").alias("conv_id"), F.round(scalars.cosine_distance(F.col("embedding"), F.col("base")), 6).alias("distance"))
+    rows = table(spark, d, "conversations").withColumn("meal", F.expr("CASE turn % 3 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' ELSE 'dinner' END"))
+    made = cards.day_reviews(rows, "conv_id", "meal", "text", ["turn"], WORDS, distances, ("breakfast", "dinner"))
+    return made.select("conv_id", "n_items", "trust", F.sha2("text", 256).alias("text"), "status")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_nationkey AS city_id, lpad(CAST(c_custkey * 7 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c_custkey * 13 % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN c_custkey % 2 = 0 THEN 'breakfast' ELSE 'dinner' END AS meal FROM customer),
+t AS (SELECT DISTINCT CAST(ts AS DATE) AS day, strftime(ts, '%H:%M') AS time FROM events),
+u AS (SELECT DISTINCT s_nationkey AS city_id, CAST(day(l_shipdate) AS INT) AS dom, p_name AS dish FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+m AS (SELECT city_id, dom, list(dish ORDER BY dish) AS dishes FROM u GROUP BY 1, 2),
+j AS (SELECT s.id, t.day, s.meal, dishes, coalesce(n_name, 'Yurt') AS city, CASE WHEN len(list_filter(dishes, lambda x: contains(x, 'ring'))) > 0 THEN 'r' WHEN len(list_filter(dishes, lambda x: contains(x, 'bolt'))) > 0 THEN 'b' ELSE 'plain' END AS kind
+FROM s JOIN t USING (time) JOIN m ON m.city_id = s.city_id AND m.dom = day(t.day) LEFT JOIN nation ON n_nationkey = s.city_id AND n_regionkey <> 1)
+SELECT id, day, meal, city || ' - ' || CASE meal WHEN 'breakfast' THEN 'kahvaltı' ELSE 'akşam yemeği' END AS title, CASE kind WHEN 'r' THEN 'R ' || dishes[1] WHEN 'b' THEN 'B ' || dishes[1] ELSE array_to_string(dishes, ', ') END AS body FROM j""")
+def q65_notifications(spark, d):
+    """Every minute with an event is a tick; menus of a city repeat each month."""
+    subs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("city_id"), *[c for meal, odd in (("breakfast", 0), ("dinner", 1)) for c in ((F.col("c_custkey") % 2 == odd).alias(f"{meal}_on"), F.expr("lpad(cast(c_custkey * 7 % 24 as string), 2, '0') || ':' || lpad(cast(c_custkey * 13 % 60 as string), 2, '0')").alias(f"{meal}_time"))])
+    ticks = table(spark, d, "events").select(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("tick")).distinct()
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    per = lines.groupBy(F.col("s_nationkey").alias("city_id"), F.dayofmonth("l_shipdate").alias("dom")).agg(F.array_sort(F.collect_set("p_name")).alias("dishes"))
+    days = ticks.select(F.to_date("tick").alias("day")).distinct()
+    menus = per.join(days, F.dayofmonth("day") == F.col("dom")).select("city_id", "day", "dishes", F.explode(F.array(F.lit("breakfast"), F.lit("dinner"))).alias("meal"))
+    cities = table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    texts = {"plain": ("{all}",), "r": ("R {dish}",), "b": ("B {dish}",)}
+    families = {m: (("r", ("ring",)), ("b", ("bolt",))) for m in ("breakfast", "dinner")}
+    return notifier.notifications(ticks, subs, menus, cities, texts, families).select("id", "day", "meal", "title", "body")

@@ -180,3 +180,84 @@ def test_four_items_near_a_budget(spark):
     rows = [("m", i, p) for i, p in enumerate([10, 20, 30, 40, 50, None, 999])] + [("few", 1, 5), ("few", 2, 5)]
     got = {x["menu"]: (x["total"], x["items"]) for x in picks.trays(spark.createDataFrame(rows, "menu string, id int, price long"), "menu", "id", F.col("price"), 125).collect()}
     assert got["few"] == (None, None) and got["m"][0] == 120 and len(got["m"][1]) == 4
+
+
+def test_day_reviews(spark):
+    from sofra.operators import cards
+
+    rows = [("a", "dinner", 1, "sote nohut"), ("a", "breakfast", 2, "çay"), ("a", "lunch", 1, "zzz"), ("b", "dinner", 1, "xq"), ("c", "dinner", 1, None), ("d", "dinner", 1, "nohut")]
+    items = spark.createDataFrame(rows, "day string, meal string, at int, name string")
+    far = spark.createDataFrame([("d", 0.7), ("a", 0.65)], "day string, distance double")
+    got = {r["day"]: (r["n_items"], r["trust"], r["text"], r["status"]) for r in cards.day_reviews(items, "day", "meal", "name", ["at"], ("nohut", "çay"), far, ("breakfast", "dinner")).collect()}
+    assert got == {"a": (2, 75, "çay sote nohut", "approved"), "b": (1, 0, "xq", "needs_review"), "c": (0, 0, "", "needs_review"), "d": (1, 100, "nohut", "needs_review")}
+    assert cards.day_reviews(items.limit(0), "day", "meal", "name", ["at"], ("x",)).count() == 0
+
+
+def test_selection_of_menus(spark):
+    from sofra.operators import cards
+
+    df = spark.createDataFrame([(1, 1, dt.date(2026, 12, 31)), (2, 1, dt.date(2027, 1, 1)), (3, 2, dt.date(2026, 12, 1))], "id int, city_id int, serve_date date")
+    ids = lambda **by: sorted(r["id"] for r in cards.selected(df, **by).collect())
+    assert ids(year=2026, month=12) == [1, 3] and ids(city=1) == [1, 2] and ids(city=9) == [] and ids(year=2026) == [1, 2, 3]
+    assert ids(day=dt.date(2027, 1, 1), year=2026, month=12) == [2]  # a day makes the month void
+    x = spark.range(1).select(cards.adjacent_distinct(F.array(*[F.lit(v) for v in "aabba"])).alias("x")).first()["x"]
+    assert x == ["a", "b", "a"]
+
+
+def test_captions_and_slots(spark):
+    from sofra.operators import cards
+
+    menus = spark.createDataFrame([(1, "x", 100, 200), (2, "x", 300, None), (3, "y", None, None)], "id int, city string, calories_min int, calories_max int")
+    items = spark.createDataFrame([(1, 0, False, "a"), (1, 2, True, "c"), (1, 2, False, "b"), (2, 0, False, "d")], "menu_id int, at int, alt boolean, name string")
+    assert sorted(tuple(r) for r in cards.day_captions(menus, items, ["city"]).collect()) == [("x", 4, "100 - 200 kcal"), ("y", 0, None)]
+    assert sorted((r["menu_id"], r["slot"], r["names"]) for r in cards.slots(items, "menu_id", "at", "alt", "name").collect()) == [(1, 0, ["a"]), (1, 1, ["b", "c"]), (2, 0, ["d"])]
+
+
+SUBS = "id int, city_id int, breakfast_on boolean, breakfast_time string, dinner_on boolean, dinner_time string"
+
+
+def test_notifier_stream_says_each_thing_once(spark):
+    from sofra.streaming import notifier
+
+    subs = spark.createDataFrame([(1, 5, True, "08:00", True, "17:30"), (2, 6, False, "08:00", True, "17:30"), (3, None, True, "08:00", True, "08:00"), (4, 7, True, "08:00", False, "08:00")], SUBS)
+    D = dt.date(2026, 5, 1)
+    menus = spark.createDataFrame([(5, D, "breakfast", ["Su böreği", "çay"]), (5, D, "dinner", ["Su", "Mercimek Çorbası", "Tavuk Sote"]), (6, D, "dinner", []), (7, D, "breakfast", ["ekmek"])], "city_id int, day date, meal string, dishes array<string>")
+    cities = spark.createDataFrame([(5, "Iğdır")], "id int, name string")
+    folder = tempfile.mkdtemp(prefix="spark-sofra-")
+    minute = lambda h, m: [(dt.datetime(2026, 5, 1, h, m),)]
+    spark.createDataFrame(minute(8, 0) + minute(8, 1), "tick timestamp").write.mode("append").parquet(f"{folder}/ticks")
+    stream = lambda: spark.readStream.schema("tick timestamp").parquet(f"{folder}/ticks")
+    first = notifier.run_notifier(spark, stream(), subs, menus, cities, folder).collect()
+    assert sorted((r["id"], r["meal"], r["url"]) for r in first) == [(1, "breakfast", "/igdir"), (4, "breakfast", "/yurt")]
+    spark.createDataFrame(minute(8, 0) + minute(17, 30), "tick timestamp").write.mode("append").parquet(f"{folder}/ticks")
+    got = {(r["id"], r["meal"]): (r["title"], r["body"]) for r in notifier.run_notifier(spark, stream(), subs, menus, cities, folder).collect()}
+    assert len(got) == 3 and got[1, "dinner"][0] == "Iğdır - akşam yemeği" and "Tavuk Sote" in got[1, "dinner"][1] and "Su böreği" in got[1, "breakfast"][1]
+
+
+def test_dropzone_with_damaged_and_waiting_files(spark, tmp_path):
+    import json
+
+    from sofra.streaming import dropzone
+
+    zone, folder = tmp_path / "zone", f"file://{tmp_path}/out"
+
+    def put(city, name, body):
+        (zone / city).mkdir(parents=True, exist_ok=True)
+        (zone / city / name).write_text(body)
+
+    sheet = lambda dish: json.dumps({"sheets": [{"name": "AKŞAM", "rows": [["5.5.2026"], [dish], ["su"]]}]})
+    put("igdir", "a.json", sheet("nohut"))
+    put("igdir", "bad.json", "{broken")
+    put("igdir", "empty.json", " \n")
+    put("mars", "m.json", sheet("toz"))
+    cities = lambda *rows: spark.createDataFrame(list(rows), "id int, slug string")
+    run = lambda c: [x.collect() for x in dropzone.run_dropzone(spark, f"file://{zone}", c, folder, F.lit("2026-05-20").cast("date"), str(tmp_path / "archive"))]
+    menus, errors, queue = run(cities((76, "igdir")))
+    names = lambda ms: sorted((r["city_id"], r["file"], r["alternatives"][0]["name"]) for r in ms)
+    assert names(menus) == [(76, "a.json", "Nohut"), (76, "a.json", "Su")]
+    assert sorted((r["file"], r["reason"]) for r in errors) == [("bad.json", "not the JSON of sheets"), ("empty.json", "empty file")] and [(r["city"], r["file"]) for r in queue] == [("mars", "m.json")]
+    put("igdir", "b.json", json.dumps({"sheets": []}))
+    menus, errors, queue = run(cities((76, "igdir")))
+    assert len(menus) == 2 and {r["file"]: r["reason"] for r in errors}["b.json"] == "no sheets" and len(queue) == 1
+    menus, errors, queue = run(cities((76, "igdir"), (99, "mars")))
+    assert names(menus) == [(76, "a.json", "Nohut"), (76, "a.json", "Su"), (99, "m.json", "Su"), (99, "m.json", "Toz")] and len(errors) == 3 and not queue

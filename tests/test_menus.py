@@ -41,4 +41,4 @@ def test_packages_of_both_diets(spark):
     rows = [("NORMAL", True), (None, False), ("COLYAK", None), ("Paket 1", True)]
     df = spark.createDataFrame(rows, "package string, ok boolean")
     of = lambda mode: [r["b"] for r in df.select(menus.diet_bucket(F.col("package"), F.col("ok"), mode).alias("b")).collect()]
-    assert of(True) == ["items", None, "takeaways", None] and of(False) == ["items", "items", None, "takeaways"]
+    assert of(True) == ["items", None, "items", None] and of(False) == ["items", "items", None, "takeaways"]

@@ -32,7 +32,7 @@ def sorted_out(files: DataFrame, cities: DataFrame) -> DataFrame:
     why it is damaged."""
     parsed = F.from_json("body", SHEETS)["sheets"]
     rows = files.withColumn("sheets", parsed).join(cities.select(F.col("id").alias("city_id"), F.col("slug").alias("city")), "city", "left")
-    reason = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", "empty file").when(F.col("sheets").isNull(), "not the JSON of sheets").when(F.size("sheets") == 0, "no sheets").when(F.col("city_id").isNull(), "unknown city")
+    reason = F.when(~F.coalesce("body", F.lit("")).rlike(r"\S"), "empty file").when(F.col("sheets").isNull(), "not the JSON of sheets").when(F.size("sheets") == 0, "no sheets").when(F.col("city_id").isNull(), "unknown city")
     return rows.withColumn("reason", reason)
 
 

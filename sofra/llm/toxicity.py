@@ -181,11 +181,15 @@ def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
 
 
 def featurise(documents: DataFrame, mined: dict[bytes, float]) -> DataFrame:
-    """Every column of (doc_id, text, ...) but text, with pattern, the vote pattern as bits, and f, the counts."""
+    """Every column of (doc_id, text), or of (row) with such a struct, but text, with pattern, the vote pattern as bits, and f,
+    the counts. A text within a row is looked at where it is, so no batch holds it twice."""
     seeds = frozenset(w.encode() for w in SEEDS)
     names = [c for c in documents.columns if c != "text"]
+    inside = documents.schema["row"].dataType.names.index("text") if names == ["row"] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if inside is not None:
+            batches = (b.append_column("text", b.column("row").field(inside)) for b in batches)
         for batch in steps(batches):
             f = features_of(texts(batch), seeds, mined)
             bits = votes_of(f).astype(np.int64) @ (1 << np.arange(len(VOTERS)))
@@ -196,14 +200,14 @@ def featurise(documents: DataFrame, mined: dict[bytes, float]) -> DataFrame:
     return map_arrow(documents, run, T.StructType([*own, T.StructField("pattern", T.LongType()), T.StructField("f", T.ArrayType(T.FloatType()))]))
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, most: int = MINED) -> tuple[DataFrame, dict]:
-    """The table of featurise(), written, and what classify() needs: mined words, label model and linear model. Labels are
+def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = SAMPLE_ROWS, most: int = MINED, packed: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """The table of featurise() over documents or their packed rows, written, and what classify() needs: mined words, label model and linear model. Labels are
     read from training rows only."""
     picked = labelled(documents, labels, folds, held, rows)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` ids at most
     mined = mine(sample, most)
-    table = materialise(featurise(documents, mined))
-    known = table.select("doc_id", "pattern", "f").join(F.broadcast(picked), "doc_id")
+    table = materialise(featurise(documents if packed is None else packed, mined))
+    known = table.select("doc_id" if packed is None else F.col("row.doc_id").alias("doc_id"), "pattern", "f").join(F.broadcast(picked), "doc_id")
     # at most 2 ** len(VOTERS) patterns for each of three label states, whatever the number of documents
     everything = table.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     with_label = known.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
@@ -239,8 +243,7 @@ def detect(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int =
 def accepted(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, all columns, that score below the threshold. They are looked at once: the training pass writes them
     beside their counts, and the classifier reads these."""
-    own = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), whole_row(documents).alias("row"))
-    table, trained = train(own, labels, folds, held, rows)
+    table, trained = train(documents.select("doc_id", "text"), labels, folds, held, rows, packed=documents.select(whole_row(documents).alias("row")))
     shared = documents.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from .common import map_arrow, materialise, mix64, ordered, word_hashes
 
 EXACT, SKETCH = 32, 192
 #: Text in a range of ids, and the most ranges there are, however much text; text that one step works on, and that a task holds.
-PARTITION_BYTES, RANGES, STEP, HELD = 16 << 20, 16384, 1 << 19, 2 << 20
+PARTITION_BYTES, RANGES, STEP, HELD = 4 << 20, 16384, 1 << 19, 2 << 20
 _WIDE = mix64(np.arange(8001, 8001 + SKETCH // 64, dtype=np.uint64))
 
 

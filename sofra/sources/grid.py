@@ -14,6 +14,7 @@ from ..functions.dates import grid_date, near_date
 from ..functions.guard import contains_any
 from ..functions.names import ITEM_BYTES, ITEMS_PER_MEAL, aligned_value, alternatives, food_name, numeric_value, split_outside
 from ..functions.turkish import trim
+from ..session import settled
 
 #: Words of remarks that are no dishes; marks of packages, and of the columns beside a date.
 REMARKS = ("hazırlanıp", "sunulacaktır", "garnitür", "ortalama")
@@ -45,10 +46,11 @@ def listed(grid: DataFrame, key: str, as_of: Column, most: int = ITEMS_PER_MEAL)
     years from as_of head no list but end the one above."""
     column = Window.partitionBy(key, "col").orderBy("row")
     up = lambda c: F.upper(c)
-    dated = grid.withColumn("own", grid_date(F.col("text"))).withColumn("block", F.count("own").over(column)).where("block > 0")
+    dated = grid.withColumn("own", F.when(F.col("text").rlike(r"\d{4}"), grid_date(F.col("text")))).withColumn("block", F.count("own").over(column)).where("block > 0")
     inside = Window.partitionBy(key, "col", "block").orderBy("row")
-    amounts = contains_any(up(F.col("right")), AMOUNT)
-    energy = contains_any(up(F.col("right")), ENERGY) | (amounts & contains_any(up(F.col("right2")), ENERGY))
+    head = F.col("own").isNotNull()
+    amounts = F.when(head, contains_any(up(F.col("right")), AMOUNT))
+    energy = F.when(head, contains_any(up(F.col("right")), ENERGY) | (amounts & contains_any(up(F.col("right2")), ENERGY)))
     for name, value in (("date", F.col("own")), ("head", F.col("row")), ("amounts", amounts), ("energies", energy)):
         dated = dated.withColumn(name, F.first(value).over(inside))
     body = dated.where(F.col("own").isNull()).withColumn("item", item_text(F.col("text")))
@@ -84,7 +86,7 @@ def menus(sheets: DataFrame, key: str, name: str, rows: str, as_of: Column) -> D
     number go with them one by one, a single one goes with each. package: the number of a package to take away, one row for
     each number that its cell names, each once in a list; null for a dish. An empty table gives no rows."""
     grid = cells(sheets, key, rows)
-    items = listed(grid, key, as_of)
+    items = settled(listed(grid, key, as_of))  # read twice
     known = items.join(sheet_facts(sheets, grid, items, key, name), key).where("meal IS NOT NULL")
     numbers = F.regexp_extract_all("item", F.lit(r"(\d+)"), 1)
     package = F.when(F.col("package"), F.when(F.size(numbers) > 0, F.array_distinct(numbers)).otherwise(F.array(F.lit("1")))).otherwise(F.array(F.lit(None).cast("string")))

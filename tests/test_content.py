@@ -182,6 +182,16 @@ def test_four_items_near_a_budget(spark):
     assert got["few"] == (None, None) and got["m"][0] == 120 and len(got["m"][1]) == 4
 
 
+def test_four_of_very_many_items(spark):
+    """48,000 items of 1,000 prices, some of which are needed twice; searches over all pairs of items take minutes."""
+    prices = np.array([90000 + 10 * (i % 1000) for i in range(48000)], np.int64)
+    for budget, total in ((399905, 399900), (360019, 360010), (359999, None), (10**9, 4 * 99990)):
+        found = picks.nearest_four(prices, budget)
+        assert (None if found is None else (len(set(found)), sum(prices[list(found)]))) == (None if total is None else (4, total))
+    items = spark.range(4000).select((F.col("id") % 2).alias("menu"), "id", (F.col("id") % 20 * 10).alias("price"))
+    assert {r["menu"]: (r["total"], len(set(r["items"]))) for r in picks.trays(items, "menu", "id", F.col("price"), 645).collect()} == {0: (640, 4), 1: (640, 4)}
+
+
 def test_day_reviews(spark):
     from sofra.operators import cards
 
@@ -234,6 +244,19 @@ def test_notifier_stream_says_each_thing_once(spark):
     assert len(got) == 3 and got[1, "dinner"][0] == "Iğdır - akşam yemeği" and "Tavuk Sote" in got[1, "dinner"][1] and "Su böreği" in got[1, "breakfast"][1]
 
 
+def test_notifier_writes_texts_before_subscriptions_meet_them(spark):
+    """What a menu says is below the join with subscriptions in the plan, so it isn't written anew for each of them."""
+    from sofra.streaming import notifier
+
+    D = dt.date(2026, 5, 1)
+    ticks, subs = spark.createDataFrame([(dt.datetime(2026, 5, 1, 8, 0),)], "tick timestamp"), spark.createDataFrame([(1, 5, True, "08:00", False, "17:30")], SUBS)
+    menus, cities = spark.createDataFrame([(5, D, "breakfast", ["Börek", "çay"])], "city_id int, day date, meal string, dishes array<string>"), spark.createDataFrame([(5, "Iğdır")], "id int, name string")
+    made = notifier.notifications(ticks, subs, menus, cities, {"plain": ("{all}",), "hot": ("{dish}!", "{dish}!")})
+    top = made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Tavuk" not in top and "array_join" not in top and "contains" not in top.lower()
+    assert [(r["title"], r["body"], r["url"]) for r in made.collect()] == [("Iğdır - kahvaltı", "Börek!", "/igdir")]
+
+
 def test_dropzone_with_damaged_and_waiting_files(spark, tmp_path):
     import json
 

@@ -57,29 +57,40 @@ def family(meal: Column, dishes: Column, families: dict = FAMILIES) -> Column:
     return out
 
 
-def body(kind: Column, dishes: Column, choice: Column, texts: dict[str, tuple[str, ...]] = TEXTS) -> Column:
-    """The text of a family, one of its variants by a number, with its main dish filled in."""
+def sayings(kind: Column, dishes: Column, texts: dict[str, tuple[str, ...]] = TEXTS) -> Column:
+    """The variants of a family's text, an array, with its main dish filled in."""
     main = F.coalesce(F.try_element_at(F.filter(dishes, lambda d: ~is_side(d)), F.lit(1)), F.try_element_at(dishes, F.lit(1)))
     say = lambda t: F.replace(F.replace(F.lit(t), F.lit("{dish}"), main), F.lit("{all}"), F.array_join(dishes, ", "))
-    pick = lambda ts: F.element_at(F.array(*[say(t) for t in ts]), (F.pmod(choice, F.lit(len(ts))) + 1).cast("int"))
-    out = pick(texts["plain"])
+    out = F.array(*[say(t) for t in texts["plain"]])
     for name, ts in texts.items():
         if name != "plain":
-            out = F.when(kind == name, pick(ts)).otherwise(out)
+            out = F.when(kind == name, F.array(*[say(t) for t in ts])).otherwise(out)
     return out
 
 
+def picked(variants: Column, choice: Column) -> Column:
+    """One of the variants by a number."""
+    return F.element_at(variants, (F.pmod(choice, F.size(variants)) + 1).cast("int"))
+
+
+def body(kind: Column, dishes: Column, choice: Column, texts: dict[str, tuple[str, ...]] = TEXTS) -> Column:
+    """The text of a family, one of its variants by a number, with its main dish filled in."""
+    return picked(sayings(kind, dishes, texts), choice)
+
+
 def notifications(ticks: DataFrame, subscriptions: DataFrame, menus: DataFrame, cities: DataFrame, texts: dict = TEXTS, families: dict = FAMILIES) -> DataFrame:
     """(id, day, meal, title, body, url) for each subscription whose time is a tick's minute (tick timestamp; a batch or a
     stream) and whose city has a menu of that day and meal: menus (city_id, day, meal, dishes). An empty menu says nothing. A
-    city without a name has a general one. The variant is chosen by a hash of subscription and day, so reruns agree."""
+    city without a name has a general one. The variant is chosen by a hash of subscription and day, so reruns agree. All that
+    a menu says is written once for each menu, before the subscriptions meet it."""
     due = ticks.select(F.to_date("tick").alias("day"), F.date_format("tick", "HH:mm").alias("time"))
-    rows = due.join(waiting(subscriptions), "time").join(menus.where(F.size("dishes") > 0), ["city_id", "day", "meal"])
-    rows = rows.join(cities.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left")
     city = F.coalesce("city", F.lit(NO_CITY))
-    choice = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.col("day").cast("string")).cast("binary"))
     title = F.concat(city, F.lit(" - "), F.when(F.col("meal") == "breakfast", "kahvaltı").otherwise("akşam yemeği"))
-    return rows.select("id", "day", "meal", title.alias("title"), body(family(F.col("meal"), F.col("dishes"), families), F.col("dishes"), choice, texts).alias("body"), F.concat(F.lit("/"), slug(city)).alias("url"))
+    told = menus.where(F.size("dishes") > 0).join(cities.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left")
+    told = told.select("city_id", "day", "meal", title.alias("title"), sayings(family(F.col("meal"), F.col("dishes"), families), F.col("dishes"), texts).alias("variants"), F.concat(F.lit("/"), slug(city)).alias("url"))
+    rows = due.join(waiting(subscriptions), "time").join(told, ["city_id", "day", "meal"])
+    choice = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.col("day").cast("string")).cast("binary"))
+    return rows.select("id", "day", "meal", "title", picked(F.col("variants"), choice).alias("body"), "url")
 
 
 def run_notifier(spark: SparkSession, ticks: DataFrame, subscriptions: DataFrame, menus: DataFrame, cities: DataFrame, folder: str) -> DataFrame:

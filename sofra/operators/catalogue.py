@@ -49,15 +49,16 @@ def resolved(renames: DataFrame) -> DataFrame:
     """(old_id, new_id) with chains followed to their ends. An id that is renamed twice goes to the smaller target; ids on a
     cycle and those that lead into one are left out, so nothing is merged in a circle.
 
-    Each round doubles the steps that a pointer has gone, so chains of n renames need log2(n) rounds, however they lie."""
+    Each round doubles the steps that a pointer has gone, so chains of n renames need log2(n) rounds, however they lie. Its
+    joins are merges: renames grow with the catalogue, and nothing of them passes the driver."""
     at = settled(renames.where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id")))
     sources = at.select(F.col("old_id").alias("new_id"))
     for _ in range(at.count().bit_length()):
         further = at.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
-        at = settled(at.join(further, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id")))
-        if at.join(sources, "new_id", "left_semi").isEmpty():
+        at = settled(at.join(further.hint("merge"), "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id")))
+        if at.join(sources.hint("merge"), "new_id", "left_semi").isEmpty():
             break
-    return at.join(sources, "new_id", "left_anti").select("old_id", "new_id")
+    return at.join(sources.hint("merge"), "new_id", "left_anti").select("old_id", "new_id")
 
 
 def by_patterns(dishes: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -74,10 +75,10 @@ def merge_dishes(dishes: DataFrame, children: dict[str, tuple[DataFrame, str, li
     ends = settled(resolved(renames))
     moved = {}
     for name, (table, column, unique) in children.items():
-        own = ends.select(F.col("old_id").alias("old_"), F.col("new_id").alias("new_"))
+        own = ends.select(F.col("old_id").alias("old_"), F.col("new_id").alias("new_")).hint("merge")
         out = table.join(own, F.col(column) == F.col("old_"), "left").withColumn(column, F.coalesce("new_", column)).withColumn("was_", F.col("old_").isNotNull())
         if unique:
             rest = [c for c in table.columns if c not in unique]
             out = out.groupBy(*unique).agg(F.min(F.struct("was_", *rest)).alias("row_")).select(*unique, *[F.col(f"row_.{c}") for c in rest])
         moved[name] = out.select(*table.columns)
-    return dishes.join(ends.select(F.col("old_id").alias("id")), "id", "left_anti"), moved
+    return dishes.join(ends.select(F.col("old_id").alias("id")).hint("merge"), "id", "left_anti"), moved

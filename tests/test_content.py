@@ -6,6 +6,7 @@ import random
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ def test_stream_goes_on_from_its_checkpoint_and_forgets_idle_keys(spark):
     assert "c" not in {x["key"]["key"] for x in early.collect()}  # idle since the first micro-batch
 
 
+def test_a_bucket_has_one_timer_that_looks_at_the_last_request():
+    """Three round trips for a new key, two for a known one; none for timers that move."""
+    from types import SimpleNamespace
+
+    calls, state = [], {}
+    put = lambda x: (calls.append("update"), state.update(x=x))
+    bucket = SimpleNamespace(get=lambda: calls.append("get") or state.get("x"), update=put, clear=lambda: state.clear())
+    one = buckets.Buckets(("key", "id"), 2, 60.0)
+    one.init(SimpleNamespace(getValueState=lambda *_: bucket, registerTimer=lambda ms: calls.append(ms)))
+    ask = lambda *at: [x for df in one.handleInputRows(("a",), iter([pd.DataFrame({"at": list(at), "order": range(len(at))})]), None) for x in df["allowed"]]
+    assert ask(1_000_000, 0, 2_000_000) == [True, True, False] and calls == ["get", "update", 62_000]
+    calls.clear()
+    assert ask(40_000_000) == [True] and calls == ["get", "update"]
+    seen = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    list(one.handleExpiredTimer(("a",), seen(70_000), None))
+    assert calls[-1] == 100_000 and state
+    list(one.handleExpiredTimer(("a",), seen(100_000), None))
+    assert not state
+
+
 def test_stream_without_input(spark):
     folder = tempfile.mkdtemp(prefix="spark-sofra-")
     spark.createDataFrame([], REQUESTS).write.parquet(f"{folder}/in")
@@ -161,6 +182,16 @@ def test_merge_moves_children_once(spark):
     assert sorted(r["n"] for r in moved["log"].collect()) == [5, 6, 7, 8]
 
 
+def test_renames_are_not_sent_to_the_driver(spark):
+    dishes = spark.range(1, 40).select("id", F.lit("x").alias("name"))
+    renames = dishes.where("id > 1").select(F.col("id").alias("old_id"), (F.col("id") - 1).alias("new_id"))
+    ends = catalogue.resolved(renames)
+    left, moved = catalogue.merge_dishes(dishes, {"n": (dishes, "id", ["id"])}, renames)
+    for df in (ends, left, moved["n"]):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert ends.count() == 38 and [r["id"] for r in left.collect()] == [1] and [r["id"] for r in moved["n"].collect()] == [1]
+
+
 def test_patterns_name_their_targets(spark):
     dishes = spark.createDataFrame([(1, "Ayran"), (2, "ayran 200 ml"), (3, "AYRAN büyük"), (4, "Su")], "id long, name string")
     patterns = spark.createDataFrame([("ayran%", "Ayran"), ("%", "nowhere")], "pattern string, target string")

@@ -154,8 +154,8 @@ class Tape:
 
 
 @functools.cache
-def glyphs() -> tuple[dict[str, str], re.Pattern]:
-    """What look-alike and invisible characters stand for, and a pattern of them."""
+def glyphs() -> dict[str, str]:
+    """What look-alike and invisible characters stand for."""
     table = dict(LOOKALIKES) | dict.fromkeys(INVISIBLE, "")
     for first, last in ((0x660, 0xE60), (0x1E00, 0x2200), (0x2460, 0x2500), (0xFE50, 0xFFF0), (0x1D400, 0x1D800)):
         for c in map(chr, range(first, last)):
@@ -163,7 +163,7 @@ def glyphs() -> tuple[dict[str, str], re.Pattern]:
             plain = str(d) if (d := unicodedata.decimal(c, None)) is not None else plain
             if c != plain and len(plain) == 1 and "\x20" < plain < "\x7f":
                 table[c] = plain
-    return table, re.compile("[" + "".join(re.escape(c) for c in sorted(table)) + "]")
+    return table
 
 
 def lowered(text: str) -> str:
@@ -196,9 +196,9 @@ def normalised(text: str) -> Tape | None:
     """The tape of all transducers, or None for a text without any sign of a disguise."""
     tape = None
     if not text.isascii():
-        table, pattern = glyphs()
-        if pattern.search(text):
-            tape = replaced(None, text, pattern, lambda m: table[m[0]])
+        table = glyphs()
+        if found := table.keys() & set(text):
+            tape = Tape(text, [(i, i + 1, table[c]) for i, c in enumerate(text) if c in found])
     now = tape.text if tape else text
     low = lowered(now)
     if BRACKETED.search(low) or any(f" {w} " in low for w in DOT.split("|")):

@@ -36,7 +36,10 @@ def category(method: Column, path: Column, has_api_key: Column | None = None) ->
 
 
 class Buckets(StatefulProcessor):
-    """Decides on the requests of one key, in order of time within a micro-batch. Input: key, at (microseconds), order."""
+    """Decides on the requests of one key, in order of time within a micro-batch. Input: key, at (microseconds), order.
+
+    Each call of the handle is a round trip, so a key has one timer at a time: it is not moved with each request, but looks
+    at the last request when it goes off."""
 
     def __init__(self, names: tuple[str, str], capacity: int, seconds: float):
         self.names, self.capacity, self.seconds = names, float(capacity), seconds
@@ -45,13 +48,21 @@ class Buckets(StatefulProcessor):
         self.handle = handle
         self.bucket = handle.getValueState("bucket", "tokens double, last long")
 
+    def due(self, last: int) -> int:
+        """When a bucket is full again, in milliseconds."""
+        return -(-(last + int(self.seconds * 1e6)) // 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         key_name, order = self.names
-        batch = pd.concat([r[["at", "order"]] for r in rows]).sort_values(["at", "order"], kind="stable")
-        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, int(batch["at"].iloc[0]))
+        parts = [(r["at"].to_numpy(), r["order"].to_numpy()) for r in rows]
+        at, orders = (np.concatenate(x) for x in zip(*parts))
+        sort = np.lexsort((orders, at))
+        at, orders = at[sort].tolist(), orders[sort]
+        kept = self.bucket.get()
+        tokens, last = kept or (self.capacity, at[0])
         rate = self.capacity / self.seconds
-        allowed, wait = np.zeros(len(batch), bool), np.zeros(len(batch))
-        for i, t in enumerate(batch["at"].tolist()):
+        allowed, wait = np.zeros(len(at), bool), np.zeros(len(at))
+        for i, t in enumerate(at):
             tokens = min(self.capacity, tokens + max(0, t - last) / 1e6 * rate)
             last = max(last, t)
             if tokens >= 1.0:
@@ -60,13 +71,16 @@ class Buckets(StatefulProcessor):
             else:
                 wait[i] = max(0.1, (1.0 - tokens) / rate)
         self.bucket.update((tokens, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(last + int(self.seconds * 1e6)) // 1000))
-        yield pd.DataFrame({key_name: [key[0]] * len(batch), order: batch["order"].to_numpy(), "allowed": allowed, "wait_s": wait})
+        if not kept:
+            self.handle.registerTimer(self.due(last))
+        yield pd.DataFrame({key_name: [key[0]] * len(at), order: orders, "allowed": allowed, "wait_s": wait})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.bucket.clear()
+        kept = self.bucket.get()
+        if kept and self.due(kept[1]) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self.due(kept[1]))
+        else:
+            self.bucket.clear()
         return iter(())
 
     def close(self) -> None:

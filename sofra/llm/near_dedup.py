@@ -358,8 +358,13 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH, r
 
 
 def mixed_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(path, id, n, lo, hi, comp, main) of the members of the tree nodes that have several components; main: the largest."""
-    placed = members.select("path", "id", "n", "lo", "hi").join(comp.hint("merge"), "id", "left").select("path", "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
+    """(path, id, n, lo, hi, comp, main) of the members of the tree nodes that have several components; main: the largest.
+
+    A set is in a few nodes of each tree, and its component is the same in all: it is looked up once for each set, so the
+    join has a row for each set and not for each node that it is in."""
+    once = members.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi")], F.collect_list("path").alias("paths"))  # a few for each tree
+    known = once.join(comp.hint("merge"), "id", "left").select(F.explode("paths").alias("path"), "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
+    placed = materialise(known)  # read twice
     per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"))
     main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"))
     return materialise(placed.join(materialise(main).hint("merge"), "path"))

@@ -146,3 +146,24 @@ def test_documents_around_one_passage_pair_with_none(spark):
     for n in (300, 1200):
         sets = [set(range(40)) | {1000 + 20 * i + j for j in range(6 + i % 4)} for i in range(n)]
         assert near_dedup.rare_pairs(spark.createDataFrame(rare_rows(sets), RARE), 0.8).count() == 0
+
+
+def test_components_are_looked_up_once_for_each_set(spark, monkeypatch):
+    """However many nodes a set is in, the join with components has one row for it."""
+    import random
+
+    from sofra.llm import near_dedup as nd
+
+    r = random.Random(2)
+    rows = [(p, i, 9, i, -i) for p in range(40) for i in r.sample(range(30), 12)]
+    comp = {i: i % 2 for i in range(24)}  # the others have none, and are their own
+    plans, plain = [], nd.materialise
+    monkeypatch.setattr(nd, "materialise", lambda df, *codec: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, *codec))[1])
+    made = nd.mixed_nodes(spark.createDataFrame(rows, "path long, id long, n long, lo long, hi long"), spark.createDataFrame(list(comp.items()), "id long, comp long"))
+    want = []
+    for p in range(40):
+        of = {i: comp.get(i, i) for q, i, *_ in rows if q == p}
+        main = max((list(of.values()).count(c), c) for c in of.values())[1]
+        want += [(p, i, 9, i, -i, c, main) for i, c in of.items() if len(set(of.values())) > 1]
+    assert sorted(tuple(x[c] for c in ("path", "id", "n", "lo", "hi", "comp", "main")) for x in made.collect()) == sorted(want)
+    assert plans[0].index("Generate explode") < plans[0].index("Join LeftOuter") < plans[0].index("Aggregate")

@@ -11,12 +11,13 @@ from .turkish import soft_lower
 MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
 #: Rolling time frames in days.
 TIMEFRAMES = {"daily": 1, "weekly": 7, "monthly": 30, "yearly": 365}
+#: A date in a cell of a grid.
+DATE = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
 
 
 def grid_date(c: Column) -> Column:
     """The first d.m.yyyy, d/m/yyyy or d-m-yyyy in a cell as yyyy-mm-dd text, not checked against the calendar; else null."""
-    p = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
-    part = [F.regexp_extract(c, p, i) for i in (3, 2, 1)]
+    part = [F.regexp_extract(c, DATE, i) for i in (3, 2, 1)]
     return F.when(part[0] != "", F.concat_ws("-", F.lpad(part[0], 4, "0"), F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")))
 
 

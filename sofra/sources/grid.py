@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..functions.dates import grid_date, near_date
+from ..functions.dates import DATE, grid_date, near_date
 from ..functions.guard import contains_any
 from ..functions.names import ITEM_BYTES, ITEMS_PER_MEAL, aligned_value, alternatives, food_name, numeric_value, split_outside
 from ..functions.turkish import trim
@@ -24,13 +24,16 @@ PACKAGE_NAME = "Al-Götür Menü "
 SAMPLE = 10
 
 
-def cells(sheets: DataFrame, key: str, rows: str) -> DataFrame:
-    """(key, row, col, text, right, right2): every cell of the sheet's full width, with the two to its right; missing ones are empty."""
-    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.coalesce(F.size(r), F.lit(0)))), F.lit(0)).cast("int")
-    line = sheets.select(key, width.alias("width"), F.posexplode(rows).alias("row", "line")).where("width > 0")
-    at = lambda i: F.coalesce(F.try_element_at("line", (i + 1).cast("int")), F.lit(""))
-    full = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.struct(at(i).alias("text"), at(i + 1).alias("right"), at(i + 2).alias("right2")))
-    return line.select(key, "row", F.posexplode(full).alias("col", "cell")).select(key, "row", "col", "cell.*")
+def dated_cells(sheets: DataFrame, key: str, rows: str, as_of: Column) -> DataFrame:
+    """(key, row, col, text, right, right2): every cell of the columns with a date within two years of as_of, with the two to its
+    right; missing ones are empty. Which columns these are is told from the sheet's own row, so the cells of others are never made."""
+    near = lambda x: F.when(x.rlike(DATE), near_date(F.try_to_date(grid_date(x), "yyyy-MM-dd"), as_of))
+    dated = lambda line: F.filter(F.transform(line, lambda x, i: F.when(near(x), i)), lambda i: i.isNotNull())
+    cols = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(dated(r), F.array().cast("array<int>")))))
+    # once a sheet, before its rows are dealt out; of a plain explode Spark would infer a filter that works both out again
+    line = sheets.select(key, F.col(rows).alias("lines"), cols.alias("cols")).select(key, "cols", F.posexplode_outer("lines").alias("row", "line"))
+    at = lambda i: F.coalesce(F.try_element_at("line", (F.col("col") + 1 + i).cast("int")), F.lit(""))
+    return line.select(key, "row", "line", F.explode_outer("cols").alias("col")).where("col IS NOT NULL").select(key, "row", "col", at(0).alias("text"), at(1).alias("right"), at(2).alias("right2"))
 
 
 def item_text(c: Column) -> Column:
@@ -43,40 +46,45 @@ def listed(grid: DataFrame, key: str, as_of: Column, most: int = ITEMS_PER_MEAL)
     """(key, date, head, col, row, place, item, amount, energy, package): the dishes below each date, in order from 1.
 
     Cells that are too long and remarks are passed over; they neither end a list nor count as blank. Dates more than two
-    years from as_of head no list but end the one above."""
+    years from as_of head no list but end the one above. A cell's texts are looked at before the first window, which no
+    filter passes, so each is worked out once."""
     column = Window.partitionBy(key, "col").orderBy("row")
     up = lambda c: F.upper(c)
-    dated = grid.withColumn("own", F.when(F.col("text").rlike(r"\d{4}"), grid_date(F.col("text")))).withColumn("block", F.count("own").over(column)).where("block > 0")
-    inside = Window.partitionBy(key, "col", "block").orderBy("row")
-    head = F.col("own").isNotNull()
-    amounts = F.when(head, contains_any(up(F.col("right")), AMOUNT))
-    energy = F.when(head, contains_any(up(F.col("right")), ENERGY) | (amounts & contains_any(up(F.col("right2")), ENERGY)))
-    for name, value in (("date", F.col("own")), ("head", F.col("row")), ("amounts", amounts), ("energies", energy)):
-        dated = dated.withColumn(name, F.first(value).over(inside))
-    body = dated.where(F.col("own").isNull()).withColumn("item", item_text(F.col("text")))
-    beside = F.when(F.col("amounts"), F.col("right")).otherwise("")
-    remark = contains_any(F.lower("item"), REMARKS) | contains_any(F.lower(beside), REMARKS)
-    body = body.where((F.octet_length("item") <= ITEM_BYTES) & ~remark)
+    own = F.when(F.col("text").rlike(DATE), grid_date(F.col("text")))
+    amounts = contains_any(up(F.col("right")), AMOUNT)
+    energy = contains_any(up(F.col("right")), ENERGY) | (amounts & contains_any(up(F.col("right2")), ENERGY))
+    known = grid.withColumn("own", own).withColumn("item", F.when(F.col("text") == "", "").when(F.col("own").isNull(), item_text(F.col("text"))))
+    head = F.when(F.col("own").isNotNull(), F.struct("row", F.try_to_date("own", "yyyy-MM-dd").alias("date"), amounts.alias("amounts"), energy.alias("energies")))
+    short = F.octet_length("item") <= ITEM_BYTES
+    remark = lambda c: (F.col(c) != "") & contains_any(F.lower(c), REMARKS)
+    known = known.select(
+        key, "row", "col", "text", "right", "right2", "item", head.alias("own"), (short & ~remark("item")).alias("kept"), remark("right").alias("beside"))
+    under = known.withColumn("above", F.last("own", ignorenulls=True).over(column)).where("own IS NULL AND above IS NOT NULL")
+    body = under.where(near_date(F.col("above.date"), as_of) & F.col("kept") & ~(F.col("above.amounts") & F.col("beside")))
+    body = body.select(key, "row", "col", "text", "right", "right2", "item", F.col("above.row").alias("head"), "above.date", "above.amounts", "above.energies")
+    inside = Window.partitionBy(key, "col", "head").orderBy("row")
     blank = F.col("item") == ""
     over = F.coalesce(blank & F.lag(blank).over(inside), F.lit(False))
     body = body.withColumn("over", F.sum(over.cast("int")).over(inside)).where((F.col("over") == 0) & ~blank)
     body = body.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= most)
-    day = F.try_to_date("date", "yyyy-MM-dd")
     amount = F.when(F.col("amounts"), numeric_value(F.col("right")))
     value = F.when(F.col("energies"), numeric_value(F.when(F.col("amounts"), F.col("right2")).otherwise(F.col("right"))))
-    return body.where(near_date(day, as_of)).select(key, day.alias("date"), "head", "col", "row", "place", "item", amount.alias("amount"), value.alias("energy"), contains_any(up(F.col("text")), PACKAGE).alias("package"))
+    return body.select(key, "date", "head", "col", "row", "place", "item", amount.alias("amount"), value.alias("energy"), contains_any(up(F.col("text")), PACKAGE).alias("package"))
 
 
-def sheet_facts(sheets: DataFrame, grid: DataFrame, items: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, meal, celiac, kcal): the meal by the sheet's name or else its first dishes, and the first calorie range in a cell."""
+def sheet_facts(sheets: DataFrame, items: DataFrame, key: str, name: str, rows: str) -> DataFrame:
+    """(key, meal, celiac, kcal): the meal by the sheet's name or else its first dishes, and the first calorie range in a cell.
+
+    Ranges are sought in a sheet's cells end to end, with a character between them that no range has."""
     order = F.struct("head", "col", "row")
     first = items.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("n") <= SAMPLE)
     sample = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("sample"))
-    found = F.regexp_extract("text", r"(?i)(\d+\s*-\s*\d+)\s*(?:kcal|kkal|kalori)", 1)
-    kcal = grid.withColumn("found", found).where("found <> ''").groupBy(key).agg(F.min_by("found", F.struct("row", "col")).alias("found"))
-    facts = sheets.select(key, F.col(name).alias("title")).join(sample, key, "left").join(kcal, key, "left")
+    text = F.array_join(F.transform(rows, lambda r: F.array_join(r, "\u0001")), "\u0001")
+    found = F.regexp_extract(text, r"(?i)(\d+\s*-\s*\d+)\s*(?:kcal|kkal|kalori)", 1)
+    facts = sheets.select(key, F.col(name).alias("title"), found.alias("found")).join(sample, key, "left")
     meal = classify.meal_type(F.col("title"), F.col("sample"))
-    return facts.select(key, meal.alias("meal"), classify.is_celiac(F.col("title")).alias("celiac"), F.concat(F.replace("found", F.lit(" ")), F.lit(" kcal")).alias("kcal"))
+    kcal = F.when(F.col("found") != "", F.concat(F.replace("found", F.lit(" ")), F.lit(" kcal")))
+    return facts.select(key, meal.alias("meal"), classify.is_celiac(F.col("title")).alias("celiac"), kcal.alias("kcal"))
 
 
 def menus(sheets: DataFrame, key: str, name: str, rows: str, as_of: Column) -> DataFrame:
@@ -85,9 +93,8 @@ def menus(sheets: DataFrame, key: str, name: str, rows: str, as_of: Column) -> D
     alternatives: struct(name, amount, calories), one for each dish that a cell offers; amounts and calories of the same
     number go with them one by one, a single one goes with each. package: the number of a package to take away, one row for
     each number that its cell names, each once in a list; null for a dish. An empty table gives no rows."""
-    grid = cells(sheets, key, rows)
-    items = settled(listed(grid, key, as_of))  # read twice
-    known = items.join(sheet_facts(sheets, grid, items, key, name), key).where("meal IS NOT NULL")
+    items = settled(listed(dated_cells(sheets, key, rows, as_of), key, as_of))  # read twice
+    known = items.join(sheet_facts(sheets, items, key, name, rows), key).where("meal IS NOT NULL")
     numbers = F.regexp_extract_all("item", F.lit(r"(\d+)"), 1)
     package = F.when(F.col("package"), F.when(F.size(numbers) > 0, F.array_distinct(numbers)).otherwise(F.array(F.lit("1")))).otherwise(F.array(F.lit(None).cast("string")))
     split = known.select(*[c for c in known.columns if c != "package"], F.posexplode(package).alias("nth", "package"))

@@ -103,6 +103,16 @@ def test_grid_meal_by_dishes_celiac_and_caps(spark):
     assert [(r[0], r[2], r[3]) for r in got] == [("b", "breakfast", True)] * 25 + [("e", "dinner", False)] and got[24][9][0]["name"] == "Yemek22"
 
 
+def test_grid_makes_cells_of_columns_with_near_dates_only(spark):
+    """The sheet's other columns, dates far away and sheets without rows make no cells; ranges don't go from cell to cell."""
+    wide = ("a", "AKSAM", [["x", "1.5.2026", "GRAMAJ", "2.5.2020"], None, ["900 -", "su", "20 gr", "ayran"], ["1000 kcal", None, "700 - 800 kcal"], ["", "3.5.2020"], ["", "süt"], ["", "9.5.2026"], ["", "bal"]])
+    sheets = spark.createDataFrame([wide, ("b", "AKSAM", [["2.5.2020"], ["99.99.2026"], ["su"]]), ("c", "AKSAM", None), ("d", "AKSAM", [None])], SCHEMA)
+    cells = grid.dated_cells(sheets, "file", "rows", AS_OF())
+    assert sorted((r["file"], r["col"], r["row"]) for r in cells.collect()) == [("a", 1, i) for i in range(8)]
+    got = menus(spark, *[tuple(r) for r in sheets.collect()])
+    assert [(r[0], r[1], r[4], r[5], r[7], r[9][0]["name"], r[9][0]["amount"]) for r in got] == [("a", D(2026, 5, 1), "700-800 kcal", 1, 1, "Su", "20 gr"), ("a", D(2026, 5, 9), "700-800 kcal", 1, 1, "Bal", None)]
+
+
 def test_readers_of_feeds_and_embedded_menus(spark):
     block = '<script type="application/ld+json">{"@type": "Menu", "name": "m", "hasMenuSection": [{"name": "s", "hasMenuItem": [{"name": "Çay"}]}]}</script>'
     pages = spark.createDataFrame([('<script type="application/ld+json">{"@type": "Event"}</script>' + block,), ("x",), ('<script type="application/ld+json">{broken</script>',)], "html string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sofra.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
-from sofra.llm.common import materialise, read
+from sofra.llm.common import discard, drop, materialise, read, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
+    """All stages over documents; each stage's result is written as Parquet and read again. Then its other tables go, and so
+    does its predecessor's result."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch() as made:
+            out = materialise(stage(spark, docs, sf_dir))
+        drop(made, out)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,31 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for made in _MADE:
+        made.append(out)
     return out
 
 
+_MADE: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that materialise() writes within, for drop(): a step that has its result written needs none of the others."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+
+
+def drop(made: list[DataFrame], but: DataFrame) -> None:
+    for table in made:
+        if table is not but:
+            discard(table)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table of materialise() that nothing reads any more."""
     path = getattr(df, "_scratch", None)

@@ -31,16 +31,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialise, mix64, shingle_hashes, steps, utf8, whole_row, word_hashes
+from .common import drop, map_arrow, materialise, mix64, scratch, shingle_hashes, steps, utf8, whole_row, word_hashes
 from .components import components
 
 #: Minwise tokens of a set; further tokens of a tree, of which its nodes draw, at most; levels of a tree for up to a million
@@ -54,6 +55,8 @@ SMALL, ROOM, STEP_ROWS = 16, 4096, 1 << 16
 #: Members of a node's largest component that each of its others is compared with before the rarest shingles are; ratio of the
 #: sizes of sets in one band of the join on these.
 DRAWN, BAND = 4, 1.05
+#: Bits of the filter that tells which texts a step may need; it spares shuffles, and decides nothing.
+FILTER_BITS = 1 << 24
 _MULT = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
@@ -131,8 +134,28 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def maybe(ids: DataFrame) -> Callable[[str], Column]:
+    """A test whether a column's value may be among the ids: never wrong about those that are, and about few others while the ids
+    are fewer than FILTER_BITS. It has one bit for each id's last bits, which every task gets."""
+    at = (F.pmod(F.col(ids.columns[0]), F.lit(FILTER_BITS)) + 1).alias("at")
+    parts = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # FILTER_BITS / 8 bytes
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
+    shared = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        low = x.to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        byte = np.frombuffer(shared.value, np.uint8)[(low >> np.uint64(3)).astype(np.int64)]
+        return pd.Series((byte >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: among(F.col(c))
+
+
 def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(id, s): the sets of the needed ids, six bytes a member."""
+    """(id, s): the sets of the needed ids, and of a few others, six bytes a member. Texts stay in the tasks that read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -143,8 +166,7 @@ def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                 blobs.append((s >> np.uint64(16)).astype("<u4").tobytes() + (s & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.record_batch({"id": batch.column("id"), "s": pa.array(blobs, pa.binary())})
 
-    texts = documents.select(node().alias("id"), "text")
-    return map_arrow(texts.join(needed, "id", "left_semi"), run, "id long, s binary")
+    return map_arrow(documents.select(node().alias("id"), "text").where(maybe(needed)("id")), run, "id long, s binary")
 
 
 def members(blob: bytes) -> np.ndarray:
@@ -438,12 +460,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, s
 def representatives(documents: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, that are the first of their component; of rows with equal id and text, the one whose
     columns hash lowest."""
-    rows = placed_rows(documents, k, similarity, SMALL).where("first.id = id")
-    kept = materialise(rows.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("times")))
+    with scratch() as made:
+        rows = placed_rows(documents, k, similarity, SMALL)
+        per = materialise(rows.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("times"), F.max(F.col("first.id") == F.col("id")).alias("kept")))
+    drop(made, per)
+    # most rows are one of a kind and stay: they go on as they are read, and only the others are looked up
+    doubt = maybe(per.where("NOT kept OR times > 1").select("key"))
     own = documents.select(whole_row(documents).alias("row"), node().alias("key"))
-    out = own.join(kept.where("times = 1"), "key", "left_semi").select("row")
+    asked, kept = own.where(doubt("key")), per.where("kept").where(doubt("key"))
+    out = own.where(~doubt("key")).select("row").unionByName(asked.join(kept.where("times = 1"), "key", "left_semi").select("row"))
     often = kept.where("times > 1")
     if not often.isEmpty():
-        again = own.join(often, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        again = asked.join(often, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         out = out.unionByName(again.select("row"))
     return out.select("row.*")

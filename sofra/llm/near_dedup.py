@@ -31,11 +31,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,24 +133,16 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def maybe(ids: DataFrame) -> Callable[[str], Column]:
-    """A test whether a column's value may be among the ids: never wrong about those that are, and about few others while the ids
-    are fewer than FILTER_BITS. It has one bit for each id's last bits, which every task gets."""
-    at = (F.pmod(F.col(ids.columns[0]), F.lit(FILTER_BITS)) + 1).alias("at")
-    parts = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # FILTER_BITS / 8 bytes
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
-    shared = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("boolean")
-    def among(x: pd.Series) -> pd.Series:
-        low = x.to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        byte = np.frombuffer(shared.value, np.uint8)[(low >> np.uint64(3)).astype(np.int64)]
-        return pd.Series((byte >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
-
-    return lambda c: among(F.col(c))
+def flagged(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows, and `may`: whether the column's value may be among the ids; never wrong about those that are, and about few others
+    while the ids are fewer than FILTER_BITS. There is one bit for each id's last bits; every task gets all bits."""
+    at = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
+    named = ids.select(at(ids.columns[0]).alias("at"))
+    bits = materialise(named.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))  # FILTER_BITS / 8 bytes
+    place = F.bitmap_bit_position(at(column)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    both = rows.join(F.broadcast(bits), F.bitmap_bucket_number(at(column)) == F.col("part"), "left")
+    return both.select(*rows.columns, F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False)).alias("may"))
 
 
 def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -166,7 +157,7 @@ def shingle_sets(documents: DataFrame, needed: DataFrame, k: int) -> DataFrame:
                 blobs.append((s >> np.uint64(16)).astype("<u4").tobytes() + (s & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.record_batch({"id": batch.column("id"), "s": pa.array(blobs, pa.binary())})
 
-    return map_arrow(documents.select(node().alias("id"), "text").where(maybe(needed)("id")), run, "id long, s binary")
+    return map_arrow(flagged(documents.select(node().alias("id"), "text"), "id", needed).where("may").select("id", "text"), run, "id long, s binary")
 
 
 def members(blob: bytes) -> np.ndarray:
@@ -379,27 +370,42 @@ def grown(nodes: DataFrame, similarity: float, small: int, depth: int = DEPTH, r
     return ended.where("path IS NULL").select(*_pair("id", "y")), wide
 
 
-def mixed_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(path, id, n, lo, hi, comp, main) of the members of the tree nodes that have several components; main: the largest.
+def node_components(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, id, n, lo, hi, comp) of the members of tree nodes, and (path, main, ys) of the nodes that have several components:
+    the largest one, and DRAWN of its members, drawn by path.
 
     A set is in a few nodes of each tree, and its component is the same in all: it is looked up once for each set, so the
     join has a row for each set and not for each node that it is in."""
     once = members.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi")], F.collect_list("path").alias("paths"))  # a few for each tree
     known = once.join(comp.hint("merge"), "id", "left").select(F.explode("paths").alias("path"), "id", "n", "lo", "hi", F.coalesce("comp", "id").alias("comp"))
-    placed = materialise(known)  # read twice
-    per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"))
-    main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("path", F.col("top.comp").alias("main"))
-    return materialise(placed.join(materialise(main).hint("merge"), "path"))
+    placed = materialise(known)  # read again
+    who = F.struct("id", "n", "lo", "hi")
+    draws = [F.min_by(who, F.struct(F.xxhash64("path", "id", F.lit(j)), "id")) for j in range(DRAWN)]
+    per = placed.groupBy("path", "comp").agg(F.count("*").alias("c"), F.array(*draws).alias("ys"))
+    main = per.groupBy("path").agg(F.count("*").alias("comps"), F.max_by(F.struct(F.col("comp").alias("main"), "ys"), F.struct("c", "comp")).alias("top")).where("comps > 1")
+    return placed, materialise(main.select("path", "top.*"))
 
 
-def drawn_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the members outside a node's largest component with DRAWN of that component's members, drawn by path. In a
-    cluster of near copies, one link of the many that such a member may have is enough to join it."""
-    who = F.struct("id", "n", "lo", "hi")
-    draws = [F.min_by(who, F.struct(F.xxhash64("path", "id", F.lit(j)), "id")).alias(f"y{j}") for j in range(DRAWN)]
-    drawn = materialise(mixed.where("comp = main").groupBy("path").agg(*draws))
-    both = mixed.where("comp <> main").select("path", who.alias("x")).join(drawn, "path").select("x", F.explode(F.array(*[f"y{j}" for j in range(DRAWN)])).alias("y"))
-    return both.where(_may(similarity)).select(*_pair("x.id", "y.id")).distinct()
+def mixed_nodes(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(path, id, n, lo, hi, comp, main) of the members of the tree nodes that have several components; main: the largest."""
+    return in_mixed(*node_components(members, comp))
+
+
+def in_mixed(placed: DataFrame, main: DataFrame) -> DataFrame:
+    return materialise(placed.join(main.select("path", "main").hint("merge"), "path"))
+
+
+def minor_members(placed: DataFrame, main: DataFrame) -> DataFrame:
+    """(x, ys): the members outside their node's largest component, with what is drawn of that one. Members of the largest,
+    which in a cluster of copies are nearly all, make no rows."""
+    both = placed.alias("p").join(main.alias("m").hint("merge"), (F.col("p.path") == F.col("m.path")) & (F.col("comp") != F.col("main")))
+    return both.select(F.struct("id", "n", "lo", "hi").alias("x"), "ys")
+
+
+def drawn_pairs(minors: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the members outside a node's largest component with those that are drawn of it. In a cluster of near copies,
+    one link of the many that such a member may have is enough to join it."""
+    return minors.select("x", F.explode("ys").alias("y")).where(_may(similarity)).select(*_pair("x.id", "y.id")).distinct()
 
 
 def merged(comp: DataFrame, found: DataFrame) -> DataFrame:
@@ -433,12 +439,13 @@ def placed_rows(documents: DataFrame, k: int, similarity: float, small: int) ->
     sets = materialise(sets, "none")
     links = materialise(confirm(pairs, sets, similarity))
     comp = components(links)
-    mixed = mixed_nodes(many, comp)
-    if not mixed.isEmpty():
-        found = confirm(drawn_pairs(mixed, similarity).join(pairs, ["a", "b"], "left_anti"), sets, similarity)
+    placed, main = node_components(many, comp)
+    if not main.isEmpty():
+        found = confirm(drawn_pairs(minor_members(placed, main), similarity).join(pairs, ["a", "b"], "left_anti"), sets, similarity)
         comp = merged(comp, found)
-        mixed = mixed_nodes(mixed, comp)
-    if not mixed.isEmpty():
+        placed, main = node_components(placed.join(main.select("path").hint("merge"), "path", "left_semi"), comp)
+    if not main.isEmpty():
+        mixed = in_mixed(placed, main)
         # one row a node; its component is the same on every path
         who = mixed.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "lo", "hi", "comp")], F.max(F.col("comp") != F.col("main")).alias("minor"))
         near = materialise(rarest(sets, mixed, similarity).join(who.hint("merge"), "id"))
@@ -465,10 +472,10 @@ def representatives(documents: DataFrame, k: int = 5, similarity: float = 0.8) -
         per = materialise(rows.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("times"), F.max(F.col("first.id") == F.col("id")).alias("kept")))
     drop(made, per)
     # most rows are one of a kind and stay: they go on as they are read, and only the others are looked up
-    doubt = maybe(per.where("NOT kept OR times > 1").select("key"))
-    own = documents.select(whole_row(documents).alias("row"), node().alias("key"))
-    asked, kept = own.where(doubt("key")), per.where("kept").where(doubt("key"))
-    out = own.where(~doubt("key")).select("row").unionByName(asked.join(kept.where("times = 1"), "key", "left_semi").select("row"))
+    doubt = per.where("NOT kept OR times > 1").select("key")
+    own = flagged(documents.select(whole_row(documents).alias("row"), node().alias("key")), "key", doubt)
+    asked, kept = own.where("may"), flagged(per.where("kept"), "key", doubt).where("may")
+    out = own.where("NOT may").select("row").unionByName(asked.join(kept.where("times = 1"), "key", "left_semi").select("row"))
     often = kept.where("times > 1")
     if not often.isEmpty():
         again = asked.join(often, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

@@ -11,7 +11,10 @@ The hidden Markov part has STATES states; each round of Baum-Welch takes expecte
 partition and adds them up with a shuffled sum. For these counts a long text is walked in pieces of PIECE tokens. Each
 piece after the first begins WARM tokens early, from the states' overall shares, and these tokens count in the piece
 before only, so every token and every move counts once, and starts are counted where texts start. The scaled forward
-recursion of the score runs over whole texts. Only initial emissions come from a bounded sample.
+recursion of the score runs over whole texts. Both recursions keep a row for each state and are scaled every SCALED steps and
+where a text ends, which doubles bear. Only initial emissions come from a bounded sample.
+
+Arrow splits WORD_BYTES of text at a time and numbers the distinct words, so that a word is looked up once a step.
 
 Counts of the LOCAL most frequent words (bounded) go to every task; the others meet the texts by a join on the word, so
 no word's group is large. A null text is an empty one, an end token alone. Equal rows get equal results; two rows are
@@ -22,23 +25,24 @@ are not looked at, whatever their names."""
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fold, map_arrow, materialise, steps, texts, words
+from .common import fold, map_arrow, materialise, steps, utf8
 
 OWN, LOCAL, STATES, PIECE, WARM, ROUNDS = 1024, 131_072, 12, 512, 16, 4
+SCALED = 4  # steps of the recursions from one scaling to the next
 FIRST, LAST = 64, 8
 SHAPES = FIRST * LAST
 CLASSES = 1 + OWN + SHAPES
-FLUSH, POOL_TOKENS, GROUP_TOKENS, SEED_ROWS = 200_000, 2 << 20, 1 << 18, 512
+FLUSH, WORD_BYTES, POOL_TOKENS, GROUP_TOKENS, SEED_ROWS = 200_000, 4 << 20, 2 << 20, 1 << 18, 512
 _END_KIND = np.full(256, 7, np.int64)
 _END_KIND[97:123] = 0
 _END_KIND[[44, 46, 59, 58]] = 1
@@ -47,30 +51,69 @@ _END_KIND[[36, 37, 38, 42, 35]] = 3
 _END_KIND[48:58] = 4
 _END_KIND[128:192] = 5
 _END_KIND[[124, 40, 41, 91, 93, 34, 39]] = 6
-_KIND = _END_KIND.tolist()
+_HEADS = np.array([zlib.crc32(bytes([a, b][: 1 + (b < 256)])) % FIRST for a in range(256) for b in range(257)])  # of two bytes, or of one and 256
 _COLUMNS = ("doc_id", "key", "train", "n_tokens", "n_known", "base", "inner")
 _KINDS = (T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
 
 
-def shape(word: bytes) -> int:
-    return 1 + OWN + (zlib.crc32(word[:2]) % FIRST) * LAST + _KIND[word[-1]]
+def shapes(column: pa.Array) -> np.ndarray:
+    """Class of each word (one byte at least) that has none of its own."""
+    raw, at = utf8(column)
+    begin, stop = at[:-1], at[1:]
+    second = np.where(stop - begin > 1, raw[np.minimum(begin + 1, len(raw) - 1)].astype(np.int64), 256)
+    return 1 + OWN + _HEADS[raw[begin].astype(np.int64) * 257 + second] * LAST + _END_KIND[raw[stop - 1]]
+
+
+def coded(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the number among them of each token's word, and the n + 1 offsets of the texts' tokens.
+
+    Words are those of common.words(): Arrow's ascii functions know the same six blanks and lower A-Z alone."""
+    column = batch.column("text")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.view(pa.string() if pa.types.is_binary(column.type) else pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    flat, edges = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    some = np.asarray(pc.binary_length(flat)) > 0  # blanks at an end leave an empty part
+    if not some.all():
+        flat, edges = flat.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[edges]
+    found = flat.dictionary_encode()
+    return found.dictionary.cast(pa.binary()), np.asarray(found.indices), edges
+
+
+def among(found: pa.Array, names: pa.Array) -> np.ndarray:
+    """The place of each word in names, or len(names)."""
+    return np.asarray(pc.index_in(found, value_set=names).fill_null(len(names))).astype(np.int64)
+
+
+def added(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the parts of values from each edge to the next."""
+    out, some = np.zeros(len(edges) - 1, values.dtype), edges[:-1] < edges[1:]
+    if some.any():
+        out[some] = np.add.reduceat(values, edges[:-1][some])
+    return out
 
 
 def count_words(documents: DataFrame) -> DataFrame:
     """(word, c) over the rows of documents, without end tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in steps(batches):
-            for text in texts(batch):
-                counts.update(words(text))
-            if len(counts) > FLUSH:
-                yield pack(counts)
-                counts = Counter()
-        yield pack(counts)
-
-    def pack(counts: Counter) -> pa.RecordBatch:
-        return pa.record_batch({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        parts, size = [], 0
+        for batch in steps(batches, most=WORD_BYTES):
+            found, at, _ = coded(batch)
+            parts.append(pa.table({"word": found, "n": np.bincount(at, minlength=len(found))}))
+            size += len(found)
+            if size > 2 * FLUSH:
+                parts = [merged(parts)]
+                size = len(parts[0])
+                if size > FLUSH:
+                    yield from parts[0].to_batches()
+                    parts, size = [], 0
+        if parts:
+            yield from merged(parts).to_batches()
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": sums.column("word"), "n": sums.column("n_sum")}).combine_chunks()
 
     return map_arrow(documents.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -90,13 +133,16 @@ def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
 
 def class_sums(counts: DataFrame, own: dict[bytes, int]) -> dict[int, tuple[int, int, int]]:
     """class -> tokens, words, words seen once."""
+    names = pa.array(sorted(own, key=own.get), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, 3), np.int64)
         for batch in batches:
             c = np.asarray(batch.column("c"))
-            k = np.array([own.get(w) or shape(w) for w in batch.column("word").to_pylist()], np.int64)
-            if len(k):
+            if len(c):
+                word = batch.column("word")
+                k = among(word, names)
+                k = np.where(k < len(names), k + 1, shapes(word))
                 total += np.column_stack([np.bincount(k, v, CLASSES) for v in (c, np.ones(len(c)), c == 1)]).astype(np.int64)
         some = np.flatnonzero(total[:, 1])
         yield pa.record_batch({"k": pa.array(some), "n": pa.array(total[some, 0]), "v": pa.array(total[some, 1]), "once": pa.array(total[some, 2])})
@@ -116,47 +162,31 @@ def in_class(sums: dict[int, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndar
     return known, unknown
 
 
-class Places(dict):
-    """word -> its place in `kinds`; the frequent words come first, others get a place when they are met."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]]):
-        super().__init__((w, i) for i, (w, _) in enumerate(frequent))
-        self.kinds = np.zeros(max(1024, 2 * len(frequent)), np.int64)
-        self.kinds[: len(frequent)] = [i + 1 if i < OWN else shape(w) for i, (w, _) in enumerate(frequent)]
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        if place >= len(self.kinds):
-            self.kinds = np.concatenate([self.kinds, np.zeros(len(self.kinds), np.int64)])
-        self.kinds[place] = shape(word)
-        return place
-
-
 def sequences(documents: DataFrame, frequent: list[tuple[bytes, int]], known: np.ndarray, ends: int) -> DataFrame:
     """(doc_id, key, train, n_tokens, n_known, base, inner, seq): classes of each text's tokens, sums over its frequent words."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, known))  # LOCAL words at most
+    names, tokens = pa.array([w for w, _ in frequent], pa.binary()), np.array([c for _, c in frequent], float)
+    shared = spark.sparkContext.broadcast((names, tokens, known))  # LOCAL words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known = shared.value
-        places = Places(frequent)
-        n = len(frequent)
-        base_of, inner_of = np.zeros(n + 1), np.zeros(n + 1)  # the last place is that of all other words
-        base_of[:n] = np.log10(np.array([c for _, c in frequent], float) + 0.5)
-        inner_of[OWN:n] = base_of[OWN:n] + known[places.kinds[OWN:n]]
-        for batch in steps(batches):
-            rows = []
-            for text in texts(batch):
-                found = words(text)
-                at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
-                seq = np.zeros(len(found) + 1, "<u2")
-                seq[:-1] = places.kinds[at]
-                at = np.minimum(at, n)
-                rows.append((len(found) + 1, int((at < n).sum()) + (ends > 0), float(base_of[at].sum() + np.log10(ends + 0.5)), float(inner_of[at].sum()), seq.tobytes()))
-                if len(places) > n + FLUSH:
-                    places = Places(frequent)
-            a, b, c, d, e = zip(*rows)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "train": batch.column("train"), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "base": pa.array(c), "inner": pa.array(d), "seq": pa.array(e, pa.binary())})
+        names, tokens, known = shared.value
+        n = len(names)
+        base_of, own_of = np.zeros(n + 1), np.zeros(n + 1, bool)  # the last place is that of all other words
+        base_of[:n] = np.log10(tokens + 0.5)
+        own_of[: min(n, OWN)] = True
+        for batch in steps(batches, most=WORD_BYTES):
+            found, at, edges = coded(batch)
+            place = among(found, names)
+            own, kind, base = own_of[place], shapes(found), base_of[place]
+            kind = np.where(own, place + 1, kind)
+            inner = np.where(own | (place == n), 0.0, base + known[kind])
+            rows = np.arange(len(edges))
+            seq = np.zeros(len(at) + batch.num_rows, "<u2")
+            seq[np.arange(len(at)) + np.repeat(rows[:-1], np.diff(edges))] = kind[at]
+            seqs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * (edges + rows)).astype(np.int32)), pa.py_buffer(seq)])
+            a, b = np.diff(edges) + 1, added((place < n).astype(np.int64)[at], edges) + (ends > 0)
+            c, d = added(base[at], edges) + np.log10(ends + 0.5), added(inner[at], edges)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "train": batch.column("train"), "n_tokens": pa.array(a), "n_known": pa.array(b), "base": pa.array(c), "inner": pa.array(d), "seq": seqs})
 
     own = [T.StructField(c, kind) for c, kind in zip(_COLUMNS, (documents.schema["doc_id"].dataType, *_KINDS))]
     return map_arrow(documents, run, T.StructType([*own, T.StructField("seq", T.BinaryType())]))
@@ -164,19 +194,17 @@ def sequences(documents: DataFrame, frequent: list[tuple[bytes, int]], known: np
 
 def rare_words(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
     """(word, key, k, n): the other words of each text, with class and number."""
-    shared = documents.sparkSession.sparkContext.broadcast([w for w, _ in frequent])
+    shared = documents.sparkSession.sparkContext.broadcast(pa.array([w for w, _ in frequent], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frozenset(shared.value)
-        for batch in steps(batches):
-            out, keys, many = [], [], []
-            for text, key in zip(texts(batch), batch.column("key").to_pylist()):
-                counts = Counter(words(text))
-                rest = counts.keys() - common
-                out += rest
-                many += map(counts.__getitem__, rest)
-                keys += [key] * len(rest)
-            yield pa.record_batch({"word": pa.array(out, pa.binary()), "key": pa.array(keys, pa.int64()), "k": pa.array([shape(w) for w in out], pa.int32()), "n": pa.array(many, pa.int32())})
+        common = shared.value
+        for batch in steps(batches, most=WORD_BYTES):
+            found, at, edges = coded(batch)
+            some = (among(found, common) == len(common))[at]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(edges))[some]
+            pair, many = np.unique(owner * len(found) + at[some], return_counts=True)
+            owner, at = np.divmod(pair, max(1, len(found)))
+            yield pa.record_batch({"word": found.take(pa.array(at)), "key": batch.column("key").take(pa.array(owner)), "k": pa.array(shapes(found)[at].astype(np.int32)), "n": pa.array(many.astype(np.int32))})
 
     return map_arrow(documents.select("key", "text"), run, "word binary, key long, k int, n int")
 
@@ -230,28 +258,33 @@ def _groups(seqs: list[np.ndarray], most: int) -> Iterator[list[int]]:
         yield group
 
 
-def _laid(seqs: list[np.ndarray], group: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _laid(seqs: list[np.ndarray], group: list[int]) -> tuple[np.ndarray, list[int]]:
     """Tokens step by step, and where each step begins; a step has the sequences that are as long, the longest first."""
     sizes = np.array([len(seqs[i]) for i in group])
-    flat = np.concatenate([seqs[i] for i in group]).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(len(group) - np.cumsum(np.bincount(sizes))[:-1])])
+    flat = np.concatenate([seqs[i] for i in group])
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    owner = np.repeat(np.arange(len(group)), sizes)
-    order = np.lexsort((owner, place))
-    return flat[order], np.searchsorted(place[order], np.arange(sizes[0] + 1))
+    tokens = np.empty(len(flat), np.int64)
+    tokens[at[place] + np.repeat(np.arange(len(group)), sizes)] = flat
+    return tokens, at.tolist()
 
 
 def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 P of each whole class sequence by the scaled forward recursion."""
+    """log10 P of each whole class sequence by the scaled forward recursion, with a row for each state."""
     out = np.zeros(len(seqs))
+    into, emit = model.move.T.copy(), model.emit.T.copy()
     for group in _groups(seqs, GROUP_TOKENS):
         tokens, at = _laid(seqs, group)
         total, a = np.zeros(len(group)), None
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-            n = hi - lo
-            a = (model.start if a is None else a[:n] @ model.move) * model.emit[tokens[lo:hi]]
-            scale = a.sum(1)
-            total[:n] += np.log10(scale)
-            a = a / scale[:, None]
+        for t, (lo, hi) in enumerate(zip(at, at[1:])):
+            n, later = hi - lo, at[min(t + 2, len(at) - 1)] - hi
+            a = (model.start[:, None] if a is None else into @ a[:, :n]) * emit.take(tokens[lo:hi], 1)
+            if t % SCALED == SCALED - 1:
+                scale = a.sum(0)
+                total[:n] += np.log10(scale)
+                a /= scale
+            if later < n:  # these end here
+                total[later:n] += np.log10(a[:, later:].sum(0))
         out[group] = total
     return out
 
@@ -264,31 +297,40 @@ def pieces(seq: np.ndarray) -> list[tuple[np.ndarray, bool]]:
 def expected(model: Model, parts: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions (the E step) of the parts of pieces()."""
     k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
+    into, emits, begins = model.move.T.copy(), model.emit.T.copy(), np.stack([model.share, model.start], 1)
     seqs, is_first = [s for s, _ in parts], np.array([f for _, f in parts], bool)
     for group in _groups(seqs, GROUP_TOKENS):
-        tokens, at = _laid(seqs, group)
+        tokens, edges = _laid(seqs, group)
         first = is_first[group]
-        b = model.emit[tokens]
-        alpha, scale, edges = np.empty_like(b), np.empty(len(b)), at.tolist()
+        a, alpha, b, scale = None, [], [], {}
         for t, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            a = (np.where(first[:, None], model.start, model.share) if t == 0 else alpha[edges[t - 1] : edges[t - 1] + hi - lo] @ model.move) * b[lo:hi]
-            s = a.sum(1)
-            alpha[lo:hi], scale[lo:hi] = a / s[:, None], s
-        beta = np.ones_like(b)
-        for t in range(len(edges) - 3, -1, -1):
-            lo, nlo, nhi = edges[t], edges[t + 1], edges[t + 2]
-            n = nhi - nlo
-            after = b[nlo:nhi] * beta[nlo:nhi] / scale[nlo:nhi, None]
-            counted = slice(None) if t + 1 >= WARM else first[:n]  # the move into a token counts where the token does
-            move += alpha[lo : lo + n][counted].T @ after[counted]
-            beta[lo : lo + n] = after @ model.move.T
-        gamma = alpha * beta
-        start += gamma[: edges[1]][first].sum(0)
-        own = np.concatenate([np.ones(hi - lo, bool) if t >= WARM else first[: hi - lo] for t, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+            b.append(emits.take(tokens[lo:hi], 1))
+            a = (begins.take(first.astype(np.int64), 1) if a is None else into @ a[:, : hi - lo]) * b[t]
+            if t % SCALED == SCALED - 1:
+                scale[t] = a.sum(0)
+                a /= scale[t]
+            alpha.append(a)
+        gamma, beta = np.empty((k, len(tokens))), np.empty((k, 0))
+        for t in range(len(alpha) - 1, -1, -1):
+            a, n, later = alpha.pop(), edges[t + 1] - edges[t], beta.shape[1]
+            if later < n:  # these end here; their states add up to 1 with what the last scaling left
+                beta = np.concatenate([beta, np.repeat(1 / a[:, later:].sum(0)[None], k, 0)], 1)
+            counts = np.multiply(a, beta, out=gamma[:, edges[t] : edges[t + 1]])
+            if t < WARM:  # a token counts in the piece before; so does the move into it
+                counts *= first[:n]
+            after = b.pop()
+            if t:
+                after *= beta
+                if t in scale:
+                    after /= scale[t]
+                before = alpha[-1][:, :n]
+                move += before @ after.T if t >= WARM else before @ (after * first[:n]).T
+                beta = model.move @ after
+        start += gamma[:, : edges[1]].sum(1)
         for j in range(k):
-            emit[:, j] += np.bincount(tokens[own], gamma[own, j], CLASSES)
-    return start, move * model.move, emit
+            emit[j] += np.bincount(tokens, gamma[j], CLASSES)
+    return start, move * model.move, emit.T
 
 
 def _pools(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
